@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, secrets, sharding, urlrules, warc
+from . import decontam, langid, mixing, secrets, sharding, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +41,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_rules, op4_mix_sources, op5_warc_derivatives, op7_language_id, op8_shard_documents, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_url_rules, op4_mix_sources, op5_warc_derivatives, op7_language_id, op8_shard_documents, op9_secret_scan)}
 
 MIX_SQL = r"""
 with d as (

@@ -7,7 +7,10 @@ no Python string is made for a word.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,6 +153,26 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose DataFrames are gone, which it does as the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows of df as a Parquet table in the shared folder, deleted when the block ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    release(spark)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, secrets, sharding, urlrules, warc
+from . import decontam, langid, mixing, ngramjoin, secrets, sharding, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_url_rules, op4_mix_sources, op5_warc_derivatives, op7_language_id, op8_shard_documents, op9_secret_scan)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_url_rules, op4_mix_sources, op5_warc_derivatives, op7_language_id, op8_shard_documents, op9_secret_scan, op10_ngram_jaccard)}
 
 MIX_SQL = r"""
 with d as (

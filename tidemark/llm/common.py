@@ -89,7 +89,7 @@ class Words:
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets and validity of a string column."""
     valid = np.asarray(column.is_valid())
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
     offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, ngramjoin, secrets, sharding, urlrules, warc
+from . import decontam, langid, mixing, ngramjoin, secrets, sharding, substring, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_url_rules, op4_mix_sources, op5_warc_derivatives, op7_language_id, op8_shard_documents, op9_secret_scan, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_url_rules, op4_mix_sources, op5_warc_derivatives, op7_language_id, op8_shard_documents, op9_secret_scan, op10_ngram_jaccard)}
 
 MIX_SQL = r"""
 with d as (
@@ -74,4 +78,17 @@ select doc_id, size, source_size, target,
 from e
 """
 
-ORACLE_SQL = {"op4_mix_sources": MIX_SQL.format(docs="documents")}
+SUBSTRING_SQL = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
+s as (select doc_id, w, unnest(range(1, len(w) - 11)) i from d),
+t as (select doc_id, i, array_to_string(w[i:i + 12], ' ') x from s),
+m as (select x, min(doc_id) lo from t group by x),
+r as (select distinct t.doc_id, t.i + o.o j from t join m using (x), (select unnest(range(0, 13)) o) o where t.doc_id > m.lo),
+k as (select doc_id, unnest(w) word, generate_subscripts(w, 1) j from d),
+f as (select k.doc_id, count(r.j) n_removed, string_agg(case when r.j is null then k.word end, ' ' order by k.j) kept
+      from k left join r on k.doc_id = r.doc_id and k.j = r.j group by k.doc_id)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256
+from d left join f using (doc_id)
+"""
+
+ORACLE_SQL = {"op2_substring_dedup": SUBSTRING_SQL, "op4_mix_sources": MIX_SQL.format(docs="documents")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, ngramjoin, secrets, sharding, substring, urlrules, warc
+from . import covertree, decontam, langid, mixing, ngramjoin, secrets, sharding, substring, urlrules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.drop("content", "source_headers")
 
 
+def op6_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_url_rules, op4_mix_sources, op5_warc_derivatives, op7_language_id, op8_shard_documents, op9_secret_scan, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_url_rules, op4_mix_sources, op5_warc_derivatives, op6_embedding_near_dups, op7_language_id, op8_shard_documents, op9_secret_scan, op10_ngram_jaccard)}
 
 MIX_SQL = r"""
 with d as (
@@ -91,4 +95,17 @@ select d.doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_remove
 from d left join f using (doc_id)
 """
 
-ORACLE_SQL = {"op2_substring_dedup": SUBSTRING_SQL, "op4_mix_sources": MIX_SQL.format(docs="documents")}
+EMBEDDING_SQL = r"""
+with recursive v as (select vec_id, embedding::double[] e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and list_sum(list_transform(embedding::double[], lambda x: x * x)) > 0),
+p as (select a.vec_id x, b.vec_id y from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_cosine_similarity(a.e, b.e) >= 0.95),
+r as (select vec_id n, vec_id c from embeddings union select r.n, p.y from r join p on r.c = p.x),
+m as (select n, min(c) c from r group by n),
+k as (select x, count(*) k from p group by x)
+select e.vec_id, coalesce(k.k, 0)::bigint n_links, m.c component_id, e.vec_id = m.c kept
+from embeddings e left join k on e.vec_id = k.x left join m on e.vec_id = m.n
+"""
+
+ORACLE_SQL = {"op6_embedding_near_dups": EMBEDDING_SQL, "op2_substring_dedup": SUBSTRING_SQL, "op4_mix_sources": MIX_SQL.format(docs="documents")}

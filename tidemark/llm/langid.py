@@ -225,6 +225,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose ``text`` has a predicted language: all but those that are ``und``."""
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _local(model)
+        for batch in batches:
+            langs, _ = own.predict(batch.column(text_at).to_pylist())
+            yield batch.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, learned from the other folds."""
     model = fit(docs)

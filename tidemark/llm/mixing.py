@@ -46,6 +46,21 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[i
     return s.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _placed(docs: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int, carry: bool) -> DataFrame:
+    """Each row's size, source_size, target, whole epochs and words of a partial one; with ``carry``, its columns as ``_row``."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] * carry)
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = targets(sizes, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target")
+    placed = running_offsets(rows, ["source"], "_key", ["_key", "doc_id", "size"], "size")
+    placed = placed.join(goal, F.col("source").eqNullSafe(F.col("_source")))
+    whole = F.floor(F.col("target")).cast("bigint")
+    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("bigint")
+    placed = placed.withColumn("epochs", epochs)
+    rest = whole - F.col("epochs") * F.col("source_size")
+    return placed.withColumn("partial", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))).cast("bigint"))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of (doc_id, text, source).
 
@@ -56,15 +71,29 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, i
     of its own, a null doc_id has a hash of its own; repeated rows count each.  An empty
     table gives an empty result; other columns are not read.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target")
-    placed = running_offsets(rows, ["source"], "_key", ["_key", "doc_id", "size"], "size")
-    placed = placed.join(goal, F.col("source").eqNullSafe(F.col("_source")))
-    whole = F.floor(F.col("target")).cast("bigint")
-    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
-    rest = whole - epochs * F.col("source_size")
-    partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    taken = (epochs * F.col("size") + partial).cast("bigint")
+    placed = _placed(docs, weights, share, most, False)
+    taken = (F.col("epochs") * F.col("size") + F.col("partial")).cast("bigint")
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+    """The rows of the mix, with the columns of docs: a row for each epoch that takes it.
+
+    The one row of a source at the cut has the text's first words, as many as are taken, with one space between them, and
+    their number of characters in ``n_chars`` if there is such a column.  Rows without words are left out.
+    """
+    placed = _placed(docs, weights, share, most, True)
+    times = F.when(F.col("size") > 0, F.col("epochs") + (F.col("partial") > 0).cast("bigint")).otherwise(F.lit(0)).cast("int")
+    copies = placed.where(times > 0).select("_row", "epochs", "size", "partial", F.explode(F.sequence(F.lit(1), times)).alias("epoch"))
+    cut = (F.col("epoch") > F.col("epochs")) & (F.col("partial") < F.col("size"))
+    copies = copies.withColumn("_cut", F.when(cut, F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("partial").cast("int")), " ")))
+
+    def column(name: str) -> Column:
+        own = F.col("_row")[name]
+        if name == "text":
+            return F.coalesce("_cut", own).alias(name)
+        if name == "n_chars":
+            return F.coalesce(F.length("_cut").cast(docs.schema[name].dataType), own).alias(name)
+        return own.alias(name)
+
+    return copies.select(*[column(c) for c in docs.columns])

@@ -60,22 +60,24 @@ def place(key: Column, leaves: list[Leaf]) -> Column:
     return least([least([least(leaves) for leaves in racks.values()]) for racks in regions.values()])["shard"]
 
 
-def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds size, text_crc32, law, shard, slot and grown_shard to (key, text).
+def shard(docs: DataFrame, shards: int = 24, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of (doc_id, text).
 
+    With ``carry`` all columns of docs come first, as the struct ``row``.
     A null text counts as empty: size 8 and checksum 0.  A null key has a place of
     its own.  Repeated rows get the same shard and different slots.  An empty
     table gives an empty result, other columns are not read.
     """
-    raw = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    rows = raw.select(
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
         "doc_id",
-        (F.octet_length("_t").cast("bigint") + 8).alias("size"),
-        F.crc32(F.col("_t").cast("binary")).alias("text_crc32"),
+        (F.octet_length(text).cast("bigint") + 8).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_key"),
         place(F.col("doc_id"), tree(shards)).alias("shard"),
         place(F.col("doc_id"), tree(shards + 1)).alias("grown_shard"),
         F.lit(1).cast("bigint").alias("_one"),
+        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry,
     )
     slots = running_offsets(rows, ["shard"], "_key", ["_key", "doc_id", "text_crc32", "size"], "_one")
-    return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("before").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))
+    return slots.select(*["row"] * carry, "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("before").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))

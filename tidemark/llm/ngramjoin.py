@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, connected_components, mix64, release, saved, signed, stored, word_blocks
+from .covertree import Links
 
 SHINGLE = 5
 MINIMA = 5
@@ -215,14 +216,81 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def heavy_pairs(rows: DataFrame, least: int) -> DataFrame:
-    """As light_pairs, for keys with very many rows: only keys of several components are joined."""
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = rows.join(mixed, "key").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-    right = rows.join(mixed, "key").select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
-    pairs = left.join(right, "key").where(f"cx < cy and 100 * least(nx, ny) >= {least} * greatest(nx, ny)")
-    first = F.col("x") < F.col("y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+def heavy_links(rows: DataFrame, docs: DataFrame, least: int, block: int = 512) -> DataFrame:
+    """(a, b): a spanning forest of the links between sets that share a frequent element and are of different components.
+
+    Sets that such elements connect are a family, cut by size into classes of which only neighbours can be similar, and by hash into blocks.
+    A task has two blocks with whole sets and counts their overlaps as a product of matrices, so that a family's pairs are
+    compared but never written.
+    """
+    spark = rows.sparkSession
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("key", "first")
+    ties = saved(rows.join(mixed, "key").select(F.col("first").alias("a"), F.col("id").alias("b"), "n", "comp"))
+    family = connected_components(ties.select("a", "b")).withColumnRenamed("component", "family")
+    sized = ties.groupBy(F.col("b").alias("node")).agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    # sizes of neighbouring classes at most differ by the ratio that similar sets may have
+    sized = saved(sized.join(family, "node").withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / least)))))
+    counts = sized.groupBy("family", "class").agg(F.ceil(F.count("*") / block).alias("parts"))
+    placed = sized.join(counts, ["family", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    own = docs.join(placed.withColumnRenamed("node", "id"), "id").select("family", "class", "part", "id", "comp", "text")
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, comps, sizes, sets = [], [], [], []
+        for batch in group.to_batches():
+            for words in word_blocks(batch.column(5), lower=True):
+                doc, key = shingle_sets(words)
+                sets.append(key)
+                sizes.append(np.bincount(doc, minlength=len(words.rows)))
+                ids.append(batch.column(3).to_numpy()[words.rows])
+                comps.append(batch.column(4).to_numpy()[words.rows])
+        blob = lambda parts: pa.array([np.concatenate(parts).tobytes()], pa.binary())
+        return pa.table({**{c: group.column(c).slice(0, 1) for c in ("family", "class", "part")}, "ids": blob(ids), "comps": blob(comps), "sizes": blob(sizes), "sets": blob(sets)})
+
+    blocks = own.groupBy("family", "class", "part").applyInArrow(pack, "family long, class long, part long, ids binary, comps binary, sizes binary, sets binary")
+    blocks = saved(blocks)
+    release(spark)
+    fields = ["ids", "comps", "sizes", "sets"]
+    left = blocks.select("family", F.col("class").alias("at"), F.col("class").alias("c1"), F.col("part").alias("p1"), *[F.col(f).alias(f"{f}1") for f in fields])
+    right = blocks.select("family", F.explode(F.array("class", F.col("class") - 1)).alias("at"), F.col("class").alias("c2"), F.col("part").alias("p2"), *[F.col(f).alias(f"{f}2") for f in fields])
+    pairs = left.join(right, ["family", "at"]).where("c1 < c2 or p1 <= p2")
+    dealt = pairs.select(*[f"{f}{s}" for s in (1, 2) for f in fields], F.xxhash64("family", "c1", "p1", "c2", "p2").alias("deal")).repartition(F.col("deal")).drop("deal")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                value = lambda f: np.frombuffer(batch.column(f)[k].as_py(), np.uint64 if f[:4] == "sets" else np.int64)
+                a, b = _linked(*[[value(f"{f}{s}") for f in fields] for s in (1, 2)], least)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _linked(one: list[np.ndarray], two: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a forest of the links between two blocks of (ids, comps, sizes, sets)."""
+    both = np.intersect1d(one[3], two[3])
+    matrices = []
+    for _, _, sizes, sets in (one, two):
+        at = np.searchsorted(both, sets).clip(max=max(0, len(both) - 1))
+        met = both[at] == sets if len(both) else np.zeros(len(sets), bool)
+        matrices.append((np.repeat(np.arange(len(sizes)), sizes)[met], at[met]))
+    shared = np.zeros((len(one[0]), len(two[0])), np.int64)
+    for lo in range(0, len(both), 4096):
+        dense = []
+        for (row, at), (ids, *_) in zip(matrices, (one, two)):
+            part = (at >= lo) & (at < lo + 4096)
+            m = np.zeros((len(ids), min(4096, len(both) - lo)), np.float32)
+            m[row[part], at[part] - lo] = 1
+            dense.append(m)
+        shared += (dense[0] @ dense[1].T).astype(np.int64)
+    union = one[2][:, None] + two[2][None, :] - shared
+    near = (100 * shared >= least * union) & (one[1][:, None] != two[1][None, :])
+    i, j = np.nonzero(near)
+    names = np.unique(np.concatenate([one[0][i], two[0][j]]))
+    links = Links(len(names))
+    links.join(np.searchsorted(names, one[0][i]), np.searchsorted(names, two[0][j]))
+    moved = np.flatnonzero(links.label != np.arange(len(names)))
+    return names[moved], names[links.label[moved]]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
@@ -275,8 +343,8 @@ def components(docs: DataFrame, least: int = 75) -> DataFrame:
     release(spark)
     small = boundary(sizes, least)
     own = docs.join(saved(labelled), "id").select("id", "comp", "text")
-    pairs = light_pairs(prefixes(own, hot, small, least, False), least).union(heavy_pairs(prefixes(own, hot, small, least, True), least))
-    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    # a pair that shares a frequent element is settled by heavy_links; for the others all shared elements are light
+    counted = light_pairs(prefixes(own, hot, small, least, False), least).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
     # elements beyond the shorter prefix can't be more than what is left of that set
     beyond = [F.expr(f"{n} - ({n} - cast(ceil({least} * {n} / 100) as bigint) + 1)") for n in ("na", "nb")]
     needed = F.expr(f"{least} * (na + nb)") <= (F.col("k") + F.greatest(*beyond)) * (100 + least)
@@ -285,7 +353,10 @@ def components(docs: DataFrame, least: int = 75) -> DataFrame:
     release(spark)
     late = saved(verified(candidates, docs, least))
     release(spark)
-    links = near.union(late).union(members.where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b")))
+    with stored(prefixes(own, hot, small, least, True)) as heavy:
+        firm = saved(heavy_links(heavy, docs, least))
+    release(spark)
+    links = near.union(late).union(firm).union(members.where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b")))
     found = connected_components(links)
     out = plain.join(found, plain["id"] == found["node"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

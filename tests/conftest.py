@@ -1,6 +1,10 @@
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
+settings.register_profile("repo", deadline=None)
+settings.load_profile("repo")
+
 
 @pytest.fixture(scope="session")
 def spark():

@@ -78,7 +78,6 @@ def summaries(docs: DataFrame, local: int = 3) -> DataFrame:
             return both[first], np.add.reduceat(n, first) if len(first) else n
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for words in word_blocks(batch.column(1), lower=True):
                 doc, key = shingle_sets(words)
                 size = np.bincount(doc, minlength=len(words.rows))
@@ -89,7 +88,7 @@ def summaries(docs: DataFrame, local: int = 3) -> DataFrame:
                         out[i, full] = np.add.reduceat(mix64(key ^ np.uint64(0xC2B2AE3D27D4EB4F * (i + 1) % (1 << 64))), first)
                     for i in range(MINIMA):
                         out[2 + i, full] = np.minimum.reduceat(mix64(key + np.uint64(0x165667B19E3779F9 * (2 * i + 1) % (1 << 64))), first)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[words.rows]), pa.array(size.astype(np.int64)), *[pa.array(signed(x)) for x in out]], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(words.rows)), pa.array(size.astype(np.int64)), *[pa.array(signed(x)) for x in out]], names)
                 seen.append(key)
                 if sum(map(len, seen)) > 1 << 21:
                     counted, seen = fold(counted, seen), []

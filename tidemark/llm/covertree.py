@@ -243,7 +243,11 @@ def near_duplicates(table: DataFrame, least: float = 0.95, block: int = BLOCK, m
     every = saved(vectors(rows))
     classes = saved(every.groupBy("dim", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")))
     total = classes.count()
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("dim", "v").collect()
+    digest = F.xxhash64("id")
+    # far more than the sample fall below this part of the hashes, so that the sort for it stays small
+    part = min(1 << 32, (4 * max_sample << 32) // max(1, total))
+    low = classes.where(F.call_function("shiftrightunsigned", digest, F.lit(32)) < F.lit(part))
+    sample = low.orderBy(digest, "id").limit(max_sample).select("dim", "v").collect()
     cells = max(1, min(max_cells, total // block))
     centres: dict[int, np.ndarray] = {}
     for dim in sorted({r[0] for r in sample}):

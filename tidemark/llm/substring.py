@@ -5,10 +5,9 @@ one minimiser are a super-k-mer.  Equal windows have equal minimisers, so that
 
 1. documents of the same words are one class, of which the smallest doc_id counts;
 2. a minimiser that only one class has needs no further look;
-3. each other super-k-mer travels as one packed string; of equal strings only the smallest doc_id's goes on,
-   as all windows of the others are repeats;
-4. in the bucket of a minimiser the windows of what is left are sorted, and those after the first of
-   a run of equal ones are repeats if their doc_id is larger.
+3. each other super-k-mer travels as one packed string to the bucket of its minimiser, where windows are
+   sorted, and those after the first of a run of equal ones are repeats if their doc_id is larger;
+4. of equal strings of a batch only those of the smallest doc_id travel, as all windows of the others are repeats.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from .common import Words, mix64, release, saved, signed, word_blocks
 #: Words of a window, and of the runs that its minimiser is chosen from.
 WINDOW, RUN = 13, 5
 _FAR = np.uint64((1 << 64) - 1)
-_LENGTH = 20
+_LENGTH = 32
 
 
 def normal(column: pa.Array) -> pa.Array:
@@ -34,6 +33,13 @@ def normal(column: pa.Array) -> pa.Array:
     return pa.array([b" ".join(x.encode("utf-8", "surrogatepass").split()) if (x := v.as_py()) is not None else b"" for v in column], pa.large_binary())
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time, as texts are held in several forms."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def super_kmers(words: Words, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser, first word, windows) of each super-k-mer of a block."""
     total = len(words.hash) - window + 1
@@ -80,7 +86,7 @@ def minimisers(docs: DataFrame, window: int, run_words: int) -> DataFrame:
     """(mh, cls): each minimiser that a text has, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = normal(batch.column(0))
             cls = np.array([_class(hashlib.sha256(x.as_py()).digest()) for x in texts], np.int64)
             for words in word_blocks(texts):
@@ -95,16 +101,24 @@ def minimisers(docs: DataFrame, window: int, run_words: int) -> DataFrame:
     return docs.where("id is not null").select("text").mapInArrow(run, "mh long, cls long")
 
 
-def packed(docs: DataFrame, window: int, run_words: int, strings: bool) -> DataFrame:
-    """The super-k-mers of (cls, id, wanted minimisers, text): (mh, ph, id, cls, start, n), with their words if ``strings``."""
-    names = ["mh", "ph", "id", "cls", "start", "n", *["words"] * strings]
+def packed(docs: DataFrame, window: int, run_words: int) -> DataFrame:
+    """The super-k-mers of (cls, id, wanted minimisers, text): (deal, words, id, cls, start, n).
+
+    Of equal strings of a batch only those of the smallest id travel with their words, to the bucket of their minimiser;
+    the windows of the others are repeats already, and these rows, without words, are dealt evenly.  A string that very many
+    documents have so reaches its bucket once for each batch.
+    """
+    names = ["deal", "words", "id", "cls", "start", "n"]
+    salt = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = normal(batch.column(3))
             cls = batch.column(0).to_numpy()
             ids = batch.column(1).to_numpy()
             fits = np.array([_class(hashlib.sha256(x.as_py()).digest()) for x in texts], np.int64) == cls
+            rows: list[np.ndarray] = []
+            strings: list[bytes] = []
             for words in word_blocks(texts):
                 key, start, n = super_kmers(words, window, run_words)
                 if not len(key):
@@ -112,46 +126,52 @@ def packed(docs: DataFrame, window: int, run_words: int, strings: bool) -> DataF
                 doc = words.doc[start]
                 lists = [np.asarray(batch.column(2)[int(r)].as_py(), np.int64).view(np.uint64) for r in words.rows]
                 owner = np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists])
-                salt = np.uint64(0x9E3779B97F4A7C15)
                 keep = np.isin(mix64(key + doc.astype(np.uint64) * salt), mix64(np.concatenate(lists) + owner * salt)) & fits[words.rows[doc]]
                 key, start, n, doc = key[keep], start[keep], n[keep], doc[keep]
-                if not len(key):
-                    continue
-                last = start + n + window - 2
-                data = words.data
-                parts = [data[a:b].tobytes() for a, b in zip(words.start[start].tolist(), words.end[last].tolist())]
+                first, last = words.start[start].tolist(), words.end[start + n + window - 2].tolist()
+                strings += [words.data[a:b].tobytes() for a, b in zip(first, last)]
                 row = words.rows[doc]
-                ph = np.array([_class(hashlib.blake2b(p, digest_size=8).digest()) for p in parts], np.int64)
-                arrays = [pa.array(signed(key)), pa.array(ph), pa.array(ids[row]), pa.array(cls[row]), pa.array(start - words.first[doc]), pa.array(n)]
-                if strings:
-                    arrays.append(pa.array([p.decode("utf-8", "replace") for p in parts], pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    schema = "mh long, ph long, id long, cls long, start long, n long" + ", words string" * strings
-    return docs.select("cls", "id", "wanted", "text").mapInArrow(run, schema)
+                rows.append(np.stack([signed(key), ids[row], cls[row], start - words.first[doc], n]))
+            if not strings:
+                continue
+            mh, own, cls_of, start, n = np.concatenate(rows, axis=1)
+            least: dict[bytes, int] = {}
+            for text, i in zip(strings, own.tolist()):
+                if i < least.get(text, i + 1):
+                    least[text] = i
+            travels = np.array([least[t] for t in strings], np.int64) == own
+            deal = np.where(travels, mh, signed(mix64(cls_of.view(np.uint64))))
+            sent = pa.array([t.decode("utf-8", "replace") if k else None for t, k in zip(strings, travels.tolist())], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(deal), sent, *map(pa.array, (own, cls_of, start, n))], names)
+
+    return docs.select("cls", "id", "wanted", "text").mapInArrow(run, "deal long, words string, id long, cls long, start long, n long")
 
 
 def bucket_repeats(rows: DataFrame, window: int) -> DataFrame:
-    """(cls, start, n) of the windows of (mh, words, id, cls, start) whose words are in a row of a smaller id."""
+    """(cls, start, n) of the windows of packed rows whose words are in a row of a smaller id, and of the rows without words."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, several = None, None, False
-
-        def windows(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-            texts, ids, cls, at = [], [], [], []
-            for text, i, c, s in group:
-                parts = text.split(" ")
-                for k in range(len(parts) - window + 1):
-                    texts.append(" ".join(parts[k : k + window]))
-                    at.append(s + k)
-                ids += [i] * (len(parts) - window + 1)
-                cls += [c] * (len(parts) - window + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *[pa.array(x, pa.int64()) for x in (ids, cls, at)]], ["window", "id", "cls", "start"])
+        names = ["window", "id", "cls", "start", "n"]
+
+        def windows(group: list[tuple]) -> pa.RecordBatch:
+            texts, columns = [], [[], [], [], []]
+            for text, i, c, s, n in group:
+                parts = text.split(" ") if text is not None else None
+                k = 1 if parts is None else n
+                texts += [None] if parts is None else [" ".join(parts[p : p + window]) for p in range(n)]
+                for column, x in zip(columns, (i, c, None, None)):
+                    column += [x] * k
+                columns[2][-k:] = range(s, s + k)
+                columns[3][-k:] = [n] if parts is None else [1] * k
+            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *[pa.array(x, pa.int64()) for x in columns]], names)
 
         for batch in batches:
-            out = []
-            for mh, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if mh == last:
+            out, size = [], 0
+            for mh, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if row[0] is None:
+                    out.append(row)
+                elif mh == last:
                     # a bucket of one string holds no repeat; the first waits for the second
                     if not several:
                         out.append(held)
@@ -159,34 +179,41 @@ def bucket_repeats(rows: DataFrame, window: int) -> DataFrame:
                     out.append(row)
                 else:
                     held, last, several = row, mh, False
+                    continue
+                size += row[4]
+                if size > 50_000:
+                    yield windows(out)
+                    out, size = [], 0
             if out:
-                yield from windows(out)
+                yield windows(out)
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, least = None, None
         for batch in batches:
-            cls, start = [], []
-            for text, i, c, s in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if text != word:
+            found = []
+            for text, i, c, s, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if text is None:
+                    found.append((c, s, n))
+                elif text != word:
                     word, least = text, i
                 elif i > least:
-                    cls.append(c)
-                    start.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(start, pa.int64()), pa.array([1] * len(cls), pa.int64())], ["cls", "start", "n"])
+                    found.append((c, s, 1))
+            columns = list(zip(*found)) if found else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["cls", "start", "n"])
 
-    buckets = rows.select("mh", "words", "id", "cls", "start").repartition(F.col("mh")).sortWithinPartitions("mh")
-    windows = buckets.mapInArrow(unpack, "window string, id long, cls long, start long")
+    buckets = rows.repartition(F.col("deal")).sortWithinPartitions("deal")
+    windows = buckets.mapInArrow(unpack, "window string, id long, cls long, start long, n long")
     return windows.sortWithinPartitions("window", "id").mapInArrow(repeats, "cls long, start long, n long")
 
 
-def remove(docs: DataFrame, window: int) -> DataFrame:
-    """(cls, n_removed, kept) of (cls, spans, text): the words left when the windows of the spans are taken out."""
+def remove(docs: DataFrame, window: int, digest: bool = False) -> DataFrame:
+    """(cls, n_removed, kept) of (cls, spans, text): the words left when the windows of the spans are taken out, or their SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, removed, kept = [], [], []
-            for cls, spans, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            for cls, spans, value in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                words = (value.as_py() or "").encode("utf-8", "surrogatepass").split()
                 if _class(hashlib.sha256(b" ".join(words)).digest()) != cls:
                     continue
                 code = np.asarray(spans.as_py(), np.int64)
@@ -198,7 +225,8 @@ def remove(docs: DataFrame, window: int) -> DataFrame:
                 left = [w for w, x in zip(words, inside.tolist()) if not x]
                 found.append(cls)
                 removed.append(len(words) - len(left))
-                kept.append(b" ".join(left).decode("utf-8", "replace"))
+                text = b" ".join(left)
+                kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["cls", "n_removed", "kept"])
 
     return docs.select("cls", "spans", "text").mapInArrow(run, "cls long, n_removed long, kept string")
@@ -207,7 +235,7 @@ def remove(docs: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN) -> tuple[DataFrame, DataFrame]:
     """For (id, text): the rows of ``whole``; and (cls, id, spans) of the classes that have repeats of another class.
 
-    ``id`` is the class's smallest doc_id; a span is ``start << 20 | windows``.
+    ``id`` is the class's smallest doc_id; a span is ``start << 32 | windows``.
     """
     spark = docs.sparkSession
     rows = saved(whole(docs))
@@ -218,12 +246,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN)
     wanted = saved(wanted.join(classes, "cls"))
     release(spark)
     texts = docs.join(wanted, "id").select("cls", "id", "wanted", "text")
-    strings = packed(texts, window, run_words, True)
-    first = strings.groupBy("mh", "ph", "words").agg(F.min(F.struct("id", "cls", "start")).alias("f"))
-    first = saved(first.select("mh", "ph", "words", "f.id", "f.cls", "f.start"))
-    release(spark)
-    others = packed(texts, window, run_words, False).join(first.select("mh", "ph", F.col("id").alias("lo")), ["mh", "ph"]).where("id > lo").select("cls", "start", "n")
-    spans = others.union(bucket_repeats(first, window))
+    spans = bucket_repeats(packed(texts, window, run_words), window)
     code = F.shiftleft("start", _LENGTH) + F.least("n", F.lit((1 << _LENGTH) - 1))
     spans = saved(spans.groupBy("cls").agg(F.collect_list(code).alias("spans")).join(classes, "cls"))
     release(spark)
@@ -241,8 +264,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     rows, spans = repeated_spans(own, window)
-    cut = remove(own.join(spans, "id"), window).dropDuplicates(["cls"])
-    cut = cut.select(F.col("cls").alias("_c"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    cut = remove(own.join(spans, "id"), window, digest=True).dropDuplicates(["cls"])
+    cut = cut.select(F.col("cls").alias("_c"), "n_removed", F.col("kept").alias("kept_sha256"))
     classes = rows.where(f"id is not null and n >= {window}").groupBy("cls").agg(F.min("id").alias("lo")).withColumnRenamed("cls", "_l")
     out = rows.join(classes, rows["cls"] == F.col("_l"), "left").join(cut, rows["cls"] == F.col("_c"), "left")
     copy = F.col("id") > F.col("lo")

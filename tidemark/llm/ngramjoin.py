@@ -109,7 +109,15 @@ def frequent(rows: DataFrame, most: int = 1_000_000) -> tuple[np.ndarray, np.nda
     The order of elements decides only what the join costs, not what it finds, so that a bound is harmless.
     """
     counts = rows.where("n is null").groupBy(F.col("d1").alias("e")).agg(F.sum("m0").alias("c"))
-    found = counts.orderBy(F.desc("c"), "e").limit(most).toArrow()
+    # classes of counts, eight for each doubling, from the top as long as all of a class fits
+    level = F.floor(8 * F.log2("c"))
+    least, room = None, most
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    found = counts.where(level >= least if least is not None else F.lit(False)).toArrow()
     element = found.column("e").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(element)
     return element[order], found.column("c").to_numpy().astype(np.int64)[order]

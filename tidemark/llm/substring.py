@@ -232,24 +232,33 @@ def remove(docs: DataFrame, window: int, digest: bool = False) -> DataFrame:
     return docs.select("cls", "spans", "text").mapInArrow(run, "cls long, n_removed long, kept string")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN) -> tuple[DataFrame, DataFrame]:
-    """For (id, text): the rows of ``whole``; and (cls, id, spans) of the classes that have repeats of another class.
-
-    ``id`` is the class's smallest doc_id; a span is ``start << 32 | windows``.
-    """
-    spark = docs.sparkSession
-    rows = saved(whole(docs))
-    classes = rows.where(f"id is not null and n >= {window}").groupBy("cls").agg(F.min("id").alias("id"))
+def _wanted(docs: DataFrame, classes: DataFrame, window: int, run_words: int) -> DataFrame:
+    """(cls, wanted, id): the minimisers of each class that another class has too."""
     keys = minimisers(docs, window, run_words)
     shared = keys.groupBy("mh").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("mh")
     wanted = keys.join(shared, "mh").groupBy("cls").agg(F.collect_set("mh").alias("wanted"))
-    wanted = saved(wanted.join(classes, "cls"))
-    release(spark)
+    return saved(wanted.join(classes, "cls"))
+
+
+def _spans(docs: DataFrame, classes: DataFrame, wanted: DataFrame, window: int, run_words: int) -> DataFrame:
     texts = docs.join(wanted, "id").select("cls", "id", "wanted", "text")
     spans = bucket_repeats(packed(texts, window, run_words), window)
     code = F.shiftleft("start", _LENGTH) + F.least("n", F.lit((1 << _LENGTH) - 1))
-    spans = saved(spans.groupBy("cls").agg(F.collect_list(code).alias("spans")).join(classes, "cls"))
-    release(spark)
+    return saved(spans.groupBy("cls").agg(F.collect_list(code).alias("spans")).join(classes, "cls"))
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN) -> tuple[DataFrame, DataFrame]:
+    """For (id, text): the rows of ``whole``; and (cls, id, spans) of the classes that have repeats of another class.
+
+    ``id`` is the class's smallest doc_id; a span is ``start << 32 | windows``.  The steps are functions of their own, so that
+    when one ends nothing refers to its shuffles and they can be deleted before the next one.
+    """
+    rows = saved(whole(docs))
+    classes = rows.where(f"id is not null and n >= {window}").groupBy("cls").agg(F.min("id").alias("id"))
+    wanted = _wanted(docs, classes, window, run_words)
+    release(docs.sparkSession)
+    spans = _spans(docs, classes, wanted, window, run_words)
+    release(docs.sparkSession)
     return rows, spans
 
 

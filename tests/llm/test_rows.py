@@ -286,3 +286,25 @@ def test_secrets(spark):
     flagged = {r["doc_id"] for r in got if r["n_token"]}
     assert flagged == {4, 6}
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+NAMES = [
+    "some_long_identifier_name", "AnotherCamelCaseName", "HTTP_RESPONSE_CODE_404", "internationalisation", "/usr/local/lib/python3/dist-packages", "internal/deployments/configuration/staging/",
+    "getElementsByClassName", "MAX_CONNECTIONS_PER_HOST", "spark-sql-execution-arrow", "incomprehensibilities", "1234567890123456789012", "123e4567-e89b-12d3-a456-426614174000", "D41D8CD98F00B204E9800998ECF8427E",
+]
+
+
+ENCODING = secrets._encoding(secrets.read_ranks())
+
+
+def tokens_found(text, least=2.1):
+    return [text[s:e] for s, _, e in secrets.token_spans(text, ENCODING, least, secrets.base_spans(text))]
+
+
+def test_random_runs_of_any_alphabet_are_found():
+    rng = random.Random(10)
+    for alphabet in (string.ascii_uppercase + "234567", string.ascii_uppercase + string.digits, string.ascii_uppercase, string.ascii_lowercase, string.ascii_letters):
+        keys = ["".join(rng.choice(alphabet) for _ in range(24)) for _ in range(200)]
+        assert sum(tokens_found(f"key {k} end") == [k] for k in keys) >= 0.97 * len(keys), alphabet
+    assert tokens_found("JBSWY3DPEHPK3PXP") == ["JBSWY3DPEHPK3PXP"]
+    assert tokens_found("1" * 60 + "a " + " ".join(NAMES)) == []  # in linear time

@@ -18,16 +18,15 @@ KINDS = ("assign", "access", "hex", "token")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: A run that may be random; looked at only where it has a digit or an inner capital.
+#: A run that may be random.
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-_RANDOM_SHAPE = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{2}")
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hex digits.
 _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Names: words with a capital or a separator between them, digits only as a part of their own.
-_NAME = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_/=+-]+|(?=[A-Z0-9])|$))+|[A-Z]+|[a-z]+")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
+#: A word of capitals only, which the vocabulary cuts finer than the same word in lower case.
+_CAPITALS = re.compile(r"(?<![A-Za-z])[A-Z]{4,}(?![A-Za-z])")
 #: The pattern that splits text before the merges of the vocabulary.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -38,10 +37,10 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 def known_kind(run: str) -> bool:
-    """Whether a run is a digest, an identifier, a number or a name, which are no secrets by themselves."""
+    """Whether a run is a digest, an identifier or a number, which are no secrets by themselves; names are cleared by their ratio."""
     if _ALL_HEX.fullmatch(run) and len(run) in _DIGEST_LENGTHS:
         return True
-    return bool(_UUID.fullmatch(run) or _NUMBER.fullmatch(run) or _NAME.fullmatch(run))
+    return bool(_UUID.fullmatch(run) or _NUMBER.fullmatch(run))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -55,17 +54,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def word_tokens(run: str, encoding: tiktoken.Encoding) -> list[tuple[int, int]]:
+    """(start, end) of the tokens of a run that have letters or digits; words of capitals are read in lower case.
+
+    Tokens of separators don't count, so that a name isn't dense for having many short words.
+    """
+    found, at = [], 0
+    for token in encoding.encode_ordinary(_CAPITALS.sub(lambda m: m[0].lower(), run)):
+        end = at + len(encoding.decode_single_token_bytes(token))
+        if run[at].isalnum():
+            found.append((at, end))
+        at = end
+    return found
+
+
 def token_spans(text: str, encoding: tiktoken.Encoding, least: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs with fewer than ``least`` characters a token, outside of the spans that are taken."""
+    """Runs with fewer than ``least`` letters and digits a token, outside of the spans that are taken."""
     found = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if not _RANDOM_SHAPE.search(run) or known_kind(run):
+        if known_kind(m[0]):
             continue
         start, end = m.span()
         if any(s < end and start < e for s, _, e in taken):
             continue
-        if len(run) < least * len(encoding.encode_ordinary(run)):
+        tokens = word_tokens(m[0], encoding)
+        if sum(e - s for s, e in tokens) < least * len(tokens):
             found.append((start, 3, end))
     return found
 

@@ -308,3 +308,15 @@ def test_random_runs_of_any_alphabet_are_found():
         assert sum(tokens_found(f"key {k} end") == [k] for k in keys) >= 0.97 * len(keys), alphabet
     assert tokens_found("JBSWY3DPEHPK3PXP") == ["JBSWY3DPEHPK3PXP"]
     assert tokens_found("1" * 60 + "a " + " ".join(NAMES)) == []  # in linear time
+
+
+def test_keys_within_longer_runs_are_found():
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    for before, after in (("internal/deployments/configuration/staging/", ""), ("billing_service_production_access_key=", ""), ("", "/configuration/production/settings"), ("configuration", "")):
+        for _ in range(100):
+            k = key(24)
+            assert any(k[4:-4] in x for x in tokens_found(f"see {before}{k}{after} here")), (before, k, after)
+    a, b, piece = key(30), key(30), "0a1b2c3d4e5f" * 2
+    assert tokens_found(f"{a}Z{piece}Z{b}") == [a + "Z", "Z" + b]
+    assert tokens_found(f"id=123e4567-e89b-12d3-a456-426614174000/internal/configuration {'configuration/' * 40}") == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,6 +25,9 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: UUIDs and capital digests (small ones are of kind hex) as a part of a run.
+_INNER = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|{'|'.join(f'[0-9A-F]{{{n}}}' for n in sorted(_DIGEST_LENGTHS))})(?![A-Za-z0-9])")
+_LEAST_SIZE = 16
 _NUMBER = re.compile(r"[0-9+/_=-]+")
 #: A word of capitals only, which the vocabulary cuts finer than the same word in lower case.
 _CAPITALS = re.compile(r"(?<![A-Za-z])[A-Z]{4,}(?![A-Za-z])")
@@ -68,18 +72,48 @@ def word_tokens(run: str, encoding: tiktoken.Encoding) -> list[tuple[int, int]]:
     return found
 
 
+def dense_windows(run: str, encoding: tiktoken.Encoding, least: float) -> list[tuple[int, int]]:
+    """(start, end) in a run: all of it if it has under ``least`` letters and digits a token, else the joined windows that have.
+
+    A window is a stretch of whole tokens with a letter and 16 or more characters, where separators in
+    series count as one.  All of them are looked at in one pass: one that ends at a token is dense if
+    the excess of characters over ``least`` a token was higher at some start far enough to the left.
+    """
+    tokens = word_tokens(run, encoding)
+    if sum(e - s for s, e in tokens) < least * len(tokens):
+        return [(0, len(run))]
+    starts: list[tuple[int, float, int, int]] = []
+    size, excess, letters, last, ready = 0, 0.0, 0, 0, 0
+    best: tuple[int, float, int, int] | None = None
+    found: list[tuple[int, int]] = []
+    for s, e in tokens:
+        size += s > last
+        starts.append((size, excess, letters, s))
+        size, excess, letters, last = size + e - s, excess + e - s - least, letters + run[s].isalpha(), e
+        while ready < len(starts) and size - starts[ready][0] >= _LEAST_SIZE:
+            best = starts[ready] if best is None or starts[ready][1] >= best[1] else best
+            ready += 1
+        if best and excess < best[1] - 1e-9 and letters > best[2]:
+            if found and best[3] <= found[-1][1]:
+                found[-1] = min(found[-1][0], best[3]), e
+            else:
+                found.append((best[3], e))
+    return found
+
+
 def token_spans(text: str, encoding: tiktoken.Encoding, least: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs with fewer than ``least`` letters and digits a token, outside of the spans that are taken."""
+    """Dense stretches of runs, in what the taken spans, UUIDs and digests leave of them."""
     found = []
+    first, ends = 0, sorted((s, e) for s, _, e in taken)
     for m in _RUN.finditer(text):
-        if known_kind(m[0]):
-            continue
-        start, end = m.span()
-        if any(s < end and start < e for s, _, e in taken):
-            continue
-        tokens = word_tokens(m[0], encoding)
-        if sum(e - s for s, e in tokens) < least * len(tokens):
-            found.append((start, 3, end))
+        at, stop = m.span()
+        while first < len(ends) and ends[first][1] <= at:
+            first += 1
+        out = [(s, e) for s, e in ends[first : bisect.bisect_left(ends, (stop, 0))] if e > at]
+        for s, e in sorted([*out, *(x.span() for x in _INNER.finditer(text, at, stop)), (stop, stop)]):
+            if s - at >= _LEAST_SIZE and not known_kind(text[at:s]):
+                found += [(at + i, 3, at + j) for i, j in dense_windows(text[at:s], encoding, least)]
+            at = max(at, e)
     return found
 
 

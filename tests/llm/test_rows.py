@@ -216,6 +216,20 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert sorted(langid.predict_documents(wrong).collect()) == sorted(langid.predict_documents(docs).collect())
 
 
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(12)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    rows = [(i, text("abcde", 4), "short") for i in range(40)] + [(100 + i, "1" * 9000 + text("fghij", 5000), "long") for i in range(12)]
+    rows += [(200 + 10 * i + j, text([chr(0x4E00 + 3 * i + k) for k in range(3)], 3), f"x{i}") for i in range(70) for j in range(10)]
+    docs = documents(spark, rows)
+    model = langid.fit(docs)
+    assert set(model.langs) == {r[2] for r in rows} and sum(map(len, model.texts.values())) <= 8 * 16_000
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict_documents(docs).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.98 * len(rows)
+    plain = docs.withColumn("lang", F.lit(None).cast("string")).unionByName(documents(spark, [(9000, None), (9001, "1 2")]))
+    assert langid.known(plain, langid.fit(plain)).count() == len(rows)
+
+
 # 8
 
 

@@ -165,33 +165,45 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, max_bytes: int = 16_000, max_docs: int = 60, max_langs: int = 64) -> Model:
-    """Learns from a bounded sample of the labelled rows of (doc_id, text, lang).
+def _cut(text: bytes, size: int) -> bytes:
+    """The first bytes of a text, up to the end of a character."""
+    return text[:size].decode("utf-8", "ignore").encode() if len(text) > size else text
 
-    The sample has whole texts in the order of a hash of doc_id, up to ``max_docs`` rows and
-    ``max_bytes`` bytes for each of the ``max_langs`` most frequent languages (all together
-    hold at most 8 * ``max_bytes``); rows of the held-out fold and rows without a language,
-    an id or a letter are not learned from.
+
+def fit(docs: DataFrame, max_bytes: int = 16_000, max_docs: int = 60, least_bytes: int = 256) -> Model:
+    """Learns every language from a bounded sample of the labelled rows of (doc_id, text, lang).
+
+    All rows with a label, an id and a letter can be in the sample, whatever their size; only those of
+    the held-out fold can't.  Each language is learned from up to ``max_bytes`` bytes, less if there are
+    more than 8 (all together hold at most 8 * ``max_bytes``), but ``least_bytes`` in any case.
+    They are filled in the order of a hash of doc_id from the first rows, ``max_docs`` or one for each 32
+    bytes: short texts whole, of long ones the start from the first letter on, up to an eighth of the bytes.
     """
-    labelled = docs.where("lang is not null and text is not null").where(fold(F.col("doc_id")) != 2)
-    langs = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    labelled = docs.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).where(fold(F.col("doc_id")) != 2)
+    langs = [r[0] for r in labelled.select("lang").distinct().collect()]
     if not langs:
         return Model({})
-    each = min(max_bytes, 8 * max_bytes // len(langs))
+    each = max(least_bytes, min(max_bytes, 8 * max_bytes // len(langs)))
+    excerpt = each // 8
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    short = labelled.where(F.col("lang").isin(langs) & F.octet_length("text").between(200, each // 2))
-    ids = short.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("langid")).alias("_h"))
-    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_docs)
-    chosen = sorted((r[1], r[2], r[0]) for r in ids.select("doc_id", "lang", "_h").collect())
-    rows = labelled.where(F.col("doc_id").isin(sorted({c[2] for c in chosen}))).select("doc_id", "lang", "text") if chosen else None
-    texts = {(r[0], r[1]): r[2] for r in rows.collect()} if rows is not None else {}
-    found: dict[str, list[bytes]] = {}
-    for lang, _, doc in chosen:
-        part = normalised(texts.get((doc, lang)))
-        have = found.setdefault(lang, [])
-        if part and sum(map(len, have)) + len(part) <= each:
-            have.append(part)
-    return Model({lang: b" ".join(parts) for lang, parts in found.items() if parts})
+    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("langid")).alias("_h"), F.least(F.octet_length("text"), F.lit(excerpt)).alias("_size"))
+    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(max_docs, each // 32))
+    chosen, sizes = [], dict.fromkeys(langs, 0)
+    for lang, _, doc, size in sorted((r[1], r[2], r[0], r[3]) for r in ids.select("doc_id", "lang", "_h", "_size").collect()):
+        # twice the bytes, as texts may shrink when they are normalised
+        if sizes[lang] < 2 * each:
+            chosen.append((lang, doc))
+            sizes[lang] += size
+    start = F.substring(F.regexp_replace("text", r"(?s)^\P{L}+", ""), 1, excerpt).alias("text")
+    rows = labelled.where(F.col("doc_id").isin(sorted({c[1] for c in chosen}))).select("doc_id", "lang", start)
+    texts: dict[tuple, str] = {}
+    for doc, lang, text in rows.collect():
+        texts[doc, lang] = max(text, texts.get((doc, lang), ""))
+    found: dict[str, bytes] = {}
+    for lang, doc in dict.fromkeys(chosen):
+        have = found.get(lang, b"")
+        found[lang] = _cut(have + b" " * bool(have) + _cut(normalised(texts[doc, lang]), excerpt), each)
+    return Model(found)
 
 
 _models: dict[str, Model] = {}
@@ -226,14 +238,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, whose ``text`` has a predicted language: all but those that are ``und``."""
+    """The rows of docs, with all their columns, whose ``text`` has a predicted language: all but those that are ``und``.
+
+    A model without a language tells nothing of a text, so that all rows with a letter stay.
+    """
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _local(model)
         for batch in batches:
-            langs, _ = own.predict(batch.column(text_at).to_pylist())
-            yield batch.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+            texts = batch.column(text_at).to_pylist()
+            kept = [x != "und" for x in own.predict(texts)[0]] if own.texts else [bool(normalised(t)) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -75,6 +75,17 @@ def test_mined_rules(spark):
     assert sorted(map(str, wide.collect())) == sorted(map(str, urlrules.judge(frame, known, mining).collect()))
 
 
+def test_all_tokens_of_long_urls_are_mined(spark):
+    path = "/".join(f"p{chr(97 + k)}" for k in range(20))
+    pages = [(i, f"http://h{chr(97 + i % 5)}.org/{path}?zz{'bad' if i % 4 == 0 else 'good'}={i}") for i in range(400)] + [(1000, "ftp://other.net/?zzbad=1")]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    known = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    rules = {tuple(r["tokens"]): (r["confidence"], round(r["lift"], 6)) for r in urlrules.mine(frame, known).collect()}
+    assert rules["q:zzbad",] == (1.0, 4.0) and not any("q:zzgood" in r for r in rules)
+    blocked = {r["page_id"] for r in urlrules.judge(frame, known).where("verdict = 'block'").collect()}
+    assert blocked == {*range(0, 400, 4), 1000}
+
+
 # 4
 
 

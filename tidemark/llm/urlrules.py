@@ -28,8 +28,6 @@ class Mining:
     min_support: float = 0.002
     min_confidence: float = 0.5
     min_lift: float = 1.2
-    #: Only so many tokens of a URL, in order, are mined (all are matched), so that a repeated long URL has few subsets.
-    max_tokens: int = 14
     #: Beyond so many entries the index is joined by shuffle instead of broadcast.
     broadcast_rows: int = 50_000
 
@@ -77,17 +75,34 @@ def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> Data
 
     A page is labelled by the row of its id: bad if toxic is 1 or quality is 0, where one of
     repeated labels is enough.  Pages without a label, or with a null id, aren't mined.
+
+    All tokens of a URL count.  Those below the support can be in no rule and are left out.  Those
+    that the same pages hold are mined as one item, so that a repeated long URL has few subsets; a rule with
+    such an item stands for one with each of its tokens, and those with more of them, which say no more, are left out.
     """
+    from .common import saved
+
     bad = F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad"))
     known = pages.select("page_id", url_tokens(F.col("url")).alias("tokens")).join(marks, "page_id")
-    mined = F.slice(F.array_sort("tokens"), 1, mining.max_tokens)
-    items = F.concat(mined, F.array(F.when(F.col("bad") == 1, F.lit(BAD)).otherwise(F.lit(GOOD))))
-    baskets = known.select(items.alias("items"))
+    known = saved(known.select(F.monotonically_increasing_id().alias("row"), "tokens", F.when(F.col("bad") == 1, BAD).otherwise(GOOD).alias("mark")))
+    least = mining.min_support * known.count()
+    prints = [F.sum(F.xxhash64("row", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)]
+    frequent = known.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *prints).where(F.col("n") >= least)
+    alike = frequent.groupBy("n", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    joined = F.concat_ws(",", F.transform("members", lambda x: F.hex(x.cast("binary"))))
+    # at most as many tokens as an average URL has, divided by the support
+    item_of = F.broadcast(saved(alike.select(joined.alias("item"), F.explode("members").alias("token"))))
+    parts = known.select("row", F.explode(F.concat("tokens", F.array("mark"))).alias("token")).join(item_of, "token", "left")
+    own = F.coalesce("item", F.when(F.col("token").isin(BAD, GOOD), F.col("token")))
+    baskets = parts.groupBy("row").agg(F.collect_set(own).alias("items")).select("items")
     model = FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence, numPartitions=8).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BAD) & ~F.array_contains("antecedent", GOOD))
     rules = rules.where((F.col("confidence") >= mining.min_confidence) & (F.col("lift") >= mining.min_lift) & (F.size("antecedent") > 0))
-    return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift")
+    none = F.array(F.array().cast("array<string>"))
+    grown = lambda sets, item: F.flatten(F.transform(sets, lambda x: F.transform(F.split(item, ","), lambda t: F.array_append(x, F.unhex(t).cast("string")))))
+    tokens = F.explode(F.aggregate("antecedent", none, grown))
+    return rules.select(tokens.alias("tokens"), "confidence", "lift").withColumn("tokens", F.array_sort("tokens"))
 
 
 def matched(pages: DataFrame, rules: DataFrame, mining: Mining = Mining()) -> DataFrame:

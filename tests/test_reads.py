@@ -132,3 +132,14 @@ def test_plans(spark, tmp_path, rows):
     pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
     assert "GreaterThanOrEqual(key" in pushed and "LessThan(key" in pushed and "seqno" in pushed
     assert "WindowGroupLimit" in plan
+
+
+def test_scan_in_base64_is_whole(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import queries
+
+    n = F.col("id").cast("string")
+    log = spark.range(10_005).select(n.alias("key"), "id", F.lit(read.PUT).alias("op"), n.alias("value"), F.lit(0).alias("batch_pos"), F.lit(0).alias("run_id")).withColumnRenamed("id", "seqno")
+    monkeypatch.setattr(queries, "_log", lambda *_: log)
+    assert queries.b64_scan_page(spark, "").count() == 10_005

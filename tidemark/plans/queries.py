@@ -118,8 +118,8 @@ def scan_truncated_flag(spark, sf_dir):
 
 @_query(f"with {LOG}, {_visible()} select base64(k::blob) k, base64(v::blob) v, seqno from vis")
 def b64_scan_page(spark, sf_dir):
-    page = read.page(_log(spark, sf_dir), limit=10_000)
-    return page.select(F.base64(F.col("key").cast("binary")).alias("k"), F.base64(F.col("value").cast("binary")).alias("v"), "seqno")
+    rows = read.scan_all(_log(spark, sf_dir))
+    return rows.select(F.base64(F.col("key").cast("binary")).alias("k"), F.base64(F.col("value").cast("binary")).alias("v"), "seqno")
 
 
 @_query(f"with {LOG} select k, v, seqno, op::int op from log where k = '{ONE_KEY}'")

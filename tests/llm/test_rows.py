@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, secrets, sharding, urlrules, warc
+from tidemark.llm import langid, mixing, queries, secrets, sharding, urlrules, warc
 
 from .helpers import documents, words
 
@@ -161,6 +161,11 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derive(source.limit(0)).count() == 0
 
 
+def test_warc_query_returns_the_contents(spark):
+    rows = queries.op5_warc_derivatives(spark, SF).collect()
+    assert rows and all(r["block_digest"] == warc.digest(r["content"].encode()) and r["source_headers"] for r in rows)
+
+
 def test_plain_text():
     html = "<html><head><title>A &amp; B</title><script>var t='</p>';</script><style>p{}</style></head><body><p>one<br>two <b>bold</b>&nbsp;x</p><!-- no --><div>three<p>four</body>"
     assert warc.plain_text(html) == "A & B\none\ntwo bold x\nthree\nfour"

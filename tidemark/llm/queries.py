@@ -28,9 +28,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest row for each derived record of every page; the records themselves are ``warc.derive``'s."""
-    records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
-    return records.drop("content", "source_headers")
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
 def op6_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,9 @@ def place(key: Column, leaves: list[Leaf]) -> Column:
 
     A node's draw is the smallest draw below it, which is distributed as one draw of
     the summed weight: at each level the child is so chosen in proportion to its
-    weight.  As the draws of leaves don't depend on each other, a leaf that is
+    weight, and the descent ends at the leaf with the least draw of all: the
+    shard is that of flat weighted rendezvous hashing over the leaves, and regions and
+    racks don't change it.  As the draws of leaves don't depend on each other, a leaf that is
     added, or whose weight rises, only takes keys into itself, and one that is
     removed, or whose weight falls, only gives keys away; all other subtrees keep
     theirs.  A weight of 0 takes nothing.  A null key is drawn as the text ``null``.

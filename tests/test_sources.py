@@ -7,10 +7,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.functions.batches import FormatError, WriteBatch
-from tidemark.functions.crypto import SecretKey
+from tidemark.functions.crypto import AuthenticationError, SecretKey
 from tidemark.operators import read
 from tidemark.sources import sstable, wal
-from tidemark.sources.store import Config, Store, parse_log_name
+from tidemark.sources.store import Config, Store, parse_log_name, parse_run_name
+from tidemark.sources.wal import CorruptionError
 from tidemark.streaming.ingest import ingest
 
 
@@ -38,7 +39,7 @@ def test_store_life(spark, tmp_path):
     db.flush()
     reader = Store(spark, path)
     before = reader.scan_all()
-    assert db.compact() == 8 and db.statistics()["run_count"] == 1
+    assert db.compact() == 7 and db.statistics()["run_count"] == 1
     assert out(before) == out(db.scan_all()) == [(b"", b""), (b"a", b"2")]
     assert db.get(b"a", snap) == b"1" and db.get(b"b", snap) == b"1"
     assert out(db.range(b"a", b"b")) == [(b"a", b"2")]
@@ -46,7 +47,7 @@ def test_store_life(spark, tmp_path):
     db.vacuum()
     db = Store(spark, path)
     assert out(db.scan_all()) == [(b"", b""), (b"a", b"2")] and db.snapshot() == 6
-    assert db.run_metadata().first()["records"] == 8
+    assert db.run_metadata().first()["records"] == 7
 
 
 def test_replay_after_flush_changes_nothing(spark, tmp_path):
@@ -95,6 +96,111 @@ def test_encrypted_store(spark, tmp_path):
         Store(spark, str(tmp_path / "plain"), Config(encryption=key))
 
 
+def test_a_wrong_key_is_refused_and_changes_nothing(spark, tmp_path):
+    path, right, wrong = str(tmp_path / "db"), SecretKey(b"k" * 32), SecretKey(b"x" * 32)
+    db = Store(spark, path, Config(encryption=right))
+    for k in (b"a", b"b"):
+        db.put(k, b"value " + k)
+        db.flush()
+    with pytest.raises(AuthenticationError):
+        Store(spark, path, Config(encryption=wrong))
+    # even an instance that holds a wrong key can't read, or compact
+    broken = Store(spark, path, Config(encryption=right))
+    broken.config = Config(encryption=wrong)
+    for action in (lambda: broken.scan_all().collect(), broken.compact):
+        with pytest.raises(Exception, match="authentication"):
+            action()
+    db = Store(spark, path, Config(encryption=right))
+    assert out(db.scan_all()) == [(b"a", b"value a"), (b"b", b"value b")]
+    assert db.compact() == 2 and out(db.scan_all()) == [(b"a", b"value a"), (b"b", b"value b")]
+
+
+def test_sealed_values_are_bound_to_their_records(spark, tmp_path):
+    path = str(tmp_path / "db")
+    key = SecretKey(b"k" * 32)
+    db = Store(spark, path, Config(encryption=key))
+    db.write(WriteBatch().put(b"a", b"1").put(b"b", b"2"))
+    db.flush()
+    folder = db.manifest.runs[0]["folder"]
+    rows = spark.read.parquet(f"{path}/runs/{folder}").collect()
+    swapped = [(bytes(r["key"]), r["seqno"], r["op"], bytes(o["value"]), r["batch_pos"]) for r, o in zip(rows, rows[::-1])]
+    assert len({bytes(r["value"])[:12] for r in rows}) == 2
+    spark.createDataFrame(swapped, "key binary, seqno long, op tinyint, value binary, batch_pos int").write.mode("overwrite").parquet(f"{path}/runs/{folder}")
+    with pytest.raises(Exception, match="authentication"):
+        Store(spark, path, Config(encryption=key)).scan_all().collect()
+    assert not list((tmp_path / "db").glob("drafts/*"))
+
+
+def test_damaged_log_is_never_dropped(spark, tmp_path):
+    path = tmp_path / "db"
+    db = Store(spark, str(path))
+    db.put(b"a", b"1")
+    db.put(b"b", b"2")
+    segment = path / "wal/wal-00000002.log"
+    good = segment.read_bytes()
+    (path / "wal/.wal-00000002.log.crc").unlink()  # the local file system's own check
+    assert Store.log_damage(spark, str(path)).count() == 0
+    for bad in (good[:-1] + bytes([good[-1] ^ 1]), good[:-2], good[:40], b"", good.replace(b"\x02" + bytes(7), b"\x07" + bytes(7))):
+        segment.write_bytes(bad)
+        with pytest.raises(CorruptionError, match="wal-00000002.log"):
+            Store(spark, str(path))
+        assert segment.read_bytes() == bad
+        (row,) = Store.log_damage(spark, str(path)).collect() or [None]
+        assert row["path"].endswith("wal-00000002.log") and row["reason"]
+    segment.write_bytes(good)
+    db = Store(spark, str(path))
+    assert db.get(b"b") == b"2" and db.snapshot() == 2
+    db.flush()
+    assert not segment.exists() and out(db.scan_all()) == [(b"a", b"1"), (b"b", b"2")]
+
+
+def test_orphan_run_of_a_crashed_flush(spark, tmp_path):
+    db = Store(spark, str(tmp_path / "db"))
+    db.put(b"a", b"1")
+    orphan = db._write_run(db._logged_rows(), db.manifest.next_run)["folder"]  # a crash comes before the manifest
+    db = Store(spark, str(tmp_path / "db"))
+    db.flush()
+    assert out(db.scan_all()) == [(b"a", b"1")]
+    assert len(db.files.list("runs")) == 2
+    db.vacuum()
+    assert db.files.list("runs") == [db.manifest.runs[0]["folder"]] != [orphan]
+
+
+def test_the_newest_writer_counts(spark, tmp_path):
+    old = Store(spark, str(tmp_path / "db"))
+    old.put(b"k", b"1")
+    new = Store(spark, str(tmp_path / "db"))
+    new.put(b"k", b"2")
+    for action in (lambda: old.put(b"k", b"3"), old.flush, lambda: old.append(spark.createDataFrame([(b"x", 0, b"1")], "key binary, op int, value binary"))):
+        with pytest.raises(FileExistsError):
+            action()
+    new.flush()
+    assert new.get(b"k") == b"2" and new.snapshot() == 2
+
+
+def test_limits_and_pages(spark, tmp_path):
+    db = Store(spark, str(tmp_path / "db"), Config(max_key_bytes=4, max_value_bytes=6))
+    for key, value in ((b"12345", b""), (b"1", b"1234567")):
+        with pytest.raises(FormatError):
+            db.put(key, value)
+    for k in (b"a", b"b", b"c", b"d"):
+        db.put(k, k * 3)
+    page = db.scan_page("Yg==", "ZA==", 1).first()
+    assert [(r["key"], r["value"]) for r in page["records"]] == [("Yg==", "YmJi")] and page["truncated"]
+    assert len(db.scan_page().first()["records"]) == 4 and not db.scan_page(limit=4).first()["truncated"]
+    with pytest.raises(ValueError):
+        db.scan_page("no base64!")
+
+
+def test_filters_follow_the_configuration(spark, tmp_path):
+    sizes = []
+    for bits in (0, 4, 20):
+        db = Store(spark, str(tmp_path / f"db{bits}"), Config(bits_per_key=bits))
+        db.append(spark.createDataFrame([(b"k-%06d" % i, 0, b"") for i in range(20_000)], "key binary, op int, value binary"))
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / f"db{bits}").glob("runs/*/part-*")))
+    assert sizes[0] < sizes[1] < sizes[2]
+
+
 def test_two_writers_conflict(spark, tmp_path):
     one, two = (Store(spark, str(tmp_path / "db")) for _ in range(2))
     one.put(b"k", b"1")
@@ -118,6 +224,7 @@ def test_stream(spark, tmp_path):
 
 def test_names():
     assert parse_log_name("wal-00000012.log") == 12 and parse_log_name("wal-x.log") is None and parse_log_name("00000001.sst") is None
+    assert parse_run_name("00000012-0123456789ab") == 12 and parse_run_name("00000012") is None
 
 
 @settings(max_examples=30, deadline=None)

@@ -17,6 +17,10 @@ NONCE_TAG = 0x43464F4E
 KEY_BYTES, NONCE_BYTES, TAG_BYTES = 32, 12, 16
 
 
+class AuthenticationError(ValueError):
+    """A key that isn't the one that sealed."""
+
+
 @dataclass(frozen=True)
 class SecretKey:
     """A key whose text never shows it."""
@@ -55,6 +59,12 @@ def run_key(master: SecretKey, run_id: int, prefix: bytes = b"tidemark:run:v1:")
     return SecretKey(hkdf_sha256(master.material, prefix + struct.pack("<Q", run_id)))
 
 
+def key_check(master: SecretKey, salt: str) -> str:
+    """A digest that tells whether a key is the right one, and nothing else about it."""
+    own = hkdf_sha256(master.material, b"tidemark:check:v1")
+    return hmac.digest(own, salt.encode(), hashlib.sha256).hex()
+
+
 def nonce(position: Column) -> Column:
     """12 bytes that are unique for a position within a run."""
     return F.unhex(F.concat(F.lit(struct.pack("<I", NONCE_TAG).hex()), _little(position)))
@@ -87,12 +97,36 @@ def unseal(df: DataFrame, column: str, key: SecretKey, run_id: int, position: st
     return _with_key(df, key, run_id, position).withColumn(column, plain).drop("_key", "_nonce", "_bound")
 
 
-def _with_key(df: DataFrame, key: SecretKey, run_id: int, position: str) -> DataFrame:
+def _key_column(df: DataFrame, key: SecretKey, any_column: str) -> DataFrame:
+    """df with the key in ``_key``, from a broadcast variable by way of a UDF, so that no plan or log shows it."""
     shared = df.sparkSession.sparkContext.broadcast(key.material)
 
     @F.pandas_udf(T.BinaryType())
     def material(rows: pd.Series) -> pd.Series:
         return pd.Series([shared.value] * len(rows))
 
-    df = df.withColumn("_key", material(F.col(position)))
+    return df.withColumn("_key", material(F.col(any_column)))
+
+
+def _with_key(df: DataFrame, key: SecretKey, run_id: int, position: str) -> DataFrame:
+    df = _key_column(df, key, position)
     return df.withColumn("_nonce", nonce(F.col(position))).withColumn("_bound", bound(F.lit(run_id), F.col(position)))
+
+
+def _record_bound(run_id: int) -> str:
+    """SQL for the bytes that bind a value to its run, its number, its place in the batch, its operation and its key."""
+    return f"encode(concat_ws(':', '{run_id}', seqno, op, batch_pos, hex(key)), 'UTF-8')"
+
+
+def seal_records(rows: DataFrame, key: SecretKey, run_id: int) -> DataFrame:
+    """``value`` of a log's records encrypted, each under a random nonce, and bound to all else that the record holds."""
+    sealed = F.expr(f"aes_encrypt(value, _key, 'GCM', 'DEFAULT', unhex(''), {_record_bound(run_id)})")
+    return _key_column(rows, key, "seqno").withColumn("value", sealed).drop("_key")
+
+
+def unseal_records(rows: DataFrame, key: SecretKey, run_id: int) -> DataFrame:
+    """``value`` decrypted; a value that another key sealed, or that was changed or moved, fails the job."""
+    plain = F.expr(f"try_aes_decrypt(value, _key, 'GCM', 'DEFAULT', {_record_bound(run_id)})")
+    wrong = F.raise_error(F.lit("a value fails its authentication")).cast("binary")
+    opened = _key_column(rows, key, "seqno").withColumn("value", F.when(F.col("value").isNotNull(), F.coalesce(plain, wrong)))
+    return opened.drop("_key")

@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once, in the folder that the cluster names; a temporary one only where none is."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one where none is set, in local mode only."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        if configured is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-"))
+    return configured or context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once, in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -42,16 +53,33 @@ class Files:
             stream.close()
 
     def publish(self, name: str, data: bytes) -> None:
-        """Writes under another name, then renames; an existing name is an error."""
-        final, draft = self._path(name), self._path(name + ".draft")
+        """Writes under a name of its own, then renames; an existing name is an error.
+
+        The rename itself refuses an existing name on file systems such as HDFS; elsewhere it is looked for just before.
+        """
+        final, draft = self._path(name), self._path(f"drafts/{uuid.uuid4().hex}")
         stream = self._fs.create(draft, True)
         try:
             stream.write(bytearray(data))
         finally:
             stream.close()
+        self._fs.mkdirs(final.getParent())
         if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, True)
             raise FileExistsError(f"{name} was published by another writer")
 
+    def create(self, name: str, data: bytes) -> None:
+        """Creates a file that must not exist."""
+        path = self._path(name)
+        try:
+            stream = self._fs.create(path, False)
+        except Py4JJavaError as e:
+            raise FileExistsError(f"{name} exists") from e
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+
     def remove(self, name: str) -> None:
         """Idempotent."""
         self._fs.delete(self._path(name), True)

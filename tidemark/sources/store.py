@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import re
+import secrets
+import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.batches import MAX_OPS, FormatError, WriteBatch, decoded
-from ..functions.crypto import SecretKey, run_key, seal, unseal
+from ..functions.crypto import AuthenticationError, SecretKey, key_check, run_key, seal_records, unseal_records
 from ..operators import maintain, read
 from ..operators.log import LOG_SCHEMA, MAX_SEQNO
 from .fs import Files
-from .wal import SegmentWriter, read_segments
+from .wal import CorruptionError, SegmentWriter, read_segments
 
+_RECENT = T.StructType(LOG_SCHEMA.fields[:-1])
 _LOG_NAME = re.compile(r"wal-(\d{8,})\.log")
+_RUN_NAME = re.compile(r"(\d{8,})-[0-9a-f]{12}")
 
 
 def log_name(seqno: int) -> str:
@@ -29,12 +35,21 @@ def parse_log_name(name: str) -> int | None:
     return int(found[1]) if found else None
 
 
+def parse_run_name(name: str) -> int | None:
+    found = _RUN_NAME.fullmatch(name)
+    return int(found[1]) if found else None
+
+
 @dataclass(frozen=True)
 class Config:
+    """``bits_per_key`` sizes the Bloom filters of the runs; 0 leaves them out."""
+
     memtable_bytes: int = 4 << 20
     bits_per_key: int = 10
     partition_bytes: int = 128 << 20
     encryption: SecretKey | None = None
+    max_key_bytes: int = 1 << 30
+    max_value_bytes: int = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -48,14 +63,17 @@ class Manifest:
     encrypted: bool
     #: The last micro-batch of a stream that is in the runs.
     stream_batch: int = -1
+    #: Random text, and a digest of it under the key: tells a wrong key from the right one.
+    salt: str = ""
+    check: str = ""
 
     def to_json(self) -> bytes:
-        return json.dumps({"version": self.version, "seqno": self.seqno, "next_run": self.next_run, "runs": list(self.runs), "encrypted": self.encrypted, "stream_batch": self.stream_batch}).encode()
+        return json.dumps({**asdict(self), "runs": list(self.runs)}).encode()
 
     @classmethod
     def from_json(cls, data: bytes) -> Manifest:
         x = json.loads(data)
-        return cls(x["version"], x["seqno"], x["next_run"], tuple(x["runs"]), x["encrypted"], x["stream_batch"])
+        return cls(**{**x, "runs": tuple(x["runs"])})
 
 
 class Store:
@@ -65,26 +83,104 @@ class Store:
     and ``compact`` merges the runs.  Each publishes a new manifest by a rename; a reader keeps the one that it opened.
     Records are told apart by their numbers alone, so that a log that is replayed after its run was
     published changes nothing.
+
+    A store that is opened with another key than its own is refused before anything is read, and a value that fails its
+    authentication fails the read.  So does damage in the log: segments are published whole, so that every damaged
+    one was acknowledged; opening the store raises and leaves it as it is, and ``log_damage`` tells what is wrong.
+    Values are sealed in runs; keys, and the log until it is flushed, are plain text.
+
+    The first write makes an instance the writer, by a marker that only one can create; an older writer's next write fails, and
+    so does the first write of one that opened the store before the present writer did.
     """
 
     def __init__(self, spark: SparkSession, path: str, config: Config = Config()):
         self.spark, self.config, self.files = spark, config, Files(spark, path)
+        self._writer, self._seen = None, self._writers()
         versions = [int(n[:-5]) for n in self.files.list("manifest") if n.endswith(".json")]
+        key = config.encryption
         if versions:
             self.manifest = Manifest.from_json(self.files.read(f"manifest/{max(versions):010d}.json"))
         else:
-            self.manifest = Manifest(0, 0, 1, (), config.encryption is not None)
+            salt = secrets.token_hex(16) if key else ""
+            self.manifest = Manifest(0, 0, 1, (), key is not None, salt=salt, check=key_check(key, salt) if key else "")
             self._publish(self.manifest)
-        if self.manifest.encrypted != (config.encryption is not None):
+        if self.manifest.encrypted != (key is not None):
             raise FormatError("the store is encrypted, and no key is given" if self.manifest.encrypted else "the store is not encrypted, and a key is given")
-        self.logged = sorted(n for x in self.files.list("wal") if (n := parse_log_name(x)) is not None and n > self.manifest.seqno)
+        if key and key_check(key, self.manifest.salt) != self.manifest.check:
+            raise AuthenticationError("the key is not that of the store")
+        self.logged = self._log_numbers()
         self._seqno = max([self.manifest.seqno, *self.logged])
-        self._bytes = 0
+        self._recent = self._replayed()
+        self._bytes = sum(len(k) + len(v) for k, _, _, v, _ in self._recent)
+
+    def _log_numbers(self) -> list[int]:
+        return sorted(n for x in self.files.list("wal") if (n := parse_log_name(x)) is not None and n > self.manifest.seqno)
+
+    def _outcomes(self) -> DataFrame:
+        """(seqno of the segment's name, outcome, seqno, payload, reason) of what is logged."""
+        rows = read_segments(self.spark, [self.files.path(f"wal/{log_name(n)}") for n in self.logged])
+        return rows.withColumn("named", F.regexp_extract("path", r"wal-(\d+)\.log$", 1).cast("long"))
+
+    def _replayed(self) -> list[tuple]:
+        """The logged operations, which ``memtable_bytes`` bound but for the last batch; damage raises."""
+        if not self.logged:
+            return []
+        outcomes = self._outcomes().select("named", "outcome", "seqno", "payload", "reason").collect()
+        records, ended = {}, set()
+        for r in outcomes:
+            if r["outcome"] == "end":
+                ended.add(r["named"])
+            elif r["outcome"] == "record" and r["seqno"] == r["named"]:
+                records[r["named"]] = bytes(r["payload"])
+            else:
+                raise CorruptionError(f"{log_name(r['named'])}: {r['reason'] or 'a record of another segment'}")
+        for n in self.logged:
+            if n not in ended or n not in records:
+                raise CorruptionError(f"{log_name(n)}: the batch is missing")
+        found = []
+        for n in self.logged:
+            try:
+                found += self._rows(n, WriteBatch.decode(records[n]))
+            except ValueError as e:
+                raise CorruptionError(f"{log_name(n)}: {e}") from e
+        return found
+
+    @staticmethod
+    def _rows(seqno: int, batch: WriteBatch) -> list[tuple]:
+        return [(bytes(key), seqno, op, bytes(value), i) for i, (op, key, value) in enumerate(batch.ops)]
+
+    @classmethod
+    def log_damage(cls, spark: SparkSession, path: str) -> DataFrame:
+        """(path, outcome, truncate_to, reason) of the log segments that can't be read, without opening the store."""
+        files = Files(spark, path)
+        names = [n for n in files.list("wal") if parse_log_name(n) is not None]
+        schema = "path string, outcome string, truncate_to long, reason string"
+        if not names:
+            return spark.createDataFrame([], schema)
+        rows = read_segments(spark, [files.path(f"wal/{n}") for n in names]).withColumn("name", F.regexp_extract("path", r"[^/]+$", 0))
+        bad = rows.where("outcome not in ('record', 'end')").select("name", "outcome", "truncate_to", "reason")
+        broken = decoded(rows.where("outcome = 'record'")).where("error is not null")
+        broken = broken.select(F.format_string("wal-%08d.log", "seqno"), F.lit("record"), F.lit(None).cast("long"), "error")
+        listed = spark.createDataFrame([(n,) for n in names], "name string")
+        empty = listed.join(rows.where("outcome = 'record'"), "name", "left_anti").join(bad, "name", "left_anti")
+        return bad.union(broken).union(empty.select("name", F.lit("empty"), F.lit(None).cast("long"), F.lit("the batch is missing"))).toDF("path", "outcome", "truncate_to", "reason")
 
     def _publish(self, manifest: Manifest) -> None:
         self.files.publish(f"manifest/{manifest.version:010d}.json", manifest.to_json())
         self.manifest = manifest
 
+    def _writers(self) -> int:
+        return max([int(n) for n in self.files.list("writers") if n.isdigit()], default=0)
+
+    def _claim(self) -> None:
+        """Makes this the store's writer, or checks that it still is."""
+        newest = self._writers()
+        if newest != (self._seen if self._writer is None else self._writer):
+            raise FileExistsError("the store has another writer")
+        if self._writer is None:
+            self.files.create(f"writers/{newest + 1:010d}", b"")
+            self._writer = newest + 1
+
     def _advance(self) -> int:
         if self._seqno >= MAX_SEQNO:
             raise OverflowError("sequence numbers end at 2**63 - 1")
@@ -103,12 +199,17 @@ class Store:
         """Commits a batch under one number, which is returned; an empty one takes a number too."""
         if len(batch) > MAX_OPS:
             raise FormatError(f"a batch holds {MAX_OPS} operations at most")
+        for _, key, value in batch.ops:
+            if len(key) > self.config.max_key_bytes or len(value) > self.config.max_value_bytes:
+                raise FormatError(f"a key has {self.config.max_key_bytes} bytes at most, a value {self.config.max_value_bytes}")
         payload = batch.encode()
+        self._claim()
         seqno = self._advance()
         segment = SegmentWriter(seqno, seqno)
         segment.append(seqno, payload)
         self.files.publish(f"wal/{log_name(seqno)}", bytes(segment.data))
         self.logged.append(seqno)
+        self._recent += self._rows(seqno, batch)
         self._bytes += len(payload)
         if self._bytes >= self.config.memtable_bytes:
             self.flush()
@@ -121,6 +222,7 @@ class Store:
         """
         if stream_batch is not None and stream_batch <= self.manifest.stream_batch:
             return self._seqno
+        self._claim()
         self.flush()
         seqno = self._advance()
         pos = F.col("batch_pos") if "batch_pos" in ops.columns else F.lit(0)
@@ -131,24 +233,29 @@ class Store:
     # runs
 
     def _write_run(self, rows: DataFrame, number: int) -> dict:
-        """Writes rows sorted by key, newest first, in key ranges; what the manifest says of them."""
-        path = self.files.path(f"runs/{number:08d}")
-        if self.config.encryption:
-            rows = rows.withColumn("position", F.monotonically_increasing_id())
-            # a position is part of the nonce, so that it is fixed before the values are sealed
-            self.files.remove(f"drafts/{number:08d}")
-            draft = self.files.path(f"drafts/{number:08d}")
-            rows.write.parquet(draft)
-            rows = seal(self.spark.read.parquet(draft), "value", run_key(self.config.encryption, number), number)
+        """Writes rows sorted by key, newest first, in key ranges; what the manifest says of them.
+
+        Each attempt has a folder and a key of its own, so that what a crash leaves behind is in nobody's way; ``vacuum`` deletes it.
+        """
+        folder = f"{number:08d}-{uuid.uuid4().hex[:12]}"
+        path = self.files.path(f"runs/{folder}")
+        bits = self.config.bits_per_key
         size = rows.agg(F.count("*"), F.sum(F.octet_length("key") + F.octet_length("value") + 24)).first()
         parts = max(1, -(-(size[1] or 0) // self.config.partition_bytes))
         sort = ["key", F.desc("seqno"), F.desc("batch_pos")]
         ranged = rows.repartitionByRange(parts, "key") if parts > 1 else rows.coalesce(1)
-        ranged.sortWithinPartitions(*sort).write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        ranged = ranged.sortWithinPartitions(*sort)
         if self.config.encryption:
-            self.files.remove(f"drafts/{number:08d}")
+            ranged = seal_records(ranged, self._run_key(folder), number)
+        # a filter of so many bits a key has this share of false positives
+        share = min(0.99, 0.6185 ** max(1, bits))
+        writer = ranged.write.option("parquet.bloom.filter.enabled#key", str(bits > 0).lower()).option("parquet.bloom.filter.fpp#key", str(share))
+        writer.option("parquet.bloom.filter.expected.ndv#key", str(max(1, size[0] // parts))).parquet(path)
         found = self.spark.read.parquet(path).agg(F.count("*"), F.hex(F.min("key")), F.hex(F.max("key")), F.min("seqno"), F.max("seqno")).first()
-        return {"run_id": number, "records": found[0], "min_key": found[1], "max_key": found[2], "min_seqno": found[3], "max_seqno": found[4], "encrypted": bool(self.config.encryption)}
+        return {"run_id": number, "folder": folder, "records": found[0], "min_key": found[1], "max_key": found[2], "min_seqno": found[3], "max_seqno": found[4], "encrypted": bool(self.config.encryption)}
+
+    def _run_key(self, folder: str) -> SecretKey:
+        return run_key(self.config.encryption, parse_run_name(folder), f"tidemark:run:v2:{folder}:".encode())
 
     def _add_run(self, rows: DataFrame, seqno: int, stream_batch: int | None = None) -> None:
         number = self.manifest.next_run
@@ -158,22 +265,17 @@ class Store:
 
     def _logged_rows(self) -> DataFrame:
         """The operations of the logged batches; empty where there are none."""
-        empty = self.spark.createDataFrame([], LOG_SCHEMA).drop("run_id")
-        if not self.logged:
-            return empty
-        paths = [self.files.path(f"wal/{log_name(n)}") for n in self.logged]
-        records = read_segments(self.spark, paths).where("outcome = 'record'")
-        rows = decoded(records).where("error is null and op is not null")
-        return rows.select("key", "seqno", "op", F.coalesce("value", F.lit(b"")).alias("value"), "batch_pos")
+        return self.spark.createDataFrame(self._recent, _RECENT)
 
     def flush(self) -> None:
         """Moves the logged batches into a run; nothing to do without any."""
         if not self.logged:
             return
+        self._claim()
         self._add_run(self._logged_rows(), self._seqno)
         for n in self.logged:
             self.files.remove(f"wal/{log_name(n)}")
-        self.logged, self._bytes = [], 0
+        self.logged, self._recent, self._bytes = [], [], 0
 
     close = flush
 
@@ -184,6 +286,7 @@ class Store:
         """
         if len(self.manifest.runs) < 2:
             return 0
+        self._claim()
         old = self.manifest.runs
         rows = maintain.compacted([self._run(r) for r in old])
         rows = rows if floor is None else maintain.pruned(rows, floor)
@@ -194,7 +297,8 @@ class Store:
 
     def vacuum(self) -> None:
         """Deletes runs and manifests that the current manifest doesn't name; readers of older ones then fail."""
-        named = {f"{r['run_id']:08d}" for r in self.manifest.runs}
+        self._claim()
+        named = {r["folder"] for r in self.manifest.runs}
         for name in self.files.list("runs"):
             if name not in named:
                 self.files.remove(f"runs/{name}")
@@ -205,9 +309,9 @@ class Store:
     # reads
 
     def _run(self, run: dict) -> DataFrame:
-        rows = self.spark.read.parquet(self.files.path(f"runs/{run['run_id']:08d}"))
+        rows = self.spark.read.parquet(self.files.path(f"runs/{run['folder']}"))
         if run["encrypted"]:
-            rows = unseal(rows, "value", run_key(self.config.encryption, run["run_id"]), run["run_id"]).drop("position")
+            rows = unseal_records(rows, self._run_key(run["folder"]), run["run_id"])
         return rows.withColumn("run_id", F.lit(run["run_id"]).cast("long"))
 
     def log(self, keys: tuple[bytes | None, bytes | None] = (None, None), seqno: int | None = None) -> DataFrame:
@@ -238,6 +342,12 @@ class Store:
     def range(self, start: bytes, end: bytes) -> DataFrame:
         return self.range_bounds(read.included(start), read.excluded(end))
 
+    def scan_page(self, start: str | None = None, end: str | None = None, limit: int = 1000) -> DataFrame:
+        """One row, ``records`` and ``truncated``, for base64 bounds: the start is included, the end is not.  Bad base64 is an error."""
+        lo, hi = (None if x is None else base64.b64decode(x, validate=True) for x in (start, end))
+        bounds = read.UNBOUNDED if lo is None else read.included(lo), read.UNBOUNDED if hi is None else read.excluded(hi)
+        return read.response(self.log((lo, hi)), *bounds, limit)
+
     def scan_all(self, seqno: int | None = None) -> DataFrame:
         return self.range_bounds(seqno=seqno)
 

@@ -1,12 +1,15 @@
 """Operators 3, 4, 5, 7, 8 and 9: brute force, round trips, held-out accuracy, odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import string
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,20 +270,83 @@ def test_sharding(spark):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
-def test_weights_move_rows_only_where_they_change(spark):
+def slow_place(key, leaves):
+    """The descent for one key, with whole numbers and no arrays."""
+    mask, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ x >> 31) * 0x7FB5D329728EA185 & mask
+        x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D & mask
+        return x ^ x >> 33
+
+    def draw(*parts):
+        x = key
+        for p in parts:
+            x = mix(((x ^ p) * odd + odd) & mask)
+        return -math.log(((x >> 11) + 1.0) / 2.0**53)
+
+    total = lambda ls: sum(x.capacity for x in ls)
+    below = lambda **at: [x for x in leaves if x.capacity > 0 and all(getattr(x, k) == v for k, v in at.items())]
+    regions = sorted({x.region for x in leaves if x.weight > 0})
+    times = {r: [draw(sharding.TIME, r, 0) / total(below(region=r)), 0] for r in regions}
+    while True:
+        region = min(regions, key=lambda r: (times[r][0], r))
+        nth = times[region][1]
+        rack = min(sorted({x.rack for x in below(region=region)}), key=lambda k: draw(sharding.RACK, k, nth) / total(below(region=region, rack=k)))
+        leaf = min(below(region=region, rack=rack), key=lambda x: draw(sharding.SHARD, x.shard, nth) / x.capacity)
+        if math.exp(-draw(sharding.ACCEPT, leaf.shard, nth)) <= leaf.weight / leaf.capacity:
+            return leaf.shard
+        times[region] = [times[region][0] + draw(sharding.TIME, region, nth + 1) / total(below(region=region)), nth + 1]
+
+
+def test_descent_against_a_plain_one():
+    rng = random.Random(3)
+    keys = [rng.getrandbits(64) for _ in range(1500)]
+    weighted = [replace(x, weight=[0.0, 0.2, 0.9, 1.0, 2.5][x.shard % 5], capacity=4.0) for x in sharding.tree(30)]
+    for leaves in (sharding.tree(24), sharding.tree(25), sharding.tree(1), weighted, [replace(x, rack=x.shard % 5, region=x.shard % 2) for x in weighted]):
+        got = sharding.Placement(leaves).place(np.array(keys, np.uint64))
+        assert got.tolist() == [slow_place(k, leaves) for k in keys]
+
+
+def test_shares_follow_weights_at_every_level():
+    keys = np.random.default_rng(4).integers(0, 1 << 63, 60_000).astype(np.uint64)
+    leaves = [replace(x, weight=(1 + x.shard % 4) / 4) for x in sharding.tree(30)]
+    got = sharding.Placement(leaves).place(keys)
+    every = sum(x.weight for x in leaves)
+    for name in ("region", "rack", "shard"):
+        want = Counter()
+        for x in leaves:
+            want[getattr(x, name)] += x.weight / every
+        of = {x.shard: getattr(x, name) for x in leaves}
+        have = Counter(of[g] for g in got.tolist())
+        for k, share in want.items():
+            assert abs(have[k] / len(keys) - share) < 5 * math.sqrt(share / len(keys))
+
+
+def test_changes_move_keys_only_where_they_are(spark):
     ids = spark.range(4000)
     leaves = sharding.tree(24)
     place = lambda ls: {r[0]: r[1] for r in ids.select("id", sharding.place(F.col("id"), ls)).collect()}
-    before = place(leaves)
-    heavier = [sharding.Leaf(x.shard, x.region, x.rack, 3.0 if x.shard == 7 else 1.0) for x in leaves]
-    gone = [sharding.Leaf(x.shard, x.region, x.rack, 0.0 if x.shard == 7 else 1.0) for x in leaves]
-    after = place(heavier)
+    heavy = lambda w: [replace(x, weight=w if x.shard == 7 else 1.0, capacity=4.0) for x in leaves]
+    before, after = place(heavy(1.0)), place(heavy(3.0))
     assert all(after[i] in (before[i], 7) for i in before) and 2 < sum(after[i] == 7 for i in before) / sum(before[i] == 7 for i in before) < 4
-    after = place(gone)
-    assert all(after[i] == before[i] for i in before if before[i] != 7) and 7 not in after.values()
+    gone = place(heavy(0.0))
+    assert all(gone[i] == before[i] for i in before if before[i] != 7) and 7 not in gone.values()
     for n in (12, 13, 30):
         a, b = place(sharding.tree(n)), place(sharding.tree(n + 1))
         assert all(b[i] in (a[i], n) for i in a)
+    # a rack that goes from one region to another: keys move, all of them within, into or out of those two regions
+    leaves = sharding.tree(36)
+    before, after = place(leaves), place([replace(x, region=1) if x.rack == 8 else x for x in leaves])
+    region = {x.shard: x.region for x in leaves}
+    moved = [i for i in before if before[i] != after[i]]
+    assert len(moved) > 100 and all(region[before[i]] != 0 or region[after[i]] != 0 for i in moved)
+    # within a region that stays: other racks
+    regrouped = place([replace(x, rack=30 + x.shard % 3) if x.region == 2 else x for x in leaves])
+    moved = [i for i in before if before[i] != regrouped[i]]
+    assert len(moved) > 100 and all(region[before[i]] == region[regrouped[i]] == 2 for i in moved)
+    with pytest.raises(ValueError):
+        sharding.Placement([replace(x, weight=2.0) for x in leaves])
 
 
 # 9

@@ -145,3 +145,40 @@ def test_damage_changes_checksums():
         other = bytearray(data)
         other[bit // 8] ^= 1 << bit % 8
         assert checksum.crc32c(bytes(other)) != checksum.crc32c(data) and checksum.xxh3(bytes(other)) != checksum.xxh3(data)
+
+
+def test_varint_decode_columns(spark):
+    rng = random.Random(4)
+    datas = [varint.encode(v) for v in (*EDGES, 2**64 - 1)] + [b"", b"\x80", b"\x80\x00", b"\x81\x80\x00", b"\xff" * 10, b"\xff" * 9 + b"\x01", b"\xff" * 9 + b"\x02", b"\xff" * 4 + b"\x0f", b"\xff" * 4 + b"\x10", b"\x80" * 5 + b"\x01", b"\x05rest"]
+    datas += [rng.randbytes(rng.randrange(1, 12)) for _ in range(300)]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(datas)] + [(-1, None)], "i int, d binary")
+    for bits in (32, 64):
+        for canonical, f in ((False, varint.decode), (True, varint.decode_canonical)):
+            for i, got in rows.select("i", varint.decoded(F.col("d"), bits, canonical)).collect():
+                try:
+                    value, size = f(datas[i], 0, bits) if i >= 0 else (None, None)
+                    want = None if value is None else (value - (value >> 63 << 64), size)
+                except varint.DecodeError:
+                    want = None
+                assert (tuple(got) if got else None) == want, (datas[i], bits, canonical)
+
+
+def test_streamed_digest_and_accessors():
+    data = bytes(range(256)) * 9
+    state = checksum.Xxh3()
+    for at in range(0, len(data), 100):
+        state.update(data[at : at + 100])
+    assert state.digest() == checksum.xxh3(data) and checksum.Xxh3().digest() == checksum.xxh3(b"")
+    one = bloom.BlockedBloom.sized(1000, 12, 5)
+    assert (one.num_blocks, one.hashes, one.bits_per_key, one.keys, one.byte_size) == (24, 5, 12, 0, 24 * 64)
+
+
+def test_batches_of_many_runs(spark):
+    rng = random.Random(6)
+    rows = [(run, s, p, int(rng.random() < 0.2), b"k%d" % rng.randrange(9), b"v" * rng.randrange(300)) for run in range(3) for s in range(1, 40) for p in range(rng.randrange(1, 9))]
+    rows = [(r, s, p, o, k, b"" if o else v) for r, s, p, o, k, v in rows]
+    log = spark.createDataFrame(rows, "run_id long, seqno long, batch_pos int, op tinyint, key binary, value binary").repartition(5)
+    payloads = batches.encoded(log, "run_id")
+    back = [(r["run_id"], r["seqno"], r["batch_pos"], r["op"], bytes(r["key"]), bytes(r["value"])) for r in batches.decoded(payloads, also=("run_id",)).collect()]
+    assert sorted(back) == sorted(rows) and payloads.count() == 3 * 39
+    assert batches.encoded(log.limit(0)).count() == 0

@@ -143,3 +143,57 @@ def test_scan_in_base64_is_whole(spark, monkeypatch):
     log = spark.range(10_005).select(n.alias("key"), "id", F.lit(read.PUT).alias("op"), n.alias("value"), F.lit(0).alias("batch_pos"), F.lit(0).alias("run_id")).withColumnRenamed("id", "seqno")
     monkeypatch.setattr(queries, "_log", lambda *_: log)
     assert queries.b64_scan_page(spark, "").count() == 10_005
+
+
+def test_prefixes_at_the_edges_of_characters(spark):
+    keys = ["a\U0010ffff", "a\U0010ffffz", "b", "\ud7ff", "\ud7ffx", "\ue000", "\U0010ffff", "\U0010ffff!"]
+    log = spark.createDataFrame([(k, i + 1, 0, k) for i, k in enumerate(keys)], "key string, seqno long, op int, value string")
+    for prefix in ("a\U0010ffff", "\ud7ff", "\U0010ffff", "a", ""):
+        assert {r["key"] for r in read.prefix_scan(log, prefix).collect()} == {k for k in keys if k.startswith(prefix)}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_neighbours_over_ranges(spark, parts):
+    """Neighbours of sorted rows, of which one key has most, in ranges of any number."""
+    rows = [(0 if i % 3 else i, i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "k long, i long").repartitionByRange(parts, "k", "i").sortWithinPartitions("k", "i")
+    want = sorted(rows)
+    for step in (1, -1):
+        got = read.with_neighbour(frame, ["k", "i"], step, "near", place="place").collect()
+        assert len(got) == 500
+        for r in got:
+            at = r["place"] - 1
+            other = want[at + step] if 0 <= at + step < 500 else None
+            assert want[at] == (r["k"], r["i"]) and (tuple(r["near"]) if r["near"] else None) == other
+    assert read.with_neighbour(frame.limit(0), ["k"], 1, "near").count() == 0
+
+
+def test_pruning_is_what_intervals_say(spark, rows):
+    log = make(spark, [(k, s // 3, o, v, s % 3) for k, s, o, v in rows])
+    key = lambda r: (bytes(r["key"]), r["seqno"], r["batch_pos"])
+    versions = sorted(map(key, log.collect()))
+    until = {a: b[1] if b[0] == a[0] else None for a, b in zip(versions, [*versions[1:], (None, None, None)])}
+    got = maintain.with_intervals(log).collect()
+    assert {key(r): r["until"] for r in got} == until and len(got) == len(versions)
+    ops = {key(r): r["op"] for r in log.collect()}
+    for floor in (0, 20, 1000):
+        want = [v for v in versions if (until[v] is None or until[v] > floor) and not (ops[v] == 1 and v[1] <= floor)]
+        assert sorted(map(key, maintain.pruned(log, floor).collect())) == want
+
+
+def test_blocks_and_prefixes_by_ranges(spark):
+    """A run of most rows is not gathered in a task: no window goes by run."""
+    log = make(spark, [(b"key-%04d" % (i % 300), i + 1, 0, b"v", 0, 0 if i % 9 else 1) for i in range(900)])
+    ordered = sorted((r["run_id"], bytes(r["key"]), -r["seqno"]) for r in log.collect())
+    want, stored = {}, {}
+    for run in (0, 1):
+        keys = [k for n, k, _ in ordered if n == run]
+        for i, k in enumerate(keys):
+            records, last = want.get((run, i // 64), (0, b""))
+            want[run, i // 64] = (records + 1, max(last, k))
+            shared = 0 if i % 16 == 0 else next((j for j in range(8) if keys[i - 1][j] != k[j]), 8)
+            stored[run] = stored.get(run, 0) + 8 - shared
+    assert {(r["run_id"], r["block"]): (r["records"], bytes(r["last_key"])) for r in maintain.block_index(log, 64).collect()} == want
+    df = maintain.prefix_compression(log)
+    assert {r["run_id"]: r["stored_bytes"] for r in df.collect()} == stored
+    assert "windowspecdefinition(run_id" not in df._jdf.queryExecution().toString()

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.functions.batches import FormatError, WriteBatch
+from tidemark.functions.batches import FormatError, WriteBatch, decoded
 from tidemark.functions.crypto import AuthenticationError, SecretKey
 from tidemark.operators import read
 from tidemark.sources import sstable, wal
@@ -298,3 +298,36 @@ def test_table_filter_and_damage(spark, tmp_path):
     assert sum(r["error"] is None for r in got) == 200 and sum(r["error"] is not None for r in got) == 1
     log = sstable.read_tables(spark, str(tmp_path)).where("error is null")
     assert len(out(read.visible(log))) == sum(r[2] == 0 for r in rows)
+
+
+def test_files_of_a_log_rotate(spark):
+    rows = [(run, s, 0, int(s % 7 == 0), b"key-%04d" % (s * 37 % 200), b"" if s % 7 == 0 else b"v" * (s % 90)) for run in (1, 2) for s in range(1, 400)]
+    log = spark.createDataFrame(rows, "run_id long, seqno long, batch_pos int, op tinyint, key binary, value binary").repartition(6)
+    want = sorted((r, s, k) for r, s, _, _, k, _ in rows)
+    files = wal.segments(log, rotate_at=4000)
+    assert files.groupBy("run_id").count().where("count > 3").count() == 2
+    named = files.selectExpr("format_string('%d-%d', run_id, segment) path", "content")
+    found = wal.outcomes(named).where("outcome = 'record'").selectExpr("*", "cast(split(path, '-')[0] as long) run")
+    assert sorted((r["run"], r["seqno"], bytes(r["key"])) for r in decoded(found, also=("run",)).collect()) == want
+    files = sstable.tables(log, file_bytes=4000, block_size=1000).selectExpr("format_string('%d-%d', run_id, part) path", "content")
+    got = sstable.records(files).collect()
+    assert sorted((int(r["path"].split("-")[0]), r["seqno"], bytes(r["key"])) for r in got) == want and files.count() > 6
+    for name in {r["path"] for r in got}:
+        own = [(bytes(r["key"]), -r["seqno"]) for r in got if r["path"] == name]
+        assert own == sorted(own)
+    heads = sstable.summaries(files.union(spark.createDataFrame([("bad", b"x")], "path string, content binary"))).collect()
+    assert sum(r["entries"] or 0 for r in heads) == len(rows) and [r["entries"] for r in heads if r["path"] == "bad"] == [None]
+    hits = {(r["path"].split("-")[0], r["seqno"]) for r in sstable.lookups(files, [b"key-0037", b"no"], 250).collect()}
+    assert hits == {("1", 201), ("2", 201)} or hits == {("1", 1), ("2", 1), ("1", 201), ("2", 201)}
+
+
+def test_records_before_the_damage_are_read(spark):
+    data = bytearray(sstable.write_table(records(2000), block_size=2048))
+    table = sstable.Table(bytes(data))
+    at = table.index[5][1]
+    data[at + 9] ^= 1
+    files = spark.createDataFrame([("x", bytes(data)), ("y", sstable.write_table(records(50)))], "path string, content binary")
+    got = sstable.records(files).collect()
+    before = sum(len(list(table.block(i).records())) for i in range(5))
+    assert sum(r["error"] is None and r["path"] == "x" for r in got) == before and sum(r["error"] is not None for r in got) == 1
+    assert sum(r["path"] == "y" for r in got) == 50

@@ -86,33 +86,63 @@ DECODED = T.StructType(
 )
 
 
-def decoded(payloads: DataFrame, payload: str = "payload", seqno: str = "seqno") -> DataFrame:
-    """A row for each operation of each payload; a payload that can't be read gives one row with ``error``."""
+def decoded(payloads: DataFrame, payload: str = "payload", seqno: str = "seqno", also: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each operation of each payload, with the columns ``also``; a payload that can't be read gives one row with ``error``."""
     import pyarrow as pa
 
-    schema = T.StructType([T.StructField("seqno", T.LongType()), *DECODED.fields])
+    schema = T.StructType([*[payloads.schema[c] for c in also], T.StructField("seqno", T.LongType()), *DECODED.fields])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = []
-            for number, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for nth, (number, data) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                 try:
-                    rows += [(number, i, op, key, value, None) for i, (op, key, value) in enumerate(WriteBatch.decode(data).ops)]
+                    rows += [(nth, number, i, op, key, value, None) for i, (op, key, value) in enumerate(WriteBatch.decode(data).ops)]
                 except ValueError as e:
-                    rows.append((number, None, None, None, None, str(e)))
-            columns = list(zip(*rows)) if rows else [[]] * 6
+                    rows.append((nth, number, None, None, None, None, str(e)))
+            at, *columns = list(zip(*rows)) if rows else [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.int8(), pa.binary(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema.names)
+            own = [part.column(2 + i).take(pa.array(at, pa.int64())) for i in range(len(also))]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(columns, kinds)]], schema.names)
 
-    return payloads.select(F.col(seqno).cast("long"), F.col(payload).cast("binary")).mapInArrow(run, schema)
+    return payloads.select(F.col(seqno).cast("long"), F.col(payload).cast("binary"), *also).mapInArrow(run, schema)
 
 
-def encoded(log: DataFrame) -> DataFrame:
-    """(seqno, payload): the batch of each sequence number of a change log."""
-    ops = F.array_sort(F.collect_list(F.struct("batch_pos", "op", "key", "value")))
+def encoded(log: DataFrame, *also: str) -> DataFrame:
+    """(seqno, payload): the batch of each sequence number of a change log, with ``also`` as further columns that it goes by.
 
-    @F.udf("binary")
-    def pack(rows):
-        return WriteBatch([(r["op"], bytes(r["key"]), bytes(r["value"])) for r in rows]).encode()
+    A task has the operations of its batches in order and encodes them as they come; a batch has ``MAX_OPS`` operations at most.
+    """
+    import pyarrow as pa
+
+    keys = [*also, "seqno"]
+    sorted_ops = log.select(*keys, "batch_pos", F.col("op").cast("int"), F.col("key").cast("binary"), F.col("value").cast("binary")).repartition(*keys).sortWithinPartitions(*keys, "batch_pos")
+    schema = T.StructType([*[log.schema[c] for c in also], T.StructField("seqno", T.LongType()), T.StructField("payload", T.BinaryType())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, batch, size = None, WriteBatch(), 0
+        out: list[tuple] = []
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(c, k.type) for c, k in zip(zip(*out), kinds)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return log.groupBy("seqno").agg(pack(ops).alias("payload"))
+        for part in parts:
+            kinds = [*[part.schema.field(i) for i in range(len(keys))], pa.field("payload", pa.binary())]
+            columns = [part.column(i).to_pylist() for i in range(part.num_columns)]
+            for *own, _, op, key, value in zip(*columns):
+                if own != held:
+                    if held is not None:
+                        out.append((*held, batch.encode()))
+                        size += len(out[-1][-1])
+                        if size > 8 << 20:
+                            yield flushed()
+                            size = 0
+                    held, batch = own, WriteBatch()
+                batch.ops.append((op, key, value or b""))
+        if held is not None:
+            out.append((*held, batch.encode()))
+            yield flushed()
+
+    return sorted_ops.mapInArrow(run, schema)

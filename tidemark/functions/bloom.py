@@ -66,6 +66,10 @@ class BlockedBloom:
         self.pruned += not found
         return found
 
+    @property
+    def num_blocks(self) -> int:
+        return len(self.blocks)
+
     @property
     def byte_size(self) -> int:
         return self.blocks.size

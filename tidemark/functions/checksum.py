@@ -24,11 +24,12 @@ def _table() -> np.ndarray:
 
 
 _TABLE = _table()
+_ENTRIES = _TABLE.tolist()
 
 
 def crc32c(data: bytes, before: int = 0) -> int:
     """Checksum of data; ``before`` is that of what precedes it."""
-    table, crc = _TABLE.tolist(), before ^ 0xFFFFFFFF
+    table, crc = _ENTRIES, before ^ 0xFFFFFFFF
     for byte in data:
         crc = table[(crc ^ byte) & 0xFF] ^ crc >> 8
     return crc ^ 0xFFFFFFFF
@@ -54,6 +55,20 @@ def xxh3(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)
 
 
+class Xxh3:
+    """The same digest of bytes that come in parts."""
+
+    def __init__(self):
+        self._state = xxhash.xxh3_64()
+
+    def update(self, part: bytes) -> Xxh3:
+        self._state.update(part)
+        return self
+
+    def digest(self) -> int:
+        return self._state.intdigest()
+
+
 @F.pandas_udf(T.LongType())
 def crc32c_of(values: pd.Series) -> pd.Series:
     """CRC32C of a BINARY column, 0 to 2**32 - 1; null stays null."""

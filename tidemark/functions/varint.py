@@ -60,3 +60,25 @@ def encoded(value: Column) -> Column:
         return F.lpad(F.hex(low + F.when(i < size - 1, 0x80).otherwise(0)), 2, "0")
 
     return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), group), ""))
+
+
+def decoded(data: Column, bits: int = 64, canonical: bool = False) -> Column:
+    """Struct (value, size) of the integer at the start of a BINARY column, by expressions alone; null where ``decode`` raises.
+
+    A value of 64 bits is the BIGINT of the same bits.  With ``canonical`` a padded form is null too.
+    """
+    most = MAX_BITS[bits]
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(data), F.lit(most))))
+    octets = F.transform(places, lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
+    size = F.array_position(F.transform(octets, lambda b: b < 0x80), F.lit(True)).cast("int")
+    own = F.slice(octets, F.lit(1), F.greatest(size, F.lit(1)))
+    value = F.aggregate(
+        F.transform(own, lambda b, i: F.call_function("shiftleft", b.bitwiseAND(F.lit(0x7F)), (i * 7).cast("int"))),
+        F.lit(0).cast("long"),
+        lambda x, y: x.bitwiseOR(y),
+    )
+    last = F.element_at(own, -1)
+    # what the last byte of the longest form may hold
+    fits = (size < most) | (last < 1 << (bits - 7 * (most - 1)))
+    fits = fits & ((size == 1) | (last != 0)) if canonical else fits
+    return F.when((F.length(data) > 0) & (size > 0) & fits, F.struct(value.alias("value"), size.alias("size")))

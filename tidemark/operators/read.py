@@ -7,6 +7,7 @@ for each key and map task before the shuffle, so that a key with very many versi
 
 from __future__ import annotations
 
+import base64
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,10 +93,18 @@ def after_prefix(prefix: bytes) -> bytes | None:
     return kept[:-1] + bytes([kept[-1] + 1]) if kept else None
 
 
+def after_text(prefix: str) -> str | None:
+    """As ``after_prefix`` for text: code points sort as their UTF-8 bytes do, so that the last one that can be is raised."""
+    kept = prefix.rstrip("\U0010ffff")
+    if not kept:
+        return None
+    # surrogates are no characters
+    return kept[:-1] + ("\ue000" if kept[-1] == "\ud7ff" else chr(ord(kept[-1]) + 1))
+
+
 def prefix_scan(log: DataFrame, prefix: bytes | str, seqno: int | None = None) -> DataFrame:
     if isinstance(prefix, str):
-        # code points sort as their UTF-8 bytes do, so that the last one may be raised
-        end = prefix[:-1] + chr(ord(prefix[-1]) + 1) if prefix else None
+        end = after_text(prefix)
     else:
         end = after_prefix(prefix)
     return range_bounds(log, included(prefix) if prefix else UNBOUNDED, excluded(end) if end else UNBOUNDED, seqno)
@@ -142,6 +151,12 @@ def history(log: DataFrame, key: object) -> DataFrame:
     return log.where(F.col("key") == F.lit(key)).orderBy(*newest_first(log))
 
 
+def from_base64(start: str | None, end: str | None) -> tuple[Bound, Bound]:
+    """Bounds of a scan whose ends are base64 of bytes: the start is included, the end is not, and either may be missing."""
+    lo, hi = (None if x is None else base64.b64decode(x, validate=True) for x in (start, end))
+    return UNBOUNDED if lo is None else included(lo), UNBOUNDED if hi is None else excluded(hi)
+
+
 def merged(runs: list[DataFrame]) -> DataFrame:
     """All records of the runs, newest run first in the list: by key, then newest first, then by run."""
     ranked = [r.withColumn("source_rank", F.lit(i)) for i, r in enumerate(runs)]
@@ -151,18 +166,45 @@ def merged(runs: list[DataFrame]) -> DataFrame:
     return out.orderBy("key", F.desc("seqno"), "source_rank")
 
 
+def _ranges(ordered: DataFrame) -> DataFrame:
+    """The sorted rows, kept, with ``_part`` and ``_within``: the range partition of the sort, and the place in it from 0."""
+    from ..sources.fs import checkpointed
+
+    rows = checkpointed(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    part, within_part = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_part", part).withColumn("_within", within_part).drop("_id")
+
+
 def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
     """The place, from 1, of each row of a sorted DataFrame.
 
     Rows are numbered within the range partitions of the sort, and each partition starts at the sum of the sizes of those
     before it; the sorted rows are kept first, so that both passes see the same ranges.
     """
-    from ..sources.fs import checkpointed
-
-    rows = checkpointed(ordered.withColumn("_id", F.monotonically_increasing_id()))
-    part, within_part = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = rows.withColumn("_part", part).withColumn("_within", within_part)
+    rows = _ranges(ordered)
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return rows.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_within") + 1).drop("_id", "_part", "_within", "_start")
+    return rows.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_within") + 1).drop("_part", "_within", "_start")
+
+
+def with_neighbour(ordered: DataFrame, columns: list[str], step: int, name: str, place: str | None = None) -> DataFrame:
+    """The rows of a sorted DataFrame, each with some columns of the row after it (step 1) or before it (-1) as a struct; null at the end.
+
+    Neighbours are looked up within the range partitions of the sort; only one row of each partition is told to the next.  ``place`` adds the
+    row's place from 1, as ``numbered`` does.
+    """
+    rows = _ranges(ordered)
+    own = F.struct(*columns)
+    within_part = Window.partitionBy("_part").orderBy("_within")
+    rows = rows.withColumn("_near", F.lead(own).over(within_part) if step > 0 else F.lag(own).over(within_part))
+    edge = F.min_by(own, "_within") if step > 0 else F.max_by(own, "_within")
+    parts = rows.groupBy("_part").agg(edge.alias("_edge"), F.count("*").alias("_n"))
+    # one row for each partition
+    along = Window.orderBy("_part")
+    other = F.lead("_edge").over(along) if step > 0 else F.lag("_edge").over(along)
+    start = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(parts.select("_part", other.alias("_other"), start.alias("_start")), "_part")
+    rows = rows.withColumn(name, F.coalesce("_near", "_other"))
+    rows = rows if place is None else rows.withColumn(place, F.col("_start") + F.col("_within") + 1)
+    return rows.drop("_part", "_within", "_near", "_other", "_start")

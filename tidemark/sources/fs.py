@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own in the shared one, deleted when the block ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        Files(spark, path).remove("")
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self._jvm = spark.sparkContext._jvm

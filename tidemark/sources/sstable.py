@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import varint
@@ -177,9 +179,7 @@ class Table:
         """(seqno, op, value) of the newest version at or below a number; versions may go on in the next block."""
         if self.bloom is not None and not self.bloom.contains(key):
             return None
-        for i, (last, *_) in enumerate(self.index):
-            if last < key:
-                continue
+        for i in range(bisect.bisect_left(self.index, key, key=lambda entry: entry[0]), len(self.index)):
             for k, s, op, value in self.block(i).seek(key):
                 if k != key:
                     return None
@@ -191,20 +191,99 @@ class Table:
 SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("seqno", T.LongType()), T.StructField("op", T.ByteType()), T.StructField("value", T.BinaryType()), T.StructField("error", T.StringType())])
 
 
+def tables(log: DataFrame, run: str = "run_id", file_bytes: int = 64 << 20, **options: int) -> DataFrame:
+    """(run_id, part, content): the records of each run of a change log as table files of about so many bytes, in order of their keys."""
+    import pyarrow as pa
+
+    rows = log.select(F.col(run).cast("long").alias("run_id"), F.col("key").cast("binary").alias("key"), "seqno", F.col("op").cast("int").alias("op"), F.col("value").cast("binary").alias("value"))
+
+    def pack(parts):
+        own, nth, held, size = None, 0, [], 0
+
+        def closed():
+            content = write_table(held, **options)
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([nth], pa.int64()), pa.array([content], pa.binary())], ["run_id", "part", "content"])
+
+        for batch in parts:
+            for of, *record in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if held and (of != own or size >= file_bytes):
+                    yield closed()
+                    nth, held, size = (nth + 1 if of == own else 0), [], 0
+                own = of
+                held.append(tuple(record))
+                size += len(record[0]) + len(record[3]) + 16
+        if held:
+            yield closed()
+
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "key", F.desc("seqno")).mapInArrow(pack, "run_id long, part long, content binary")
+
+
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all files, a row each; a damaged file gives one row with ``error``."""
+    """The records of all files, a row each; a damaged file gives those before the damage and one row with ``error``."""
+    return records(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def records(files: DataFrame) -> DataFrame:
+    """As ``read_tables`` for rows (path, content).  One block is decoded at a time."""
     import pyarrow as pa
 
     kinds = (pa.string(), pa.binary(), pa.int64(), pa.int8(), pa.binary(), pa.string())
 
+    def packed(rows):
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SCHEMA.names)
+
     def run(batches):
         for batch in batches:
+            rows = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    rows = [(name, k, s, op, v, None) for k, s, op, v in Table(content).scan()]
+                    table = Table(content)
+                    for i in range(len(table.index)):
+                        rows += [(name, k, s, op, v, None) for k, s, op, v in table.block(i).records()]
+                        if len(rows) > 10_000:
+                            yield packed(rows)
+                            rows = []
                 except ValueError as e:
-                    rows = [(name, None, None, None, None, str(e))]
-                columns = list(zip(*rows)) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SCHEMA.names)
+                    rows.append((name, None, None, None, None, str(e)))
+            yield packed(rows)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def summaries(files: DataFrame) -> DataFrame:
+    """(path, entries, blocks, min_seqno, max_seqno, bytes_written) of the headers of files (path, content); null for a damaged one."""
+    import pyarrow as pa
+
+    names = ["path", "entries", "blocks", "min_seqno", "max_seqno", "bytes_written"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    t = Table(content)
+                    rows.append((name, t.entries, t.blocks, t.min_seqno, t.max_seqno, len(content)))
+                except ValueError:
+                    rows.append((name, None, None, None, None, len(content)))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string()] + [pa.int64()] * 5)], names)
+
+    return files.select("path", "content").mapInArrow(run, "path string, entries long, blocks long, min_seqno long, max_seqno long, bytes_written long")
+
+
+def lookups(files: DataFrame, keys: list[bytes], seqno: int) -> DataFrame:
+    """(path, key, seqno, op, value): what each file (path, content) has for each of a few keys at a sequence number, by filter, index and block."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                table = Table(content)
+                rows += [(name, key, *found) for key in keys if (found := table.get(key, seqno)) is not None]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            kinds = [pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "key", "seqno", "op", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, "path string, key binary, seqno long, op int, value binary")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import secrets
@@ -344,9 +343,8 @@ class Store:
 
     def scan_page(self, start: str | None = None, end: str | None = None, limit: int = 1000) -> DataFrame:
         """One row, ``records`` and ``truncated``, for base64 bounds: the start is included, the end is not.  Bad base64 is an error."""
-        lo, hi = (None if x is None else base64.b64decode(x, validate=True) for x in (start, end))
-        bounds = read.UNBOUNDED if lo is None else read.included(lo), read.UNBOUNDED if hi is None else read.excluded(hi)
-        return read.response(self.log((lo, hi)), *bounds, limit)
+        bounds = read.from_base64(start, end)
+        return read.response(self.log((bounds[0].key, bounds[1].key)), *bounds, limit)
 
     def scan_all(self, seqno: int | None = None) -> DataFrame:
         return self.range_bounds(seqno=seqno)

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.batches import FormatError
+from ..functions.batches import FormatError, encoded
 from ..functions.checksum import crc32c
 
 #: Fixed values of the format.
@@ -123,21 +124,62 @@ SCHEMA = T.StructType(
 )
 
 
+def segments(log: DataFrame, run: str = "run_id", rotate_at: int = 64 << 20) -> DataFrame:
+    """(run_id, segment, content): the batches of each run of a change log as segment files, which rotate at a size."""
+    import pyarrow as pa
+
+    payloads = encoded(log.select(F.col(run).cast("long").alias("run_id"), "seqno", "batch_pos", "op", "key", "value"), "run_id")
+    schema = "run_id long, segment long, content binary"
+
+    def pack(parts):
+        writer, own, nth = None, None, 0
+
+        def closed():
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([nth], pa.int64()), pa.array([bytes(writer.data)], pa.binary())], ["run_id", "segment", "content"])
+
+        for part in parts:
+            for of, seqno, payload in zip(*(part.column(i).to_pylist() for i in range(3))):
+                if writer is not None and (of != own or writer.should_rotate()):
+                    yield closed()
+                    nth = nth + 1 if of == own else 0
+                    writer = None
+                if writer is None:
+                    own, writer = of, SegmentWriter(nth, seqno, rotate_at)
+                writer.append(seqno, payload)
+        if writer is not None:
+            yield closed()
+
+    return payloads.repartition("run_id").sortWithinPartitions("run_id", "seqno").mapInArrow(pack, schema)
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """A row for each outcome of each segment file; damage is a row of its own, not a failed job."""
+    return outcomes(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def outcomes(files: DataFrame) -> DataFrame:
+    """As ``read_segments`` for rows (path, content)."""
     import pyarrow as pa
 
     kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string())
 
+    def packed(rows):
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SCHEMA.names)
+
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    rows += [(name, o.kind, o.seqno, o.payload, o.truncate_to, o.reason) for o in read_segment(content)]
+                    for o in read_segment(content):
+                        rows.append((name, o.kind, o.seqno, o.payload, o.truncate_to, o.reason))
+                        size += len(o.payload or b"")
+                        if size > 8 << 20:
+                            yield packed(rows)
+                            rows, size = [], 0
                 except ValueError as e:
                     rows.append((name, "invalid", None, None, None, str(e)))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SCHEMA.names)
+            yield packed(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -23,12 +24,16 @@ BAD, GOOD = "=bad", "=good"
 
 @dataclass(frozen=True)
 class Mining:
-    """Parameters of the rules: pruned by support, confidence and size."""
+    """Parameters of the rules: pruned by support, confidence, lift and significance."""
 
     min_support: float = 0.002
+    #: Labelled pages that a rule needs at least, whatever their share.
+    min_pages: int = 20
     min_confidence: float = 0.5
     min_lift: float = 1.2
-    #: Beyond so many entries the index is joined by shuffle instead of broadcast.
+    #: The chance, at most, that any rule at all passes where labels don't depend on URLs.
+    max_chance: float = 0.01
+    #: Beyond so many rules the index is joined by shuffle instead of broadcast.
     broadcast_rows: int = 50_000
 
 
@@ -71,7 +76,7 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """(tokens, confidence, lift) of the rules from token sets to bad pages.
+    """(tokens, confidence, lift, post) of the rules from token sets to bad pages; ``post`` is the rarest token.
 
     A page is labelled by the row of its id: bad if toxic is 1 or quality is 0, where one of
     repeated labels is enough.  Pages without a label, or with a null id, aren't mined.
@@ -79,6 +84,10 @@ def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> Data
     All tokens of a URL count.  Those below the support can be in no rule and are left out.  Those
     that the same pages hold are mined as one item, so that a repeated long URL has few subsets; a rule with
     such an item stands for one with each of its tokens, and those with more of them, which say no more, are left out.
+
+    A rule is kept if so many bad pages among its own are too unlikely for a coin of the base rate: n pages of which a share c is bad
+    have a chance of at most exp(-n * D), where D is the relative entropy of c and the base rate, and all sets that were counted
+    together must stay below ``max_chance``.  Rules of equal confidence are all kept.
     """
     from .common import saved
 
@@ -86,9 +95,12 @@ def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> Data
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad"))
     known = pages.select("page_id", url_tokens(F.col("url")).alias("tokens")).join(marks, "page_id")
     known = saved(known.select(F.monotonically_increasing_id().alias("row"), "tokens", F.when(F.col("bad") == 1, BAD).otherwise(GOOD).alias("mark")))
-    least = mining.min_support * known.count()
+    total, bads = known.agg(F.count("*"), F.count(F.when(F.col("mark") == BAD, 1))).first()
+    least = max(mining.min_pages, mining.min_support * total)
+    if not least <= bads < total:
+        return pages.sparkSession.createDataFrame([], "tokens array<string>, confidence double, lift double, post string")
     prints = [F.sum(F.xxhash64("row", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)]
-    frequent = known.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *prints).where(F.col("n") >= least)
+    frequent = saved(known.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *prints).where(F.col("n") >= least))
     alike = frequent.groupBy("n", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("members"))
     joined = F.concat_ws(",", F.transform("members", lambda x: F.hex(x.cast("binary"))))
     # at most as many tokens as an average URL has, divided by the support
@@ -96,27 +108,34 @@ def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> Data
     parts = known.select("row", F.explode(F.concat("tokens", F.array("mark"))).alias("token")).join(item_of, "token", "left")
     own = F.coalesce("item", F.when(F.col("token").isin(BAD, GOOD), F.col("token")))
     baskets = parts.groupBy("row").agg(F.collect_set(own).alias("items")).select("items")
-    model = FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence, numPartitions=8).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=mining.min_confidence).fit(baskets)
+    tested = model.freqItemsets.where(~F.array_contains("items", BAD) & ~F.array_contains("items", GOOD)).count()
     rules = model.associationRules.where(F.array_contains("consequent", BAD) & ~F.array_contains("antecedent", GOOD))
     rules = rules.where((F.col("confidence") >= mining.min_confidence) & (F.col("lift") >= mining.min_lift) & (F.size("antecedent") > 0))
+    base, c = bads / total, F.col("confidence")
+    apart = c * F.log(c / base) + F.when(c < 1, (1 - c) * F.log((1 - c) / (1 - base))).otherwise(0.0)
+    chance = math.log(max(1, tested) / mining.max_chance)
+    rules = rules.where((c > base) & (F.col("support") * total / c * apart >= chance))
     none = F.array(F.array().cast("array<string>"))
     grown = lambda sets, item: F.flatten(F.transform(sets, lambda x: F.transform(F.split(item, ","), lambda t: F.array_append(x, F.unhex(t).cast("string")))))
     tokens = F.explode(F.aggregate("antecedent", none, grown))
-    return rules.select(tokens.alias("tokens"), "confidence", "lift").withColumn("tokens", F.array_sort("tokens"))
+    rules = rules.select(tokens.alias("tokens"), "confidence", "lift").withColumn("tokens", F.array_sort("tokens"))
+    rare = rules.select("tokens", "confidence", "lift", F.explode("tokens").alias("token")).join(F.broadcast(frequent.select("token", "n")), "token")
+    return rare.groupBy("tokens", "confidence", "lift").agg(F.min_by("token", F.struct("n", "token")).alias("post"))
 
 
 def matched(pages: DataFrame, rules: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """(url, confidence) of the distinct URLs that hold all tokens of a rule; by the best rule.
 
-    The rules are an inverted index from token to rule.  A URL's tokens look up their rules, and
-    a rule fires when as many of its tokens were met as it has.
+    The rules are an inverted index, each under its rarest token: a URL's tokens look up the rules, and
+    a rule fires when the URL has all of its other tokens too.
     """
-    index = rules.select("confidence", F.size("tokens").alias("need"), F.concat_ws("\x01", "tokens").alias("rule"), F.explode("tokens").alias("token"))
+    index = rules.select("confidence", F.col("tokens").alias("need"), F.col("post").alias("token"))
     if index.count() <= mining.broadcast_rows:
         index = F.broadcast(index)
-    urls = pages.where("url is not null").select("url").distinct()
-    met = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token")).join(index, "token")
-    fired = met.groupBy("url", "rule", "need", "confidence").agg(F.count("*").alias("n")).where("n = need")
+    urls = pages.where("url is not null").select("url").distinct().withColumn("tokens", url_tokens(F.col("url")))
+    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    fired = met.where(F.size(F.array_except("need", "tokens")) == 0)
     return fired.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
@@ -125,13 +144,15 @@ def judge(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> Dat
 
     A fixed rule decides first; else a page is blocked if a mined rule fires, and
     ``confidence`` is that rule's.  A null URL, or one without ``://``, has an empty host and path, no
-    rule, and is allowed unless a mined rule fires.  Repeated rows are judged alike; without
+    rule, and is allowed unless a mined rule fires.  Repeated rows are judged alike, long URLs whole; without
     labels nothing is mined; other columns are not read.
     """
     from .common import saved
 
-    hits = matched(pages, saved(mine(pages, labels, mining)), mining)
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.join(hits, "url", "left").withColumn("fixed", fixed_rule(F.col("host"), F.col("path")))
+    hits = matched(pages, saved(mine(pages, labels, mining)), mining).withColumnRenamed("url", "_hit")
+    # rows without a URL match nothing, and are dealt by their id
+    key = F.coalesce("url", F.concat(F.lit("\x00"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    rows = pages.select("page_id", "url", key.alias("_url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = rows.join(hits, (F.col("_url") == F.col("_hit")) & F.col("url").isNotNull(), "left").withColumn("fixed", fixed_rule(F.col("host"), F.col("path")))
     own = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", own).alias("verdict"), "confidence")

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OTHER = re.compile(r"[\W\d_]+")
-#: Bytes that are parsed as one segment; a phrase ends where a segment does.
+#: Bytes of a segment; those of a text are parsed side by side and then joined, so that they don't change the result.
 SEGMENT = 1024
+#: Bytes of a segment within which its parse nearly always meets that of the text; else the text is parsed again, byte by byte.
+JOIN = 256
 #: Bytes that are parsed side by side.
 AT_ONCE = 4 << 20
 
@@ -83,8 +85,8 @@ class Model:
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(symbol of a byte, moves, first state of each language, bits a phrase).
 
-        A move is twice the next state's place in the table, plus 1 where the phrase had to
-        end before this byte.
+        A move is twice the next state's place in the table, plus 1 where a phrase starts with this byte.  From the
+        first state every byte starts one; a byte that the language lacks is a phrase of its own and leads there.
         """
         if self._built is None:
             used = sorted(set().union(*map(set, self.texts.values())))
@@ -94,50 +96,88 @@ class Model:
             parts, roots, base = [], [], 0
             for lang in self.langs:
                 moves = suffix_automaton(self.texts[lang])
-                start = base * width
-                to = np.full((len(moves), width), -1, np.int64)
+                start = (base + len(moves)) * width
+                to = np.full((len(moves) + 1, width), -1, np.int64)
                 for i, out in enumerate(moves):
                     for c, j in out.items():
-                        to[i, symbol[c]] = start + j * width
+                        to[i, symbol[c]] = (base + j) * width
                 # without a move the phrase ends and the next one starts with this byte
                 again = np.where(to[0] >= 0, to[0], start) * 2 + 1
                 parts.append(np.where(to >= 0, to * 2, again[None, :]).astype(np.int32))
                 roots.append(start)
-                base += len(moves)
+                base += len(moves) + 1
             bits = np.array([math.log2(max(2, len(self.texts[x]))) for x in self.langs])
             self._built = symbol, np.concatenate(parts).ravel(), np.array(roots, np.int32), bits
         return self._built
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
-        """Phrases that each language needs for each text, in all segments."""
+        """Phrases that each language needs for each text.
+
+        Segments are parsed side by side, each as if a phrase started with it.  Then each is entered in the state in which the one before it ended: from the
+        first byte on with which a phrase starts either way both parses are the same.
+        """
         symbol, moves, roots, _ = self.tables()
         data = symbol[np.frombuffer(b"".join(texts), np.uint8)]
         sizes = np.array([len(t) for t in texts], np.int64)
+        first = np.cumsum(sizes) - sizes
         pieces = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * SEGMENT
+        begin = np.repeat(first, pieces) + nth * SEGMENT
         length = np.minimum(SEGMENT, np.repeat(sizes, pieces) - nth * SEGMENT)
         order = np.argsort(-length, kind="stable")
-        owner, begin, length = owner[order], begin[order], length[order]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        owner, begin, length, nth = owner[order], begin[order], length[order], nth[order]
         state = np.repeat(roots[:, None], len(owner), axis=1)
-        ended = np.ones(state.shape, np.int32)
+        starts = np.zeros(state.shape, np.int32)
+        early = np.zeros((*state.shape, JOIN), bool)
         if len(owner):
             active = np.searchsorted(-length, -np.arange(length[0]), "left")
             for t in range(int(length[0])):
                 k = int(active[t])
                 move = moves.take(state[:, :k] + data[begin[:k] + t])
-                ended[:, :k] += move & 1
+                begun = move & 1
+                starts[:, :k] += begun
+                if t < JOIN:
+                    early[:, :k, t] = begun
                 np.right_shift(move, 1, out=state[:, :k])
+        later = np.flatnonzero(nth > 0)
+        lang, at = (x.ravel() for x in np.meshgrid(np.arange(len(roots)), later, indexing="ij"))
+        now = state[lang, place[order[at] - 1]]
+        for t in range(JOIN):
+            inside = t < length[at]
+            if not inside.all():
+                # the text's last segment ends first: its parse is counted whole
+                lang, at, now = lang[inside], at[inside], now[inside]
+            if not len(at):
+                break
+            move = moves.take(now + data[begin[at] + t])
+            mine, theirs = move & 1, early[lang, at, t]
+            starts[lang, at] += mine - theirs
+            off = ~((mine == 1) & theirs)
+            lang, at, now = lang[off], at[off], move[off] >> 1
+        apart = set(zip(lang.tolist(), owner[at].tolist()))
         found = np.zeros((len(texts), len(roots)), np.int64)
         for i in range(len(roots)):
-            found[:, i] = np.bincount(owner, ended[i], len(texts))
+            found[:, i] = np.bincount(owner, starts[i], len(texts))
+        for i, text in apart:
+            found[text, i] = self._phrases_of(data[first[text] : first[text] + sizes[text]], int(roots[i]))
         return found
 
+    def _phrases_of(self, data: np.ndarray, state: int) -> int:
+        """Phrases of one text in the language of a first state, byte by byte."""
+        moves, n = self.tables()[1].data, 0
+        for symbol in data.tolist():
+            move = moves[state + symbol]
+            n += move & 1
+            state = move >> 1
+        return n
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; ``und`` and 0 without a letter or a language.
 
-        The score is 1 less the ratio of the least cross entropy to the next one.
+        The score is 1 less the ratio of the least cross entropy to the next one.  Of languages that tie the first by name wins, with score 0.
         """
         clean = [normalised(t) for t in texts]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -197,8 +237,8 @@ def fit(docs: DataFrame, max_bytes: int = 16_000, max_docs: int = 60, least_byte
     start = F.substring(F.regexp_replace("text", r"(?s)^\P{L}+", ""), 1, excerpt).alias("text")
     rows = labelled.where(F.col("doc_id").isin(sorted({c[1] for c in chosen}))).select("doc_id", "lang", start)
     texts: dict[tuple, str] = {}
-    for doc, lang, text in rows.collect():
-        texts[doc, lang] = max(text, texts.get((doc, lang), ""))
+    for doc, lang, text in rows.groupBy("doc_id", "lang").agg(F.max("text")).collect():
+        texts[doc, lang] = text
     found: dict[str, bytes] = {}
     for lang, doc in dict.fromkeys(chosen):
         have = found.get(lang, b"")
@@ -218,7 +258,7 @@ def _local(model: Model) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred and score to the columns of docs, from the whole ``text`` alone.
 
-    A null or empty text, or one without a letter, is ``und`` with score 0.  Row order,
+    A null or empty text, or one without a letter, is ``und`` with score 0.  A text of any length is parsed whole.  Row order,
     repeated rows and other columns don't matter; columns named lang_pred or score
     are replaced.
     """

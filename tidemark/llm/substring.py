@@ -7,7 +7,8 @@ one minimiser are a super-k-mer.  Equal windows have equal minimisers, so that
 2. a minimiser that only one class has needs no further look;
 3. each other super-k-mer travels as one packed string to the bucket of its minimiser, where windows are
    sorted, and those after the first of a run of equal ones are repeats if their doc_id is larger;
-4. of equal strings of a batch only those of the smallest doc_id travel, as all windows of the others are repeats.
+4. of equal strings of a batch only those of the smallest doc_id travel, as all windows of the others are repeats;
+5. a minimiser that very many classes have is no bucket: its windows travel one by one, dealt by their own hash.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from .common import Words, mix64, release, saved, signed, word_blocks
 
 #: Words of a window, and of the runs that its minimiser is chosen from.
 WINDOW, RUN = 13, 5
+#: Classes that have a minimiser, from which on its windows are dealt one by one.
+CROWD = 10_000
+#: Windows of a bucket that are sorted in a task's memory.
+BUCKET = 200_000
 _FAR = np.uint64((1 << 64) - 1)
 _LENGTH = 32
 
@@ -33,7 +38,7 @@ def normal(column: pa.Array) -> pa.Array:
     return pa.array([b" ".join(x.encode("utf-8", "surrogatepass").split()) if (x := v.as_py()) is not None else b"" for v in column], pa.large_binary())
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows, fewer at a time, as texts are held in several forms."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
@@ -66,7 +71,10 @@ def _class(digest: bytes) -> int:
 
 
 def whole(docs: DataFrame) -> DataFrame:
-    """(id, n, cls, sha) of every row of (id, text): number of words, and digests of all of them."""
+    """(id, n, cls, sha) of every row of (id, text): number of words, a part of a digest of all of them, and the digest.
+
+    Rows are copies of each other by the whole digest; ``cls`` tells classes apart where their smallest doc_id is known too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,18 +110,25 @@ def minimisers(docs: DataFrame, window: int, run_words: int) -> DataFrame:
 
 
 def packed(docs: DataFrame, window: int, run_words: int) -> DataFrame:
-    """The super-k-mers of (cls, id, wanted minimisers, text): (deal, words, id, cls, start, n).
+    """The super-k-mers of (cls, id, wanted and crowded minimisers, text): (deal, words, id, cls, start, n).
 
     Of equal strings of a batch only those of the smallest id travel with their words, to the bucket of their minimiser;
     the windows of the others are repeats already, and these rows, without words, are dealt evenly.  A string that very many
-    documents have so reaches its bucket once for each batch.
+    documents have so reaches its bucket once for each batch.  Windows of a crowded minimiser are strings of their own, in a bucket of
+    their own hash.
     """
     names = ["deal", "words", "id", "cls", "start", "n"]
     salt = np.uint64(0x9E3779B97F4A7C15)
 
+    def found(column: pa.Array, words: Words, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which keys are in the list of their document."""
+        lists = [np.asarray(column[int(r)].as_py(), np.int64).view(np.uint64) for r in words.rows]
+        owner = np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists])
+        return np.isin(mix64(key + doc.astype(np.uint64) * salt), mix64(np.concatenate(lists) + owner * salt))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            texts = normal(batch.column(3))
+            texts = normal(batch.column(4))
             cls = batch.column(0).to_numpy()
             ids = batch.column(1).to_numpy()
             fits = np.array([_class(hashlib.sha256(x.as_py()).digest()) for x in texts], np.int64) == cls
@@ -124,10 +139,17 @@ def packed(docs: DataFrame, window: int, run_words: int) -> DataFrame:
                 if not len(key):
                     continue
                 doc = words.doc[start]
-                lists = [np.asarray(batch.column(2)[int(r)].as_py(), np.int64).view(np.uint64) for r in words.rows]
-                owner = np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists])
-                keep = np.isin(mix64(key + doc.astype(np.uint64) * salt), mix64(np.concatenate(lists) + owner * salt)) & fits[words.rows[doc]]
+                keep = found(batch.column(2), words, key, doc) & fits[words.rows[doc]]
                 key, start, n, doc = key[keep], start[keep], n[keep], doc[keep]
+                crowded = found(batch.column(3), words, key, doc)
+                if crowded.any():
+                    # one row for each window; their hash takes the minimiser's place
+                    times = np.where(crowded, n, 1)
+                    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                    hashes, at = words.windows(window)
+                    key, start, n, doc, single = (np.repeat(x, times) for x in (key, start, n, doc, crowded))
+                    start, n = start + nth, np.where(single, 1, n)
+                    key[single] = hashes[np.searchsorted(at, start[single])]
                 first, last = words.start[start].tolist(), words.end[start + n + window - 2].tolist()
                 strings += [words.data[a:b].tobytes() for a, b in zip(first, last)]
                 row = words.rows[doc]
@@ -144,75 +166,96 @@ def packed(docs: DataFrame, window: int, run_words: int) -> DataFrame:
             sent = pa.array([t.decode("utf-8", "replace") if k else None for t, k in zip(strings, travels.tolist())], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(deal), sent, *map(pa.array, (own, cls_of, start, n))], names)
 
-    return docs.select("cls", "id", "wanted", "text").mapInArrow(run, "deal long, words string, id long, cls long, start long, n long")
-
+    return docs.select("cls", "id", "wanted", "crowded", "text").mapInArrow(run, "deal long, words string, id long, cls long, start long, n long")
 
-def bucket_repeats(rows: DataFrame, window: int) -> DataFrame:
-    """(cls, start, n) of the windows of packed rows whose words are in a row of a smaller id, and of the rows without words."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last, several = None, None, False
-        names = ["window", "id", "cls", "start", "n"]
+def bucket_repeats(rows: DataFrame, window: int, most: int = BUCKET) -> DataFrame:
+    """(cls, id, start, n) of the windows of packed rows whose words are in a row of a smaller id, and of the rows without words.
 
-        def windows(group: list[tuple]) -> pa.RecordBatch:
-            texts, columns = [], [[], [], [], []]
-            for text, i, c, s, n in group:
-                parts = text.split(" ") if text is not None else None
-                k = 1 if parts is None else n
-                texts += [None] if parts is None else [" ".join(parts[p : p + window]) for p in range(n)]
-                for column, x in zip(columns, (i, c, None, None)):
-                    column += [x] * k
-                columns[2][-k:] = range(s, s + k)
-                columns[3][-k:] = [n] if parts is None else [1] * k
-            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *[pa.array(x, pa.int64()) for x in columns]], names)
+    A task sorts the windows of some buckets at a time.  Those of a bucket of more than ``most`` windows, which a text that repeats itself may
+    make, are dealt again by themselves and sorted by Spark.
+    """
+    names = ["window", "cls", "id", "start", "n"]
+    kinds = [pa.string(), *[pa.int64()] * 4]
+
+    def windows(row: tuple) -> Iterator[tuple[str, int]]:
+        parts = row[0].split(" ")
+        return ((" ".join(parts[p : p + window]), p) for p in range(row[4]))
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found)) if found else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names)
+
+    def repeats(buckets: list[tuple]) -> list[tuple]:
+        entries = sorted((text, row[1], k, p) for k, row in enumerate(buckets) for text, p in windows(row))
+        found, word, least = [], None, None
+        for text, i, k, p in entries:
+            if text != word:
+                word, least = text, i
+            elif i > least:
+                found.append((None, buckets[k][2], i, buckets[k][3] + p, 1))
+        return found
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows are (words, id, class, start, windows); a bucket of one string holds no repeat
+        full: list[tuple] = []
+        bucket: list[tuple] = []
+        last, held, size, crowded = None, 0, 0, False
         for batch in batches:
-            out, size = [], 0
+            found = []
             for mh, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if row[0] is None:
-                    out.append(row)
-                elif mh == last:
-                    # a bucket of one string holds no repeat; the first waits for the second
-                    if not several:
-                        out.append(held)
-                        several = True
-                    out.append(row)
-                else:
-                    held, last, several = row, mh, False
+                    found.append((None, row[2], row[1], row[3], row[4]))
                     continue
+                if mh != last:
+                    if len(bucket) > 1:
+                        full += bucket
+                        held += size
+                    if held > 20_000:
+                        found += repeats(full)
+                        full, held = [], 0
+                    bucket, last, size, crowded = [], mh, 0, False
+                bucket.append(row)
                 size += row[4]
-                if size > 50_000:
-                    yield windows(out)
-                    out, size = [], 0
-            if out:
-                yield windows(out)
-
-    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if size > most or crowded:
+                    crowded = True
+                    for own in bucket:
+                        for text, p in windows(own):
+                            found.append((text, own[2], own[1], own[3] + p, 1))
+                            if len(found) >= 20_000:
+                                yield batch_of(found)
+                                found = []
+                    bucket = []
+            yield batch_of(found)
+        yield batch_of(repeats(full + (bucket if len(bucket) > 1 else [])))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, least = None, None
         for batch in batches:
             found = []
-            for text, i, c, s, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if text is None:
-                    found.append((c, s, n))
-                elif text != word:
+            for text, c, i, s, _ in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if text != word:
                     word, least = text, i
                 elif i > least:
-                    found.append((c, s, 1))
-            columns = list(zip(*found)) if found else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["cls", "start", "n"])
+                    found.append((None, c, i, s, 1))
+            yield batch_of(found)
 
-    buckets = rows.repartition(F.col("deal")).sortWithinPartitions("deal")
-    windows = buckets.mapInArrow(unpack, "window string, id long, cls long, start long, n long")
-    return windows.sortWithinPartitions("window", "id").mapInArrow(repeats, "cls long, start long, n long")
+    schema = "window string, cls long, id long, start long, n long"
+    buckets = saved(rows.repartition(F.col("deal")).sortWithinPartitions("deal").mapInArrow(run, schema))
+    again = buckets.where("window is not null")
+    out = buckets.where("window is null")
+    if not again.isEmpty():
+        out = out.union(again.repartition(F.col("window")).sortWithinPartitions("window", "id").mapInArrow(dealt, schema))
+    return out.select("cls", "id", "start", "n")
 
 
 def remove(docs: DataFrame, window: int, digest: bool = False) -> DataFrame:
-    """(cls, n_removed, kept) of (cls, spans, text): the words left when the windows of the spans are taken out, or their SHA-256."""
+    """(cls, lo, n_removed, kept) of (cls, id, spans, text): the words left when the windows of the spans are taken out, or their SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, removed, kept = [], [], []
-            for cls, spans, value in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for row, (cls, spans, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
                 words = (value.as_py() or "").encode("utf-8", "surrogatepass").split()
                 if _class(hashlib.sha256(b" ".join(words)).digest()) != cls:
                     continue
@@ -223,60 +266,62 @@ def remove(docs: DataFrame, window: int, digest: bool = False) -> DataFrame:
                 np.add.at(edge, start + n + window - 1, -1)
                 inside = np.cumsum(edge)[:-1] > 0
                 left = [w for w, x in zip(words, inside.tolist()) if not x]
-                found.append(cls)
+                found.append(row)
                 removed.append(len(words) - len(left))
                 text = b" ".join(left)
                 kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["cls", "n_removed", "kept"])
+            at = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["cls", "lo", "n_removed", "kept"])
 
-    return docs.select("cls", "spans", "text").mapInArrow(run, "cls long, n_removed long, kept string")
+    return docs.select("cls", "id", "spans", "text").mapInArrow(run, "cls long, lo long, n_removed long, kept string")
 
 
-def _wanted(docs: DataFrame, classes: DataFrame, window: int, run_words: int) -> DataFrame:
-    """(cls, wanted, id): the minimisers of each class that another class has too."""
+def _wanted(docs: DataFrame, classes: DataFrame, window: int, run_words: int, crowd: int) -> DataFrame:
+    """(cls, wanted, crowded, id): the minimisers of each class that another class has too, and those of them that very many have."""
     keys = minimisers(docs, window, run_words)
-    shared = keys.groupBy("mh").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("mh")
-    wanted = keys.join(shared, "mh").groupBy("cls").agg(F.collect_set("mh").alias("wanted"))
-    return saved(wanted.join(classes, "cls"))
+    shared = keys.groupBy("mh").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("times")).where("lo <> hi").select("mh", (F.col("times") > crowd).alias("many"))
+    crowded = F.collect_set(F.when(F.col("many"), F.col("mh"))).alias("crowded")
+    wanted = keys.join(shared, "mh").groupBy("cls").agg(F.collect_set("mh").alias("wanted"), crowded)
+    return saved(wanted.join(classes.select("cls", "id"), "cls"))
 
 
-def _spans(docs: DataFrame, classes: DataFrame, wanted: DataFrame, window: int, run_words: int) -> DataFrame:
-    texts = docs.join(wanted, "id").select("cls", "id", "wanted", "text")
+def _spans(docs: DataFrame, wanted: DataFrame, window: int, run_words: int) -> DataFrame:
+    texts = docs.join(wanted, "id").select("cls", "id", "wanted", "crowded", "text")
     spans = bucket_repeats(packed(texts, window, run_words), window)
     code = F.shiftleft("start", _LENGTH) + F.least("n", F.lit((1 << _LENGTH) - 1))
-    return saved(spans.groupBy("cls").agg(F.collect_list(code).alias("spans")).join(classes, "cls"))
+    return saved(spans.groupBy("cls", "id").agg(F.collect_list(code).alias("spans")))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """For (id, text): the rows of ``whole``; and (cls, id, spans) of the classes that have repeats of another class.
 
     ``id`` is the class's smallest doc_id; a span is ``start << 32 | windows``.  The steps are functions of their own, so that
     when one ends nothing refers to its shuffles and they can be deleted before the next one.
     """
     rows = saved(whole(docs))
-    classes = rows.where(f"id is not null and n >= {window}").groupBy("cls").agg(F.min("id").alias("id"))
-    wanted = _wanted(docs, classes, window, run_words)
+    classes = rows.where(f"id is not null and n >= {window}").groupBy("cls", "sha").agg(F.min("id").alias("id"))
+    wanted = _wanted(docs, classes, window, run_words, crowd)
     release(docs.sparkSession)
-    spans = _spans(docs, classes, wanted, window, run_words)
+    spans = _spans(docs, wanted, window, run_words)
     release(docs.sparkSession)
     return rows, spans
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of (doc_id, text).
 
     A window of ``window`` words is taken out where its words also start in a document of a smaller
     doc_id, judged on the input.  Null and empty texts have no words, texts shorter than a window are kept
     whole, and so is a row with a null doc_id, which neither removes nor loses words.  Rows of one
-    doc_id never remove each other's words.  An empty table gives an empty result; other
+    doc_id never remove each other's words.  Texts of any length are read whole.  An empty table gives an empty result; other
     columns are not read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows, spans = repeated_spans(own, window)
-    cut = remove(own.join(spans, "id"), window, digest=True).dropDuplicates(["cls"])
-    cut = cut.select(F.col("cls").alias("_c"), "n_removed", F.col("kept").alias("kept_sha256"))
-    classes = rows.where(f"id is not null and n >= {window}").groupBy("cls").agg(F.min("id").alias("lo")).withColumnRenamed("cls", "_l")
-    out = rows.join(classes, rows["cls"] == F.col("_l"), "left").join(cut, rows["cls"] == F.col("_c"), "left")
+    rows, spans = repeated_spans(own, window, crowd=crowd)
+    cut = remove(own.join(spans, "id"), window, digest=True).dropDuplicates(["cls", "lo"])
+    cut = cut.select(F.col("cls").alias("_c"), F.col("lo").alias("_i"), "n_removed", F.col("kept").alias("kept_sha256"))
+    classes = rows.where(f"id is not null and n >= {window}").groupBy("sha").agg(F.min("id").alias("lo")).withColumnRenamed("sha", "_l")
+    out = rows.join(classes, rows["sha"] == F.col("_l"), "left").join(cut, (rows["cls"] == F.col("_c")) & (F.col("lo") == F.col("_i")), "left")
     copy = F.col("id") > F.col("lo")
     some = F.col("id").isNotNull() & F.col("n_removed").isNotNull()
     return out.select(

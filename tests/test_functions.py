@@ -9,7 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import batches, bloom, checksum, crypto, varint
+from tidemark.functions import batches, bloom, checksum, crypto, gcm, varint
 
 EDGES = [0, 1, 127, 128, 16383, 16384, 2**32 - 1, 2**32, 2**63 - 1]
 
@@ -182,3 +182,25 @@ def test_batches_of_many_runs(spark):
     back = [(r["run_id"], r["seqno"], r["batch_pos"], r["op"], bytes(r["key"]), bytes(r["value"])) for r in batches.decoded(payloads, also=("run_id",)).collect()]
     assert sorted(back) == sorted(rows) and payloads.count() == 3 * 39
     assert batches.encoded(log.limit(0)).count() == 0
+
+
+def test_sealed_bytes_are_those_of_spark(spark):
+    rng = random.Random(8)
+    rows = [(rng.randbytes(32), rng.randbytes(12), rng.randbytes(rng.choice([1, 16, 17, 40])), rng.randbytes(n)) for n in (1, 15, 16, 17, 31, 64, 1000, 16_389)]
+    frame = spark.createDataFrame(rows, "k binary, n binary, a binary, p binary")
+    for r in frame.selectExpr("*", "aes_encrypt(p, k, 'GCM', 'DEFAULT', n, a) c").collect():
+        k, n, a, p, c = map(bytes, r)
+        assert gcm.sealed(k, n, a, p) == c[12:] and gcm.opened(k, n, a, c[12:]) == p
+        for i in range(5):
+            parts = [bytearray(x) for x in (k, n, a, c[12:])]
+            parts[i % 4][rng.randrange(len(parts[i % 4]))] ^= 1 << rng.randrange(8)
+            with pytest.raises(crypto.AuthenticationError):
+                gcm.opened(*map(bytes, parts))
+
+
+def test_known_answers_of_gcm():
+    """Of the GCM specification's test cases for keys of 256 bits: an empty text, and one block of zeros."""
+    assert gcm.sealed(bytes(32), bytes(12), b"", b"").hex() == "530f8afbc74536b9a963b4f1c4cb738b"
+    assert gcm.sealed(bytes(32), bytes(12), b"", bytes(16)).hex() == "cea7403d4d606b6e074ec5d3baf39d18" + "d0d1c8a799996bf0265b98b5d48ab919"
+    with pytest.raises(crypto.AuthenticationError):
+        gcm.opened(bytes(32), bytes(12), b"", b"short")

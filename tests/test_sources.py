@@ -331,3 +331,22 @@ def test_records_before_the_damage_are_read(spark):
     before = sum(len(list(table.block(i).records())) for i in range(5))
     assert sum(r["error"] is None and r["path"] == "x" for r in got) == before and sum(r["error"] is not None for r in got) == 1
     assert sum(r["path"] == "y" for r in got) == 50
+
+
+def test_sealed_tables():
+    rows, key = records(700), SecretKey(b"k" * 32)
+    data = sstable.write_table(rows, block_size=2048, key=key, table_id=9)
+    table = sstable.Table(data, key, 9)
+    assert list(table.scan()) == rows and table.get(b"key-00123", 10**6)[2] == rows[123][3] and b"value-123" not in data
+    for args in ((), (SecretKey(b"x" * 32), 9), (key, 8)):
+        with pytest.raises(ValueError):
+            list(sstable.Table(data, *args).scan())
+    with pytest.raises(FormatError):
+        sstable.Table(sstable.write_table(rows), key)
+    # blocks that change places don't open
+    (_, a, n, _), (_, b, m, _) = table.index[2:4]
+    moved = bytearray(data)
+    size = min(n, m)
+    moved[a : a + size], moved[b : b + size] = data[b : b + size], data[a : a + size]
+    with pytest.raises(ValueError):
+        list(sstable.Table(bytes(moved), key, 9).scan())

@@ -241,7 +241,13 @@ def varint_encode(spark, sf_dir):
     return orders.select("o_orderkey", F.hex(varint.encoded(F.col("o_orderkey"))).alias("encoded"))
 
 
-@_query(None)
+#: The checksum's table and steps in SQL; the events' values are ASCII, so that a character is a byte.
+_CRC32C = """t as (select list_transform(range(0, 256), lambda i: list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: case when c & 1 = 1 then xor(c >> 1, 2197175160::bigint) else c >> 1 end)) entries),
+  b as (select seqno, list_concat([4294967295::bigint], list_transform(range(1, length(v) + 1), lambda i: unicode(v[i])::bigint)) octets from log)"""
+
+
+@_query(f"with {LOG}, {_CRC32C} select seqno, xor(list_reduce(octets, lambda c, o: xor(entries[(xor(c, o) & 255) + 1], c >> 8)), 4294967295::bigint)::bigint checksum from b, t")
 def crc32c_values(spark, sf_dir):
     return _log(spark, sf_dir).select("seqno", crc32c_of(F.col("value").cast("binary")).alias("checksum"))
 
@@ -457,6 +463,16 @@ def table_files_read(spark, sf_dir):
     return _text(rows, F.split("path", "-")[0].cast("long").alias("run"), F.col("op").cast("int").alias("op"))
 
 
+@_query(f"with {LOG} select run, k, v, seqno, op::int op, true wrong_key_refused from log")
+def table_files_sealed(spark, sf_dir):
+    """Table files whose blocks are sealed, read with their key; another key reads none of them."""
+    key = SecretKey(bytes(range(32)))
+    files = checkpointed(sstable.tables(_log(spark, sf_dir), file_bytes=400_000, key=key).withColumn("path", F.col("run_id").cast("string")))
+    refused = sstable.records(files, SecretKey(bytes(32))).where("error is null").isEmpty()
+    rows = sstable.records(files, key).where("error is null")
+    return _text(rows, F.col("path").cast("long").alias("run"), F.col("op").cast("int").alias("op"), F.lit(refused).alias("wrong_key_refused"))
+
+
 @_query(f"with {LOG} select run, count(*)::bigint entries, min(seqno) min_seqno, max(seqno) max_seqno, true aligned from log group by run")
 def table_file_headers(spark, sf_dir):
     files = sstable.tables(_log(spark, sf_dir)).select(F.col("run_id").cast("string").alias("path"), "content")

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import varint
+from ..functions import gcm, varint
 from ..functions.batches import FormatError
 from ..functions.bloom import BlockedBloom
 from ..functions.checksum import crc32c
+from ..functions.crypto import NONCE_TAG, SecretKey, run_key
 
 #: Fixed values of the format.
 MAGIC, FOOTER_MAGIC, VERSION = 0x53564B50, 0x4654525353564B50, 1
@@ -23,6 +24,11 @@ BLOCK_TARGET, ALIGNMENT, RESTART = 16 * 1024, 4096, 16
 CHECKSUMMED, ENCRYPTED = 1, 2
 
 
+def _place(table_id: int, offset: int) -> tuple[bytes, bytes]:
+    """The nonce of a block, by its place in the file, and what binds it to the file and the place."""
+    return struct.pack("<IQ", NONCE_TAG, offset), struct.pack("<QQ", table_id, offset)
+
+
 def shared_prefix(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     return next((i for i in range(n) if a[i] != b[i]), n)
@@ -107,8 +113,13 @@ class Block:
         return (r for r in self.records(start) if r[0] >= key)
 
 
-def write_table(records: Iterable[tuple[bytes, int, int, bytes]], block_size: int = BLOCK_TARGET, filter_keys: int | None = None, bits_per_key: int = 10, hashes: int = 8) -> bytes:
-    """A file of records in order of key, newest first.  ``filter_keys`` 0 leaves the filter out."""
+def write_table(records: Iterable[tuple[bytes, int, int, bytes]], block_size: int = BLOCK_TARGET, filter_keys: int | None = None, bits_per_key: int = 10, hashes: int = 8, key: SecretKey | None = None, table_id: int = 0) -> bytes:
+    """A file of records in order of key, newest first.  ``filter_keys`` 0 leaves the filter out.
+
+    With a master ``key`` the blocks of records are sealed under a key of the table's id; the filter and the index, which has the last key
+    of each block, are plain.
+    """
+    own = run_key(key, table_id).material if key else b""
     rows = list(records)
     for a, b in zip(rows, rows[1:]):
         if (a[0], -a[1]) > (b[0], -b[1]):
@@ -120,15 +131,19 @@ def write_table(records: Iterable[tuple[bytes, int, int, bytes]], block_size: in
     def seal() -> None:
         nonlocal builder, blocks
         data = builder.finish()
-        handle = struct.pack("<QI", len(body), len(data)) + data[-4:]
+        checksum = data[-4:]
+        if key:
+            nonce, bound = _place(table_id, len(body))
+            data, checksum = gcm.sealed(own, nonce, bound, data), bytes(4)
+        handle = struct.pack("<QI", len(body), len(data)) + checksum
         index.add(builder.last, handle, 0, 0)
         body.extend(data + bytes(-len(data) % ALIGNMENT))
         builder, blocks = BlockBuilder(), blocks + 1
 
-    for key, seqno, op, value in rows:
-        builder.add(key, value, seqno, op)
+    for name, seqno, op, value in rows:
+        builder.add(name, value, seqno, op)
         if bloom:
-            bloom.insert(key)
+            bloom.insert(name)
         if builder.size() >= block_size:
             seal()
     if builder.count:
@@ -140,15 +155,15 @@ def write_table(records: Iterable[tuple[bytes, int, int, bytes]], block_size: in
     handles.insert(0, struct.pack("<QI", end + len(kept), len(data)) + data[-4:])
     footer = b"".join(handles) + struct.pack("<QI", FOOTER_MAGIC, VERSION)
     seqnos = [r[1] for r in rows] or [0]
-    head = struct.pack("<IIIBBHQQQQQ", MAGIC, VERSION, CHECKSUMMED, 0, 0, 0, len(rows), blocks, min(seqnos), max(seqnos), end)
+    head = struct.pack("<IIIBBHQQQQQ", MAGIC, VERSION, CHECKSUMMED | (ENCRYPTED if key else 0), 0, 0, 0, len(rows), blocks, min(seqnos), max(seqnos), end)
     body[:HEADER] = head + struct.pack("<II", crc32c(head), 0)
     return bytes(body) + kept + data + footer + struct.pack("<I", crc32c(footer))
 
 
 class Table:
-    """A file of records; damage is an error."""
+    """A file of records; damage is an error, and so is a key where the blocks are plain, or none where they are sealed."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, key: SecretKey | None = None, table_id: int = 0):
         if len(data) < HEADER_REGION + FOOTER:
             raise FormatError("the file is too short")
         head, footer = data[:HEADER], data[-FOOTER:]
@@ -157,8 +172,9 @@ class Table:
             raise FormatError("the header is damaged")
         if struct.unpack_from("<QI", footer, 48) != (FOOTER_MAGIC, VERSION) or struct.unpack_from("<I", footer, 60)[0] != crc32c(footer[:60]):
             raise FormatError("the footer is damaged")
-        if flags & ENCRYPTED:
-            raise FormatError("the file is encrypted")
+        if bool(flags & ENCRYPTED) != (key is not None):
+            raise FormatError("the file is encrypted, and no key is given" if key is None else "the file is not encrypted, and a key is given")
+        self._key, self.table_id = run_key(key, table_id).material if key else None, table_id
         if compression:
             raise FormatError("compressed blocks are not supported")
         self.data = data
@@ -169,7 +185,8 @@ class Table:
 
     def block(self, i: int) -> Block:
         _, at, size, _ = self.index[i]
-        return Block.open(self.data[at : at + size])
+        data = self.data[at : at + size]
+        return Block.open(data if self._key is None else gcm.opened(self._key, *_place(self.table_id, at), data))
 
     def scan(self) -> Iterator[tuple[bytes, int, int, bytes]]:
         for i in range(len(self.index)):
@@ -191,18 +208,30 @@ class Table:
 SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("seqno", T.LongType()), T.StructField("op", T.ByteType()), T.StructField("value", T.BinaryType()), T.StructField("error", T.StringType())])
 
 
-def tables(log: DataFrame, run: str = "run_id", file_bytes: int = 64 << 20, **options: int) -> DataFrame:
-    """(run_id, part, content): the records of each run of a change log as table files of about so many bytes, in order of their keys."""
+def table_id(run: int, part: int) -> int:
+    return run << 20 | part
+
+
+def _shared(df: DataFrame, key: SecretKey | None):
+    """A key on its way to the workers, in a broadcast variable."""
+    return df.sparkSession.sparkContext.broadcast(key.material) if key else None
+
+
+def tables(log: DataFrame, run: str = "run_id", file_bytes: int = 64 << 20, key: SecretKey | None = None, **options: int) -> DataFrame:
+    """(run_id, part, table_id, content): the records of each run of a change log as table files of about so many bytes, in order of their keys."""
     import pyarrow as pa
 
+    shared = _shared(log, key)
+
     rows = log.select(F.col(run).cast("long").alias("run_id"), F.col("key").cast("binary").alias("key"), "seqno", F.col("op").cast("int").alias("op"), F.col("value").cast("binary").alias("value"))
 
     def pack(parts):
         own, nth, held, size = None, 0, [], 0
 
         def closed():
-            content = write_table(held, **options)
-            return pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([nth], pa.int64()), pa.array([content], pa.binary())], ["run_id", "part", "content"])
+            content = write_table(held, **options, key=SecretKey(shared.value) if shared else None, table_id=table_id(own, nth))
+            arrays = [pa.array([x], pa.int64()) for x in (own, nth, table_id(own, nth))]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([content], pa.binary())], ["run_id", "part", "table_id", "content"])
 
         for batch in parts:
             for of, *record in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -215,7 +244,7 @@ def tables(log: DataFrame, run: str = "run_id", file_bytes: int = 64 << 20, **op
         if held:
             yield closed()
 
-    return rows.repartition("run_id").sortWithinPartitions("run_id", "key", F.desc("seqno")).mapInArrow(pack, "run_id long, part long, content binary")
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "key", F.desc("seqno")).mapInArrow(pack, "run_id long, part long, table_id long, content binary")
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
@@ -223,10 +252,12 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     return records(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
-def records(files: DataFrame) -> DataFrame:
-    """As ``read_tables`` for rows (path, content).  One block is decoded at a time."""
+def records(files: DataFrame, key: SecretKey | None = None) -> DataFrame:
+    """As ``read_tables`` for rows (path, content), or (path, content, table_id) of sealed files.  One block is decoded at a time."""
     import pyarrow as pa
 
+    shared = _shared(files, key)
+
     kinds = (pa.string(), pa.binary(), pa.int64(), pa.int8(), pa.binary(), pa.string())
 
     def packed(rows):
@@ -236,9 +267,9 @@ def records(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, content, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 try:
-                    table = Table(content)
+                    table = Table(content, SecretKey(shared.value) if shared else None, own)
                     for i in range(len(table.index)):
                         rows += [(name, k, s, op, v, None) for k, s, op, v in table.block(i).records()]
                         if len(rows) > 10_000:
@@ -248,7 +279,7 @@ def records(files: DataFrame) -> DataFrame:
                     rows.append((name, None, None, None, None, str(e)))
             yield packed(rows)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content", "table_id" if key else F.lit(0).alias("table_id")).mapInArrow(run, SCHEMA)
 
 
 def summaries(files: DataFrame) -> DataFrame:

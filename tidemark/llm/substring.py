@@ -4,7 +4,7 @@ The minimiser of a window of k words is the smallest hash of its runs of m words
 one minimiser are a super-k-mer.  Equal windows have equal minimisers, so that
 
 1. documents of the same words are one class, of which the smallest doc_id counts;
-2. a minimiser that only one class has needs no further look;
+2. a minimiser that only one class has needs no further look; classes of one slice that share one know it at once;
 3. each other super-k-mer travels as one packed string to the bucket of its minimiser, where windows are
    sorted, and those after the first of a run of equal ones are repeats if their doc_id is larger;
 4. of equal strings of a batch only those of the smallest doc_id travel, as all windows of the others are repeats;
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, release, saved, signed, word_blocks
+from .common import Words, mix64, saved, signed, word_blocks
 
 #: Words of a window, and of the runs that its minimiser is chosen from.
 WINDOW, RUN = 13, 5
@@ -29,10 +29,17 @@ WINDOW, RUN = 13, 5
 CROWD = 10_000
 #: Windows of a bucket that are sorted in a task's memory.
 BUCKET = 200_000
+#: Parts that the rows of one window of a larger bucket are dealt to.
+PARTS = 32
 _FAR = np.uint64((1 << 64) - 1)
 _LENGTH = 32
 
 
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def normal(column: pa.Array) -> pa.Array:
     """Each text's words with one space between them, as bytes.  ``bytes.split`` cuts at just the separators of words."""
     return pa.array([b" ".join(x.encode("utf-8", "surrogatepass").split()) if (x := v.as_py()) is not None else b"" for v in column], pa.large_binary())
@@ -91,22 +98,80 @@ def whole(docs: DataFrame) -> DataFrame:
 
 
 def minimisers(docs: DataFrame, window: int, run_words: int) -> DataFrame:
-    """(mh, cls): each minimiser that a text has, once."""
+    """(deal, mh, cls, n): each minimiser that a text has, once.
+
+    Of the texts of a slice that have a minimiser one stands for all of them, with their number, and is dealt by the minimiser; the others, with 0, share it
+    already and are dealt by their class.  A minimiser that very many texts have so meets once for each slice.
+    """
+    names = ["deal", "mh", "cls", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             texts = normal(batch.column(0))
             cls = np.array([_class(hashlib.sha256(x.as_py()).digest()) for x in texts], np.int64)
+            keys, owners = [], []
             for words in word_blocks(texts):
                 key, start, _ = super_kmers(words, window, run_words)
-                if len(key):
-                    doc = words.doc[start]
-                    order = np.lexsort((key, doc))
-                    key, doc = key[order], doc[order]
-                    new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key[new])), pa.array(cls[words.rows[doc[new]]])], ["mh", "cls"])
+                keys.append(key)
+                owners.append(cls[words.rows[words.doc[start]]])
+            if not keys or not sum(map(len, keys)):
+                continue
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+            key, owner = key[new], owner[new]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.zeros(len(key), np.int64)
+            n[first] = np.diff(np.append(first, len(key)))
+            deal = np.where(n > 0, signed(key), signed(mix64(owner.view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, signed(key), owner, n)], names)
 
-    return docs.where("id is not null").select("text").mapInArrow(run, "mh long, cls long")
+    return docs.where("id is not null").select("text").mapInArrow(run, "deal long, mh long, cls long, n long")
+
+
+def shared_minimisers(rows: DataFrame, crowd: int, hold: int = 100_000) -> DataFrame:
+    """(mh, cls, times) of rows of ``minimisers``: those that another class has too, with 0; and a row for each that more than ``crowd`` have, with how many.
+
+    A class that is in several slices counts for each of them.
+    """
+    names = ["mh", "cls", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((3, 0), np.int64)
+        # of a minimiser whose rows were too many to hold: itself, a class, how many have it, and whether several do; the first of such rows
+        # come out as shared even if all are of one class, which only costs a look at its windows
+        late: tuple[int, int, int, bool] | None = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                mh, cls, n = (batch.column(i).to_numpy() for i in range(1, 4))
+                sure = n == 0
+                if sure.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(mh[sure]), pa.array(cls[sure]), pa.array(n[sure])], names)
+                rest = np.concatenate([rest, np.stack([mh[~sure], cls[~sure], n[~sure]])], axis=1)
+            if not rest.shape[1]:
+                continue
+            last = int(np.searchsorted(rest[0], rest[0, -1], "left"))
+            cut = rest.shape[1] if batch is None or rest.shape[1] - last > hold else last
+            (mh, cls, n), rest = rest[:, :cut], rest[:, cut:]
+            if not len(mh):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], mh[1:] != mh[:-1]]))
+            size = np.diff(np.append(first, len(mh)))
+            total, low, high = np.add.reduceat(n, first), np.minimum.reduceat(cls, first), np.maximum.reduceat(cls, first)
+            several = (low != high) | (np.maximum.reduceat(n, first) > 1)
+            if late is not None and mh[0] == late[0]:
+                several[0] = several[0] or late[3] or low[0] != late[1]
+                total[0] += late[2]
+            late = (int(mh[-1]), int(low[-1]), int(total[-1]), bool(several[-1])) if batch is not None and cut > last else None
+            many = (total > crowd) & several
+            if late is not None:
+                many[-1], several[-1] = False, True
+            keep = np.repeat(several, size)
+            found = [(mh[keep], cls[keep], np.zeros(int(keep.sum()), np.int64)), (mh[first[many]], low[many], total[many])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
+
+    return rows.repartition(F.col("deal")).sortWithinPartitions("deal").mapInArrow(run, "mh long, cls long, times long")
 
 
 def packed(docs: DataFrame, window: int, run_words: int) -> DataFrame:
@@ -172,8 +237,8 @@ def packed(docs: DataFrame, window: int, run_words: int) -> DataFrame:
 def bucket_repeats(rows: DataFrame, window: int, most: int = BUCKET) -> DataFrame:
     """(cls, id, start, n) of the windows of packed rows whose words are in a row of a smaller id, and of the rows without words.
 
-    A task sorts the windows of some buckets at a time.  Those of a bucket of more than ``most`` windows, which a text that repeats itself may
-    make, are dealt again by themselves and sorted by Spark.
+    A task sorts the windows of some buckets at a time.  Those of a bucket of more than ``most`` windows, which texts that repeat themselves may
+    make, are told by themselves, and one window's rows are in several tasks.
     """
     names = ["window", "cls", "id", "start", "n"]
     kinds = [pa.string(), *[pa.int64()] * 4]
@@ -229,23 +294,15 @@ def bucket_repeats(rows: DataFrame, window: int, most: int = BUCKET) -> DataFram
             yield batch_of(found)
         yield batch_of(repeats(full + (bucket if len(bucket) > 1 else [])))
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, least = None, None
-        for batch in batches:
-            found = []
-            for text, c, i, s, _ in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if text != word:
-                    word, least = text, i
-                elif i > least:
-                    found.append((None, c, i, s, 1))
-            yield batch_of(found)
-
     schema = "window string, cls long, id long, start long, n long"
     buckets = saved(rows.repartition(F.col("deal")).sortWithinPartitions("deal").mapInArrow(run, schema))
     again = buckets.where("window is not null")
     out = buckets.where("window is null")
     if not again.isEmpty():
-        out = out.union(again.repartition(F.col("window")).sortWithinPartitions("window", "id").mapInArrow(dealt, schema))
+        # the smallest id of each window, by partial aggregates, meets the window's rows in several parts
+        least = again.groupBy("window").agg(F.min("id").alias("least")).select("window", "least", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        part = F.pmod(F.xxhash64("id", "start"), F.lit(PARTS)).cast("int").alias("part")
+        out = out.union(again.select("*", part).join(least, ["window", "part"]).where("id > least").select(out.columns))
     return out.select("cls", "id", "start", "n")
 
 
@@ -276,12 +333,13 @@ def remove(docs: DataFrame, window: int, digest: bool = False) -> DataFrame:
     return docs.select("cls", "id", "spans", "text").mapInArrow(run, "cls long, lo long, n_removed long, kept string")
 
 
-def _wanted(docs: DataFrame, classes: DataFrame, window: int, run_words: int, crowd: int) -> DataFrame:
+def _wanted(docs: DataFrame, classes: DataFrame, window: int, run_words: int, crowd: int, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(cls, wanted, crowded, id): the minimisers of each class that another class has too, and those of them that very many have."""
-    keys = minimisers(docs, window, run_words)
-    shared = keys.groupBy("mh").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("times")).where("lo <> hi").select("mh", (F.col("times") > crowd).alias("many"))
+    found = saved(shared_minimisers(minimisers(docs, window, run_words), crowd))
+    many = found.where("times > 0").select("mh", F.lit(True).alias("many"))
+    many = F.broadcast(many) if many.count() <= broadcast_rows else many
     crowded = F.collect_set(F.when(F.col("many"), F.col("mh"))).alias("crowded")
-    wanted = keys.join(shared, "mh").groupBy("cls").agg(F.collect_set("mh").alias("wanted"), crowded)
+    wanted = found.where("times = 0").join(many, "mh", "left").groupBy("cls").agg(F.collect_set("mh").alias("wanted"), crowded)
     return saved(wanted.join(classes.select("cls", "id"), "cls"))
 
 
@@ -295,15 +353,12 @@ def _spans(docs: DataFrame, wanted: DataFrame, window: int, run_words: int) -> D
 def repeated_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """For (id, text): the rows of ``whole``; and (cls, id, spans) of the classes that have repeats of another class.
 
-    ``id`` is the class's smallest doc_id; a span is ``start << 32 | windows``.  The steps are functions of their own, so that
-    when one ends nothing refers to its shuffles and they can be deleted before the next one.
+    ``id`` is the class's smallest doc_id; a span is ``start << 32 | windows``.
     """
     rows = saved(whole(docs))
     classes = rows.where(f"id is not null and n >= {window}").groupBy("cls", "sha").agg(F.min("id").alias("id"))
     wanted = _wanted(docs, classes, window, run_words, crowd)
-    release(docs.sparkSession)
     spans = _spans(docs, wanted, window, run_words)
-    release(docs.sparkSession)
     return rows, spans
 
 

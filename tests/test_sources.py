@@ -10,6 +10,7 @@ from tidemark.functions.batches import FormatError, WriteBatch, decoded
 from tidemark.functions.crypto import AuthenticationError, SecretKey
 from tidemark.operators import read
 from tidemark.sources import sstable, wal
+from tidemark.sources.fs import Files
 from tidemark.sources.store import Config, Store, parse_log_name, parse_run_name
 from tidemark.sources.wal import CorruptionError
 from tidemark.streaming.ingest import ingest
@@ -183,6 +184,8 @@ def test_limits_and_pages(spark, tmp_path):
     for key, value in ((b"12345", b""), (b"1", b"1234567")):
         with pytest.raises(FormatError):
             db.put(key, value)
+    with pytest.raises(FormatError):
+        db.get(b"12345")
     for k in (b"a", b"b", b"c", b"d"):
         db.put(k, k * 3)
     page = db.scan_page("Yg==", "ZA==", 1).first()
@@ -350,3 +353,15 @@ def test_sealed_tables():
     moved[a : a + size], moved[b : b + size] = data[b : b + size], data[a : a + size]
     with pytest.raises(ValueError):
         list(sstable.Table(bytes(moved), key, 9).scan())
+
+
+def test_files_by_place(spark, tmp_path):
+    files = Files(spark, str(tmp_path / "x"))
+    files.publish("a/b", b"0123456789")
+    assert files.size("a/b") == 10 and files.exists("a/b") and not files.exists("a/c")
+    assert (files.read_at("a/b", 3, 4), files.read_at("a/b", 8, 99), files.read_at("a/b", 50, 1)) == (b"3456", b"89", b"")
+    with pytest.raises(FileExistsError):
+        files.create("a/b", b"")
+    for bad in ("/etc/x", "../x", "a/../../x"):
+        with pytest.raises(ValueError):
+            files.read(bad)

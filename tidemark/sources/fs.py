@@ -64,6 +64,21 @@ class Files:
         finally:
             stream.close()
 
+    def size(self, name: str) -> int:
+        return self._fs.getFileStatus(self._path(name)).getLen()
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def read_at(self, name: str, offset: int, size: int) -> bytes:
+        """So many bytes from a place on; fewer where the file ends."""
+        stream = self._fs.open(self._path(name))
+        try:
+            stream.seek(min(offset, self.size(name)))
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(self._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+        finally:
+            stream.close()
+
     def publish(self, name: str, data: bytes) -> None:
         """Writes under a name of its own, then renames; an existing name is an error.
 

@@ -328,6 +328,8 @@ class Store:
         return self._seqno
 
     def get(self, key: bytes, seqno: int | None = None) -> bytes | None:
+        if len(key) > self.config.max_key_bytes:
+            raise FormatError(f"a key has {self.config.max_key_bytes} bytes at most")
         rows = read.get(self.log((key, key), seqno), key, seqno).take(1)
         return bytes(rows[0]["value"]) if rows else None
 

@@ -1,4 +1,10 @@
-"""Benchmark decontamination by SimHash windows and Hamming blocks (operator 1)."""
+"""Benchmark decontamination by SimHash windows and Hamming blocks (operator 1).
+
+Every window of a document that has as many words as an item gets a fingerprint: 64 signs of the sums of its
+5-word shingles' hash bits.  A fingerprint is cut into four blocks, each with a number of bits that may differ; as these numbers, each
+plus one, add up to more than the radius, of two fingerprints within it at least one block differs in no more, so that tables from a
+block's value to the items near it give all candidates.  Those within the radius are verified by the exact similarity of the weighted shingles.
+"""
 
 from __future__ import annotations
 
@@ -11,23 +17,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Words, word_blocks
+from .common import Words, saved, word_blocks
 from .mixing import word_count
 
 SHINGLE = 5
-BITS = 64
+BITS, BLOCKS = 64, 4
+BLOCK_BITS = BITS // BLOCKS
+#: Windows of a size whose fingerprints are made at a time, so that the sums stay in the cache.
+AT_ONCE = 4096
+#: Windows of a size that are looked up at a time, so that its tables are.
+SPAN = 1 << 16
 
 
 def bit_signs(keys: np.ndarray) -> np.ndarray:
     """Each key's 64 bits as +1 and -1."""
-    bits = np.unpackbits(np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return bits.astype(np.int32) * 2 - 1
-
-
-def packed(sums: np.ndarray) -> np.ndarray:
-    """Fingerprints from the weighted sums of the bits: a bit is set where its sum is positive."""
-    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+    bits = np.unpackbits(np.ascontiguousarray(keys).view(np.uint8), bitorder="little").reshape(-1, BITS)
+    return bits.astype(np.int8) * np.int8(2) - np.int8(1)
+
+
+class Sums:
+    """Running sums of the signs of a block's shingles, from which windows of any size have their fingerprints."""
+
+    def __init__(self, keys: np.ndarray):
+        self._signs = bit_signs(keys)
+        self._running: dict[type, np.ndarray] = {}
+        self._gap: np.ndarray | None = None
+
+    def _sums(self, size: int) -> np.ndarray:
+        """Sums modulo the range of the smallest type that holds the sum of a window."""
+        kind = np.int8 if size < 128 else np.int16 if size < 1 << 15 else np.int32
+        if kind not in self._running:
+            running = np.zeros((len(self._signs) + 1, BITS), kind)
+            np.cumsum(self._signs, axis=0, dtype=kind, out=running[1:])
+            self._running[kind] = running
+        return self._running[kind]
+
+    def windows(self, size: int, most: int | None = None) -> np.ndarray:
+        """Fingerprints of all windows of so many shingles, by their start; of the first ``most``.  A bit is set where its sum is positive."""
+        running = self._sums(size)
+        n = max(0, len(running) - size)
+        n = n if most is None else min(n, most)
+        # the same memory for all sizes stays in the cache
+        if self._gap is None or self._gap.dtype != running.dtype or len(self._gap) < n:
+            self._gap, self._positive = np.empty((n, BITS), running.dtype), np.empty((n, BITS), bool)
+        np.subtract(running[size : size + n], running[:n], out=self._gap[:n])
+        np.greater(self._gap[:n], 0, out=self._positive[:n])
+        return np.packbits(self._positive[:n].reshape(-1), bitorder="little").view(np.uint64)
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -43,122 +80,139 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 class Index:
     """Fingerprints of items, found by any block of their bits.
 
-    ``blocks`` parts of the bits are looked up with up to ``radius // blocks`` bits changed: of two
-    fingerprints within the radius, at least one part differs by no more than that.
+    For each size of item and each block a table from the block's value to the items whose block differs from it in few
+    bits, as the bits of a number; 64 items share a table.
     """
 
     ids: list
     shingles: list[np.ndarray]
     least: float = 0.75
-    radius: int = 24
-    blocks: int = 9
+    radius: int = 17
     prints: np.ndarray = field(init=False)
     sizes: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.prints = np.concatenate([packed(bit_signs(s).sum(axis=0, keepdims=True)) for s in self.shingles] or [np.zeros(0, np.uint64)])
+        self.prints = np.concatenate([Sums(s).windows(len(s)) for s in self.shingles] or [np.zeros(0, np.uint64)])
         self.sizes = np.array([len(s) for s in self.shingles], np.int64)
         self.known = np.unique(np.concatenate(self.shingles or [np.zeros(0, np.uint64)]))
+        # whether any known shingle ends in these bits
         self.gate = np.zeros(1 << 16, bool)
-        self.gate[(self.known & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.cuts = [BITS * i // self.blocks for i in range(self.blocks + 1)]
-        # which item a known shingle is of; -1 where several have it
+        self.gate[(self.known & np.uint64(0xFFFF)).astype(np.intp)] = True
         self.holders = [np.searchsorted(self.known, np.unique(x)) for x in self.shingles]
-        times = np.bincount(np.concatenate(self.holders or [np.zeros(0, np.int64)]), minlength=len(self.known))
-        self.owner = np.full(len(self.known), -1, np.int64)
-        for i, own in enumerate(self.holders):
-            self.owner[own[times[own] == 1]] = i
-        # for the items of one size: block -> value of the block -> which items are near it
-        self.places = {int(n): np.flatnonzero(self.sizes == n) for n in np.unique(self.sizes)}
-        self.tables = {n: [self._near(self._part(self.prints[i], lo, hi), hi - lo) for lo, hi in zip(self.cuts, self.cuts[1:])] for n, i in self.places.items()}
-
-    @staticmethod
-    def _part(prints: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        return ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
-
-    def _near(self, part: np.ndarray, bits: int) -> np.ndarray:
-        return np.bitwise_count(part[None, :] ^ np.arange(1 << bits)[:, None]) <= self.radius // self.blocks
-
-    def near(self, size: int, fingerprints: np.ndarray) -> np.ndarray:
-        """For each fingerprint, which of the items of this size are within the radius."""
-        found = np.zeros((len(fingerprints), len(self.places[size])), bool)
-        for table, lo, hi in zip(self.tables[size], self.cuts, self.cuts[1:]):
-            found |= table[self._part(fingerprints, lo, hi)]
-        w, i = np.nonzero(found)
-        far = np.bitwise_count(self.prints[self.places[size][i]] ^ fingerprints[w]) > self.radius
-        found[w[far], i[far]] = False
-        return found
+        # bits that may differ in each block: each plus one, they add up to the radius plus one
+        self.changed = [(self.radius + 1 + i) // BLOCKS - 1 for i in range(BLOCKS)][::-1]
+        self._tables: dict[int, list[tuple[np.ndarray, list[np.ndarray]]]] | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_tables": None}
+
+    @property
+    def tables(self) -> dict[int, list[tuple[np.ndarray, list[np.ndarray]]]]:
+        """Size of items -> groups of up to 64 items (their places, a table for each block); built where they are needed."""
+        if self._tables is None:
+            values = np.arange(1 << BLOCK_BITS, dtype=np.uint16)
+            self._tables = {}
+            for size in np.unique(self.sizes).tolist():
+                own = np.flatnonzero(self.sizes == size)
+                for group in np.array_split(own, -(-len(own) // 64)):
+                    kind = np.uint8 if len(group) <= 8 else np.uint16 if len(group) <= 16 else np.uint32 if len(group) <= 32 else np.uint64
+                    parts = self.prints[group].view(np.uint16).reshape(-1, BLOCKS)
+                    found = [np.zeros(len(values), kind) for _ in range(BLOCKS)]
+                    for i, row in enumerate(parts):
+                        for table, value, changed in zip(found, row, self.changed):
+                            table |= (np.bitwise_count(values ^ value) <= changed).astype(kind) << kind(i)
+                    self._tables.setdefault(size, []).append((group, found))
+        return self._tables
+
+    def near(self, size: int, fingerprints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each item of this size, which of the fingerprints are within the radius."""
+        blocks = fingerprints.view(np.uint16).reshape(-1, BLOCKS).T.astype(np.intp)
+        for group, tables in self.tables[size]:
+            mask = tables[0].take(blocks[0], mode="clip")
+            for i in range(1, BLOCKS):
+                mask |= tables[i].take(blocks[i], mode="clip")
+            some = np.flatnonzero(mask != 0)
+            mask, prints = mask[some], fingerprints[some]
+            for i, item in enumerate(group.tolist()):
+                if len(group) <= 16:
+                    # of few items it is cheaper to look at all that any of them may be near to
+                    yield item, some[np.bitwise_count(prints ^ self.prints[item]) <= self.radius]
+                else:
+                    at = np.flatnonzero(mask & mask.dtype.type(1 << i))
+                    yield item, some[at[np.bitwise_count(prints[at] ^ self.prints[item]) <= self.radius]]
 
     def search(self, words: Words) -> dict[int, dict[int, tuple[float, int, int]]]:
-        """Document of a block -> item's place -> (similarity, first word, words) of its best window.
-
-        A window with fewer of the items' shingles than the least similarity needs can't be verified, so that it
-        gets no fingerprint; every other item-sized window does.
-        """
+        """Document of a block -> item's place -> (similarity, first word in the document, words) of its best window."""
         key, at = words.windows(SHINGLE)
-        hit = self.gate[(key & np.uint64(0xFFFF)).astype(np.int64)]
-        maybe = np.flatnonzero(hit)
-        if not len(maybe) or not len(self.known):
+        if not len(key) or not len(self.known):
             return {}
+        doc = words.doc[at]
+        cuts = np.searchsorted(doc, np.arange(len(words.rows) + 1))
+        held = np.diff(cuts)
+        near: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        largest = int(self.sizes.max())
+        step = max(AT_ONCE, 4 * largest)
+        for first in range(0, len(key), SPAN):
+            last = min(first + SPAN, len(key))
+            made: dict[int, list[np.ndarray]] = {size: [] for size in self.tables}
+            for lo in range(first, last, step):
+                sums = Sums(key[lo : min(lo + step, last) + largest])
+                for size, parts in made.items():
+                    parts.append(sums.windows(size, min(step, last - lo)))
+            for size, parts in made.items():
+                for item, start in self.near(size, np.concatenate(parts)):
+                    if len(start):
+                        near.setdefault(item, []).append((first + start, np.full(len(start), size)))
+        # documents of fewer words than an item are one window; much shorter ones can't be similar
+        short = np.flatnonzero((held > 0) & (held < largest) & (held >= self.least * self.sizes.min()))
+        prints = np.concatenate([Sums(key[a:b]).windows(b - a) for a, b in zip(cuts[short].tolist(), cuts[short + 1].tolist())] or [np.zeros(0, np.uint64)])
+        for size in self.tables:
+            fits = np.flatnonzero((held[short] < size) & (held[short] >= self.least * size))
+            for item, which in self.near(size, prints[fits]) if len(fits) else ():
+                whole = short[fits[which]]
+                near.setdefault(item, []).append((cuts[whole], held[whole]))
+        # how many of the shingles up to a place any item has: bounds the similarity of a candidate
+        maybe = np.flatnonzero(self.gate[(key & np.uint64(0xFFFF)).astype(np.intp)])
         place = np.searchsorted(self.known, key[maybe]).clip(max=len(self.known) - 1)
         sure = self.known[place] == key[maybe]
-        hit[maybe] = sure
         where, which = maybe[sure], place[sure]
+        met = np.zeros(len(key) + 1, np.int64)
+        met[where + 1] = 1
+        met = np.cumsum(met)
         share = self.least / (1 + self.least)
-        doc = words.doc[at]
-        fewest = share * 2 * self.sizes.min() * self.least
         found: dict[int, dict[int, tuple[float, int, int]]] = {}
-        counts = np.bincount(doc[hit], minlength=1)
-        for d in np.flatnonzero(counts >= max(1, fewest)):
-            lo, hi = np.searchsorted(doc, [d, d + 1])
-            a, b = np.searchsorted(where, [lo, hi])
-            own = self._document(key[lo:hi], where[a:b] - lo, which[a:b], share)
-            if own:
-                found[int(d)] = own
+        for item in sorted(near):
+            start, width = map(np.concatenate, zip(*near[item]))
+            size = int(self.sizes[item])
+            fits = (doc[start] == doc[start + width - 1]) & (met[start + width] - met[start] >= share * (width + size) - 1e-9)
+            start, width = start[fits], width[fits]
+            for d in np.unique(doc[start]).tolist():
+                own = doc[start] == d
+                best = self._best(key, where, which, item, start[own], width[own])
+                if best:
+                    found.setdefault(d, {})[item] = (best[0], best[1] - int(cuts[d]), best[2] + SHINGLE - 1)
         return found
 
-    def _document(self, key: np.ndarray, where: np.ndarray, which: np.ndarray, share: float) -> dict[int, tuple[float, int, int]]:
-        """where, which: the places of a document's shingles that are known, and which ones they are."""
-        n, best, signs = len(key), {}, None
-        owner = self.owner[which]
-        shared = np.unique(which[owner < 0])
-        counts = np.bincount(owner[owner >= 0], minlength=len(self.ids))
-        if len(shared):
-            counts = counts + (owner < 0).sum()
-        fewest = np.ceil(share * (np.minimum(self.sizes, n) + self.sizes) - 1e-9)
-        for size in np.unique(self.sizes[counts >= fewest]).tolist():
-            width = min(size, n)
-            met = np.zeros(n + 1, np.int64)
-            met[where + 1] = 1
-            met = np.cumsum(met)
-            count = met[width:] - met[: n - width + 1]
-            starts = np.flatnonzero(count >= math.ceil(share * (width + size) - 1e-9))
-            if not len(starts):
-                continue
-            if signs is None:
-                signs = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bit_signs(key), axis=0, dtype=np.int32)])
-            near = self.near(size, packed(signs[starts + width] - signs[starts]))
-            for i in np.flatnonzero(near.any(axis=0)):
-                item = int(self.places[size][i])
-                shingles = self.shingles[item]
-                at = starts[near[:, i]]
-                # the item's shingles in a window bound its similarity: the highest bounds are verified first
-                mine = where[(owner == item) | ((owner < 0) & np.isin(which, self.holders[item]))]
-                most = np.minimum(np.searchsorted(mine, at + width) - np.searchsorted(mine, at), size)
-                bound = most / (width + size - most)
-                top = (self.least, -1)
-                for k in np.argsort(-bound, kind="stable").tolist():
-                    if bound[k] < top[0] or (bound[k] == top[0] and top[1] >= 0):
-                        break
-                    similar = weighted_jaccard(key[at[k] : at[k] + width], shingles)
-                    if similar > top[0] or (similar == top[0] and top[1] < 0):
-                        top = (similar, int(at[k]))
-                if top[1] >= 0:
-                    best[item] = (top[0], top[1], width + SHINGLE - 1)
-        return best
-
-
-def indexes(items: DataFrame, least: float = 0.75, block_words: int = 400_000) -> Iterator[Index]:
+    def _best(self, key: np.ndarray, where: np.ndarray, which: np.ndarray, item: int, start: np.ndarray, width: np.ndarray) -> tuple[float, int, int] | None:
+        """(similarity, start, shingles) of the window that is most similar to an item, of equal ones the first; none below the least similarity."""
+        shingles = self.shingles[item]
+        # the item's shingles in a window bound its similarity: the highest bounds are verified first
+        lo, hi = np.searchsorted(where, [start.min(), (start + width).max()])
+        mine = where[lo:hi][np.isin(which[lo:hi], self.holders[item])]
+        most = np.minimum(np.searchsorted(mine, start + width) - np.searchsorted(mine, start), len(shingles))
+        bound = most / (width + len(shingles) - most)
+        top = None
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < max(self.least, top[0] if top else 0.0):
+                break
+            first, n = int(start[k]), int(width[k])
+            similar = weighted_jaccard(key[first : first + n], shingles)
+            if similar >= self.least and (top is None or (similar, -first) > (top[0], -top[1])):
+                top = similar, first, n
+        return top
+
+
+def indexes(items: DataFrame, least: float = 0.75, block_words: int = 60_000) -> Iterator[Index]:
     """Indexes over (item_id, text), each of about ``block_words`` words, so that a set of any size fits.
 
     An item of fewer than five words has no shingle and matches nothing, as does a null one.
@@ -184,14 +238,21 @@ def find(docs: DataFrame, items: DataFrame, least: float = 0.75) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window for each document and item it holds.
 
     Compared are windows of as many words as the item (the whole document where it is shorter), with A-Z
-    lower-cased.  Null and empty texts hold nothing, repeated rows are reported each, and without items, or
-    documents, the result is empty.  Other columns are not read.
+    lower-cased; of windows of one similarity the first counts.  ``first_word`` counts the document's words from 0.  Texts of any length are searched
+    whole.  Null and empty texts hold nothing, repeated rows are reported each, items of equal texts each have their rows,
+    and without items, or documents, the result is empty.  Other columns are not read.
+
+    A pair at the least similarity is within the radius with a chance of 98 in 100, a more similar one more surely.  Items
+    that need more than one index are searched one index after the other, each in a pass over the documents; only one is broadcast at a time.
     """
     rows = docs.select("doc_id", "text")
     doc_type, item_type = rows.schema["doc_id"].dataType, items.schema["item_id"].dataType
     schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("item_id", item_type), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
-    out = docs.sparkSession.createDataFrame([], schema)
+    parts, waiting = [], None
     for index in indexes(items, least):
+        if waiting is not None:
+            parts.append(saved(waiting))
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -204,12 +265,13 @@ def find(docs: DataFrame, items: DataFrame, least: float = 0.75) -> DataFrame:
                             picked.append(int(words.rows[d]))
                             rest.append((own.ids[item], similar, first, n))
                 columns = list(zip(*rest)) if rest else [[], [], [], []]
-                ids = pa.array(columns[0], pa.int64() if isinstance(item_type, (T.LongType, T.IntegerType)) else pa.string())
-                ids = ids.cast(pa.int32()) if isinstance(item_type, T.IntegerType) else ids
-                arrays = [batch.column(0).take(pa.array(picked, pa.int64())), ids, pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())]
+                arrays = [batch.column(0).take(pa.array(picked, pa.int64())), pa.array(columns[0], to_arrow_type(item_type)), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-        out = out.union(rows.mapInArrow(run, schema))
+        waiting = rows.mapInArrow(run, schema)
+    out = docs.sparkSession.createDataFrame([], schema) if waiting is None else waiting
+    for part in parts:
+        out = out.union(part)
     return out
 
 

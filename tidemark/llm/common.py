@@ -8,9 +8,7 @@ no Python string is made for a word.
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,7 +45,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse, modulo 2**64."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 2 * BLOCK_BYTES)
+        size = max(n, BLOCK_BYTES + 2)
         base = 0xD6E8FEB86659FD93
         for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
             steps = np.full(size, b, np.uint64)
@@ -140,26 +138,39 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured."""
-    found = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one where none is set, in local mode only."""
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-"))
-    return configured or spark.sparkContext.getCheckpointDir()
+    if context.getCheckpointDir() is None:
+        if configured is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-"))
+    return configured or context.getCheckpointDir()
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what runs in the block as soon as it has run."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder; lineage is cut."""
+    """The rows of df, computed once and kept in the shared folder; lineage is cut, and the shuffles that led to them are deleted."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_removed(df.sparkSession):
+        return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose DataFrames are gone, which it does as the driver collects garbage."""
-    for _ in range(2):  # the first round drops Python's handles, the second what only they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @contextlib.contextmanager
@@ -167,13 +178,12 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     """The rows of df as a Parquet table in the shared folder, deleted when the block ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     try:
         yield spark.read.parquet(path)
     finally:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        removed(spark, path)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

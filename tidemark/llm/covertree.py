@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, release, saved
+from .common import connected_components, saved
 
 #: Vectors of a block, and blocks of one side of a task.
 BLOCK, SIDE = 4096, 8
@@ -447,7 +447,6 @@ def near_duplicates(table: DataFrame, least: float = 0.95, block: int = BLOCK, m
 
     schema = "dim int, at long, n long, ids binary, w binary, raw binary, tree binary"
     blocks = saved(chunks.select("dim", "at", "id", "w", "v").groupBy("dim", "at").applyInArrow(pack, schema).withColumn("g", F.expr(f"at div {side}")))
-    release(spark)
     spans = spark.createDataFrame(pa.concat_tables(near)) if near else spark.createDataFrame([], "dim int, a0 long, a1 long, b0 long, b1 long")
     own = lost.select("dim", F.lit(0).cast("long").alias("a0"), F.expr(f"(parts - 1) div {side}").alias("a1"))
     spans = spans.union(own.select("dim", "a0", "a1", F.col("a0").alias("b0"), F.col("a1").alias("b1")))
@@ -479,7 +478,6 @@ def near_duplicates(table: DataFrame, least: float = 0.95, block: int = BLOCK, m
 
     dealt = ends.join(blocks, ["dim", "g"]).select("dim", "g1", "g2", "g", "n", "ids", "w", "raw", "tree")
     found = saved(dealt.groupBy("dim", "g1", "g2").applyInArrow(search, "x long, y long, k long"))
-    release(spark)
     counts = found.where("y is null").groupBy(F.col("x").alias("cls")).agg(F.sum("k").alias("k"))
     members = every.join(classes.select("dim", "v", F.col("id").alias("cls"), "w"), ["dim", "v"]).select("id", "cls", "w")
     members = saved(members.join(counts, "cls", "left").select("id", "cls", F.coalesce("k", F.col("w") - 1).alias("k")))

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, mix64, release, saved, signed, stored, word_blocks
+from .common import Words, connected_components, mix64, saved, signed, stored, word_blocks
 from .covertree import Links
 
 SHINGLE = 5
 MINIMA = 5
+#: Rows of a key beyond which it is settled as a frequent one.
+LONGEST = 48
 _TOP = np.uint64(1 << 63)
 _KEY = np.uint64((1 << 48) - 1)
 
@@ -58,9 +60,13 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def summaries(docs: DataFrame, local: int = 3) -> DataFrame:
+def summaries(docs: DataFrame, local: int = 3, counters: int = 1 << 19) -> DataFrame:
     """Rows of two kinds: for each document (id, n, d1, d2, m1..), where the d are a digest of the set and the m its
-    minima; and, with a null n, for each element that ``local`` or more documents of a task have, (d1, m1) = (element, how many)."""
+    minima; and, with a null n, for each element that ``local`` or more documents of a task have, (d1, m1) = (element, how many).
+
+    A task counts at most ``counters`` elements at a time: beyond that those seen once are forgotten, then the least frequent ones.  The counts decide
+    only which elements are settled as frequent from the start; long lists of others are found by ``light_pairs``.
+    """
     schema = "id long, n long, d1 long, d2 long, " + ", ".join(f"m{i} long" for i in range(MINIMA))
     names = ["id", "n", "d1", "d2", *[f"m{i}" for i in range(MINIMA)]]
     kinds = [pa.int64()] * len(names)
@@ -75,7 +81,13 @@ def summaries(docs: DataFrame, local: int = 3) -> DataFrame:
             order = np.argsort(both, kind="stable")
             both, n = both[order], np.concatenate([counted[1], n])[order]
             first = _runs(both)
-            return both[first], np.add.reduceat(n, first) if len(first) else n
+            both, n = both[first], np.add.reduceat(n, first) if len(first) else n
+            if len(both) > counters:
+                both, n = both[n > 1], n[n > 1]
+            if len(both) > counters:
+                top = np.sort(np.argpartition(-n, counters)[:counters])
+                both, n = both[top], n[top]
+            return both, n
 
         for batch in batches:
             for words in word_blocks(batch.column(1), lower=True):
@@ -90,7 +102,7 @@ def summaries(docs: DataFrame, local: int = 3) -> DataFrame:
                         out[2 + i, full] = np.minimum.reduceat(mix64(key + np.uint64(0x165667B19E3779F9 * (2 * i + 1) % (1 << 64))), first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(words.rows)), pa.array(size.astype(np.int64)), *[pa.array(signed(x)) for x in out]], names)
                 seen.append(key)
-                if sum(map(len, seen)) > 1 << 21:
+                if sum(map(len, seen)) > counters:
                     counted, seen = fold(counted, seen), []
         key, n = fold(counted, seen)
         key, n = key[n >= local], n[n >= local]
@@ -141,10 +153,10 @@ def boundary(sizes: list[tuple[int, int]], least: int, list_cost: int = 4, up_to
     return min(range(1, up_to + 1), key=lambda b: (cost(b), b))
 
 
-def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], small: int, least: int, heavy: bool) -> DataFrame:
-    """(key, id, comp, n) of the sets' signatures, light or heavy ones: those whose elements aren't frequent, or are."""
+def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], small: int, least: int) -> DataFrame:
+    """(key, id, comp, n, hot, deal) of the sets' signatures; those whose elements are frequent are ``hot``, and dealt by document instead of key."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["key", "id", "comp", "n"]
+    names = ["key", "id", "comp", "n", "hot", "deal"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elements, counts = shared.value
@@ -179,43 +191,62 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], small: int, le
                     keys.append(mix64(key[pick] * np.uint64(0x9E3779B97F4A7C15) ^ key[pick + gap]) & _KEY)
                     owners.append(doc[pick])
                     frequent_.append(rank[pick] >= _TOP)
-                wanted = np.concatenate(frequent_) == heavy
-                owner = np.concatenate(owners)[wanted]
+                often, owner, key = (np.concatenate(x) for x in (frequent_, owners, keys))
                 row = words.rows[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys)[wanted])), pa.array(ids[row]), pa.array(comps[row]), pa.array(size[owner].astype(np.int64))], names)
+                deal = np.where(often, mix64(ids[row].astype(np.int64).view(np.uint64)) & _KEY, key)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(ids[row]), pa.array(comps[row]), pa.array(size[owner].astype(np.int64)), pa.array(often), pa.array(signed(deal))], names)
+
+    return docs.select("id", "comp", "text").mapInArrow(run, "key long, id long, comp long, n long, hot boolean, deal long")
 
-    return docs.select("id", "comp", "text").mapInArrow(run, "key long, id long, comp long, n long")
 
+def light_pairs(rows: DataFrame, least: int, longest: int = LONGEST) -> DataFrame:
+    """(a, b, na, nb, hot): for each two rows of a key, of different components and of sizes that may be similar, a pair.
 
-def light_pairs(rows: DataFrame, least: int) -> DataFrame:
-    """(a, b, na, nb) for each two rows of a key, of different components and of sizes that may be similar."""
-    names = ["a", "b", "na", "nb"]
+    Rows of frequent elements come out as they are: (key, id, comp, n), ``hot``.  So do those of a key that has more than ``longest`` rows without being
+    known as frequent.  A task holds no more than ``longest`` rows of a key.
+    """
+    names = ["a", "b", "na", "nb", "hot"]
+
+    def paired(done: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, doc, comp, n = done
+        for gap in range(1, longest):
+            i = np.flatnonzero(key[gap:] == key[:-gap]) if gap < len(key) else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            j = i + gap
+            fits = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
+            if len(i):
+                swap = doc[i] > doc[j]
+                a, b = np.where(swap, j, i), np.where(swap, i, j)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (doc[a], doc[b], n[a], n[b])], pa.array(np.zeros(len(a), bool))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((4, 0), np.int64)
+        rest, hot = np.zeros((4, 0), np.int64), None
         for batch in _with_end(batches):
             if batch is not None:
-                rest = np.concatenate([rest, np.stack([batch.column(i).to_numpy() for i in range(4)])], axis=1)
+                often = batch.column(4).to_numpy(zero_copy_only=False)
+                if often.any():
+                    yield pa.RecordBatch.from_arrays([batch.column(i).filter(batch.column(4)) for i in range(5)], names)
+                rest = np.concatenate([rest, np.stack([batch.column(i).to_numpy()[~often] for i in range(4)])], axis=1)
             if not rest.shape[1]:
                 continue
-            cut = rest.shape[1] if batch is None else int(np.searchsorted(rest[0], rest[0, -1], "left"))
+            # rows of the last key wait for the next batch, unless there are too many of them already
+            last = int(np.searchsorted(rest[0], rest[0, -1], "left"))
+            cut = rest.shape[1] if batch is None or rest.shape[1] - last > longest or rest[0, -1] == hot else last
             done, rest = rest[:, :cut], rest[:, cut:]
-            key, doc, comp, n = done
-            gap = 1
-            while gap < len(key):
-                i = np.flatnonzero(key[gap:] == key[:-gap])
-                if not len(i):
-                    break
-                j = i + gap
-                fits = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
-                i, j = i[fits], j[fits]
-                if len(i):
-                    swap = doc[i] > doc[j]
-                    a, b = np.where(swap, j, i), np.where(swap, i, j)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], doc[b], n[a], n[b])], names)
-                gap += 1
-
-    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "a long, b long, na long, nb long")
+            if not done.shape[1]:
+                continue
+            first = _runs(done[0])
+            many = (np.diff(np.append(first, done.shape[1])) > longest) | (done[0][first] == hot)
+            if many[-1]:
+                hot = done[0, -1]
+            frequent_ = np.repeat(many, np.diff(np.append(first, done.shape[1])))
+            if frequent_.any():
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(x)) for x in done[:, frequent_]], pa.array(np.ones(int(frequent_.sum()), bool))], names)
+            yield from paired(done[:, ~frequent_])
+
+    return rows.repartition(F.col("deal")).sortWithinPartitions("deal").drop("deal").mapInArrow(run, "a long, b long, na long, nb long, hot boolean")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -223,45 +254,54 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def heavy_links(rows: DataFrame, docs: DataFrame, least: int, block: int = 512) -> DataFrame:
+def heavy_links(rows: DataFrame, docs: DataFrame, least: int, block: int = 512, broadcast_rows: int = 500_000) -> DataFrame:
     """(a, b): a spanning forest of the links between sets that share a frequent element and are of different components.
 
-    Sets that such elements connect are a family, cut by size into classes of which only neighbours can be similar, and by hash into blocks.
+    Sets that such elements connect are a family, cut by size into classes of which only neighbours can be similar, and into blocks.
+    A component that fills a block has blocks of its own, which are not compared with each other: what a family costs grows with its copies
+    times what differs from them, and with the square of the rest only.
     A task has two blocks with whole sets and counts their overlaps as a product of matrices, so that a family's pairs are
     compared but never written.
     """
     spark = rows.sparkSession
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("key", "first")
+    mixed = saved(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("key", "first"))
+    # rows of a key that very many sets have stay where they are, unless there are very many such keys
+    mixed = F.broadcast(mixed) if mixed.count() <= broadcast_rows else mixed
     ties = saved(rows.join(mixed, "key").select(F.col("first").alias("a"), F.col("id").alias("b"), "n", "comp"))
     family = connected_components(ties.select("a", "b")).withColumnRenamed("component", "family")
     sized = ties.groupBy(F.col("b").alias("node")).agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
     # sizes of neighbouring classes at most differ by the ratio that similar sets may have
     sized = saved(sized.join(family, "node").withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / least)))))
-    counts = sized.groupBy("family", "class").agg(F.ceil(F.count("*") / block).alias("parts"))
-    placed = sized.join(counts, ["family", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    own = docs.join(placed.withColumnRenamed("node", "id"), "id").select("family", "class", "part", "id", "comp", "text")
+    own_blocks = sized.groupBy("family", "class", "comp").agg(F.count("*").alias("rows")).withColumn("whole", F.col("rows") >= block)
+    pooled = own_blocks.where("not whole").groupBy("family", "class").agg(F.ceil(F.sum("rows") / block).alias("pool"))
+    counts = own_blocks.join(pooled, ["family", "class"], "left").withColumn("parts", F.when(F.col("whole"), F.ceil(F.col("rows") / block)).otherwise(F.col("pool")))
+    placed = sized.join(saved(counts.select("family", "class", "comp", "whole", "parts")), ["family", "class", "comp"])
+    # blocks of one component are told by it, those of the pool by -1; a pooled component stays together
+    only = F.when(F.col("whole"), F.col("comp")).otherwise(F.lit(-1)).alias("only")
+    part = F.pmod(F.xxhash64(F.when(F.col("whole"), F.col("node")).otherwise(F.col("comp"))), F.col("parts")).alias("part")
+    placed = placed.select("family", "class", only, part, F.col("node").alias("id"), "comp")
+    own = docs.join(placed, "id").select("family", "class", "only", "part", "id", "comp", "text")
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids, comps, sizes, sets = [], [], [], []
         for batch in group.to_batches():
-            for words in word_blocks(batch.column(5), lower=True):
+            for words in word_blocks(batch.column(6), lower=True):
                 doc, key = shingle_sets(words)
                 sets.append(key)
                 sizes.append(np.bincount(doc, minlength=len(words.rows)))
-                ids.append(batch.column(3).to_numpy()[words.rows])
-                comps.append(batch.column(4).to_numpy()[words.rows])
+                ids.append(batch.column(4).to_numpy()[words.rows])
+                comps.append(batch.column(5).to_numpy()[words.rows])
         blob = lambda parts: pa.array([np.concatenate(parts).tobytes()], pa.binary())
-        return pa.table({**{c: group.column(c).slice(0, 1) for c in ("family", "class", "part")}, "ids": blob(ids), "comps": blob(comps), "sizes": blob(sizes), "sets": blob(sets)})
+        return pa.table({**{c: group.column(c).slice(0, 1) for c in ("family", "class", "only", "part")}, "ids": blob(ids), "comps": blob(comps), "sizes": blob(sizes), "sets": blob(sets)})
 
-    blocks = own.groupBy("family", "class", "part").applyInArrow(pack, "family long, class long, part long, ids binary, comps binary, sizes binary, sets binary")
+    blocks = own.groupBy("family", "class", "only", "part").applyInArrow(pack, "family long, class long, only long, part long, ids binary, comps binary, sizes binary, sets binary")
     blocks = saved(blocks)
-    release(spark)
     fields = ["ids", "comps", "sizes", "sets"]
-    left = blocks.select("family", F.col("class").alias("at"), F.col("class").alias("c1"), F.col("part").alias("p1"), *[F.col(f).alias(f"{f}1") for f in fields])
-    right = blocks.select("family", F.explode(F.array("class", F.col("class") - 1)).alias("at"), F.col("class").alias("c2"), F.col("part").alias("p2"), *[F.col(f).alias(f"{f}2") for f in fields])
-    pairs = left.join(right, ["family", "at"]).where("c1 < c2 or p1 <= p2")
-    dealt = pairs.select(*[f"{f}{s}" for s in (1, 2) for f in fields], F.xxhash64("family", "c1", "p1", "c2", "p2").alias("deal")).repartition(F.col("deal")).drop("deal")
+    left = blocks.select("family", F.col("class").alias("at"), F.col("class").alias("c1"), F.col("only").alias("o1"), F.col("part").alias("p1"), *[F.col(f).alias(f"{f}1") for f in fields])
+    right = blocks.select("family", F.explode(F.array("class", F.col("class") - 1)).alias("at"), F.col("class").alias("c2"), F.col("only").alias("o2"), F.col("part").alias("p2"), *[F.col(f).alias(f"{f}2") for f in fields])
+    pairs = left.join(right, ["family", "at"]).where("(c1 < c2 or struct(o1, p1) <= struct(o2, p2)) and (o1 <> o2 or o1 < 0)")
+    dealt = pairs.select(*[f"{f}{s}" for s in (1, 2) for f in fields], F.xxhash64("family", "c1", "o1", "p1", "c2", "o2", "p2").alias("deal")).repartition(F.col("deal")).drop("deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +367,7 @@ def components(docs: DataFrame, least: int = 75) -> DataFrame:
     smallest doc_id that links reach.  A null or empty text, or one without words, has size 0
     and is alone; one of fewer than five words has its whole sequence as its only shingle.  A
     row with a null doc_id takes no part: its component is null.  Rows of one doc_id are one
-    document.  An empty table gives an empty result; other columns are not read.
+    document.  Texts of any length are read whole.  An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -341,28 +381,22 @@ def components(docs: DataFrame, least: int = 75) -> DataFrame:
         hubs = minima.groupBy("i", "m").agg(F.min("cls").alias("hub"), F.count("*").alias("k")).where("k > 1").select("i", "m", "hub")
         stars = saved(minima.join(hubs, ["i", "m"]).where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
         plain = saved(known.select("id", "n"))
-    release(spark)
     near = saved(verified(stars, docs, least))
-    release(spark)
     early = connected_components(near)
     reps = members.where("id = cls").select("id").distinct()
     labelled = reps.join(early, reps["id"] == early["node"], "left").select("id", F.coalesce("component", "id").alias("comp"))
-    release(spark)
     small = boundary(sizes, least)
     own = docs.join(saved(labelled), "id").select("id", "comp", "text")
-    # a pair that shares a frequent element is settled by heavy_links; for the others all shared elements are light
-    counted = light_pairs(prefixes(own, hot, small, least, False), least).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    # a pair that shares a frequent element, or a long list, is settled by heavy_links; for the others all shared elements are light
+    counted = light_pairs(prefixes(own, hot, small, least), least).groupBy("a", "b", "na", "nb", "hot").agg(F.count("*").alias("k"))
     # elements beyond the shorter prefix can't be more than what is left of that set
     beyond = [F.expr(f"{n} - ({n} - cast(ceil({least} * {n} / 100) as bigint) + 1)") for n in ("na", "nb")]
     needed = F.expr(f"{least} * (na + nb)") <= (F.col("k") + F.greatest(*beyond)) * (100 + least)
     little = F.expr(f"na <= {small} and nb <= {small}")
-    candidates = saved(counted.where(needed | little).select("a", "b"))
-    release(spark)
-    late = saved(verified(candidates, docs, least))
-    release(spark)
-    with stored(prefixes(own, hot, small, least, True)) as heavy:
-        firm = saved(heavy_links(heavy, docs, least))
-    release(spark)
+    candidates = saved(counted.where(F.col("hot") | needed | little).select("a", "b", "na", "nb", "hot"))
+    late = saved(verified(candidates.where("not hot"), docs, least))
+    heavy = candidates.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("na").alias("comp"), F.col("nb").alias("n"))
+    firm = saved(heavy_links(heavy, docs, least))
     links = near.union(late).union(firm).union(members.where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b")))
     found = connected_components(links)
     out = plain.join(found, plain["id"] == found["node"], "left")

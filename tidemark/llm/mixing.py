@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, running_offsets
+from .common import WORD_PATTERN, running_offsets, saved
 
 
 def word_count(text: Column) -> Column:
@@ -46,13 +46,20 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[i
     return s.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def _placed(docs: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int, carry: bool) -> DataFrame:
-    """Each row's size, source_size, target, whole epochs and words of a partial one; with ``carry``, its columns as ``_row``."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] * carry)
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size, _key and ``more``: a hash of doc_id, or of the text where that is null, that orders the rows of a source."""
+    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5(F.concat(F.lit("null:"), F.coalesce("text", F.lit("")))))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *more)
+
+
+def _goals(rows: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int) -> DataFrame:
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target")
-    placed = running_offsets(rows, ["source"], "_key", ["_key", "doc_id", "size"], "size")
+    return targets(sizes, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target")
+
+
+def _placed(rows: DataFrame, goal: DataFrame, order: list[str]) -> DataFrame:
+    """Each row with its source's size and target, the whole epochs and the words of a partial one that it gives."""
+    placed = running_offsets(rows, ["source"], "_key", order, "size")
     placed = placed.join(goal, F.col("source").eqNullSafe(F.col("_source")))
     whole = F.floor(F.col("target")).cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("bigint")
@@ -68,10 +75,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, i
     one more epoch, in the order of a hash of doc_id, the rows up to the rest; the row at
     the cut gives the words that are missing, so that a source's taken words are its
     target rounded down.  A null or empty text has size 0, a null source is a source
-    of its own, a null doc_id has a hash of its own; repeated rows count each.  An empty
-    table gives an empty result; other columns are not read.
+    of its own, a row with a null doc_id goes by a hash of its text; repeated rows count each.  Texts of any length are counted whole,
+    once.  An empty table gives an empty result; other columns are not read.
     """
-    placed = _placed(docs, weights, share, most, False)
+    rows = saved(_rows(docs))
+    placed = _placed(rows, _goals(rows, weights, share, most), ["_key", "doc_id", "size"])
     taken = (F.col("epochs") * F.col("size") + F.col("partial")).cast("bigint")
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
@@ -80,13 +88,36 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int,
     """The rows of the mix, with the columns of docs: a row for each epoch that takes it.
 
     The one row of a source at the cut has the text's first words, as many as are taken, with one space between them, and
-    their number of characters in ``n_chars`` if there is such a column.  Rows without words are left out.
+    their number of characters in ``n_chars`` if there is such a column.  Rows without words are left out.  Of rows of one
+    doc_id and size a digest of the text tells which comes first, of repeated ones the other columns.
+
+    The cut of each source is found on ids, sizes and digests alone; whole rows are only compared with it, and never shuffled.
     """
-    placed = _placed(docs, weights, share, most, True)
-    times = F.when(F.col("size") > 0, F.col("epochs") + (F.col("partial") > 0).cast("bigint")).otherwise(F.lit(0)).cast("int")
-    copies = placed.where(times > 0).select("_row", "epochs", "size", "partial", F.explode(F.sequence(F.lit(1), times)).alias("epoch"))
-    cut = (F.col("epoch") > F.col("epochs")) & (F.col("partial") < F.col("size"))
-    copies = copies.withColumn("_cut", F.when(cut, F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("partial").cast("int")), " ")))
+    text_digest = F.md5(F.coalesce("text", F.lit(""))).alias("_digest")
+    order = ["_key", "doc_id", "size", "_digest"]
+    rows = saved(_rows(docs, text_digest))
+    goal = _goals(rows, weights, share, most)
+    placed = _placed(rows, goal, order).withColumn("_at", F.struct(*order)).select("source", "_at", "size", "before", "partial", "epochs", "target", "source_size")
+    placed = saved(placed)
+    rest = F.floor("target").cast("bigint") - F.col("epochs") * F.col("source_size")
+    edges = placed.where((F.col("size") > 0) & (F.col("before") + F.col("size") > rest)).groupBy("source").agg(F.min("_at").alias("_edge"), F.first("epochs").alias("_epochs"))
+    edges = edges.withColumnRenamed("source", "_source")
+    # what the rows at the cut, which are several where a row is repeated, give of the partial epoch
+    given = placed.join(edges, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("_at") == F.col("_edge"))
+    given = given.groupBy("_source", "_edge", "_epochs").agg(F.sum("partial").alias("_given"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    every = _rows(docs, text_digest, own).where("size > 0").join(saved(given), F.col("source").eqNullSafe(F.col("_source")))
+    every = every.withColumn("_at", F.struct(*order))
+    plain = every.where(~F.col("_at").eqNullSafe(F.col("_edge"))).withColumn("partial", F.when(F.col("_at") < F.col("_edge"), F.col("size")).otherwise(F.lit(0)).cast("bigint"))
+    nth = F.row_number().over(Window.partitionBy("_source").orderBy(F.to_json("_row")))
+    cut = every.where(F.col("_at").eqNullSafe(F.col("_edge"))).withColumn("_nth", nth)
+    cut = cut.withColumn("partial", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_given") - (F.col("_nth") - 1) * F.col("size"))).cast("bigint"))
+    columns = ["_row", "size", "partial", F.col("_epochs").alias("epochs")]
+    taken = plain.select(*columns).union(cut.select(*columns))
+    times = (F.col("epochs") + (F.col("partial") > 0).cast("bigint")).cast("int")
+    copies = taken.where(times > 0).select("_row", "epochs", "size", "partial", F.explode(F.sequence(F.lit(1), times)).alias("epoch"))
+    short = (F.col("epoch") > F.col("epochs")) & (F.col("partial") < F.col("size"))
+    copies = copies.withColumn("_cut", F.when(short, F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("partial").cast("int")), " ")))
 
     def column(name: str) -> Column:
         own = F.col("_row")[name]

@@ -55,7 +55,7 @@ QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_u
 
 MIX_SQL = r"""
 with d as (
-  select doc_id, source, md5(coalesce(cast(doc_id as varchar), 'null')) k,
+  select doc_id, source, coalesce(md5(cast(doc_id as varchar)), md5('null:' || coalesce(text, ''))) k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size
   from {docs}),
 s as (select source, sum(size)::bigint source_size from d group by source),

@@ -227,6 +227,7 @@ def test_stream(spark, tmp_path):
 
 def test_names():
     assert parse_log_name("wal-00000012.log") == 12 and parse_log_name("wal-x.log") is None and parse_log_name("00000001.sst") is None
+    assert sstable.file_name(7) == "00000007.sst" and [sstable.parse_file_name(n) for n in ("00000007.sst", "7.sst", "x.sst", ".sst", "7.sst.tmp", "wal-00000001.log")] == [7, 7, None, None, None, None]
     assert parse_run_name("00000012-0123456789ab") == 12 and parse_run_name("00000012") is None
 
 

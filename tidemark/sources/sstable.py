@@ -24,6 +24,17 @@ BLOCK_TARGET, ALIGNMENT, RESTART = 16 * 1024, 4096, 16
 CHECKSUMMED, ENCRYPTED = 1, 2
 
 
+def file_name(number: int) -> str:
+    """Name of a table file."""
+    return f"{number:08d}.sst"
+
+
+def parse_file_name(name: str) -> int | None:
+    """The number of a table file; none for any other name, whose number may have any digits."""
+    stem, dot, kind = name.partition(".")
+    return int(stem) if dot and kind == "sst" and stem.isascii() and stem.isdigit() else None
+
+
 def _place(table_id: int, offset: int) -> tuple[bytes, bytes]:
     """The nonce of a block, by its place in the file, and what binds it to the file and the place."""
     return struct.pack("<IQ", NONCE_TAG, offset), struct.pack("<QQ", table_id, offset)

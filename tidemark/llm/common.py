@@ -8,9 +8,11 @@ no Python string is made for a word.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -160,11 +162,75 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Returns the memory of this process that is free to the system, as far as it can be."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches; when it ends its worker, which waits for the next task, gives the memory that is free back."""
+
+    def relieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return relieved
+
+
+_thread = threading.local()
+
+
+def _scopes() -> list[list[DataFrame]]:
+    """The blocks of this thread that delete what is saved in them, the innermost last."""
+    if not hasattr(_thread, "scopes"):
+        _thread.scopes = []
+    return _thread.scopes
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the shared folder; lineage is cut, and the shuffles that led to them are deleted."""
     shared_dir(df.sparkSession)
     with shuffles_removed(df.sparkSession):
-        return df.checkpoint()
+        # a plan goes by the setting at the time when it is made
+        kept = df.select("*").checkpoint()
+    if _scopes():
+        _scopes()[-1].append(kept)
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of saved rows that nothing needs any more."""
+    found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if found.isDefined():
+        removed(df.sparkSession, found.get())
+
+
+@contextlib.contextmanager
+def temporaries() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is saved in the block is deleted when it ends, but for rows that are handed to ``keep``, which are the enclosing block's, if there is one."""
+    own: list[DataFrame] = []
+    _scopes().append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        at = next(i for i, x in enumerate(own) if x is df)
+        own.pop(at)
+        place = next(i for i, x in enumerate(_scopes()) if x is own)
+        if place:
+            _scopes()[place - 1].append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        place = next(i for i, x in enumerate(_scopes()) if x is own)
+        del _scopes()[place]
+        for df in own:
+            discard(df)
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -194,24 +260,26 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     aggregation and joined back, so that a node with very many edges is never
     gathered in a task.  Null ends are dropped, loops are harmless.
     """
-    pairs = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u"))
-    pairs = saved(pairs.where("v is not null and u is not null and v <> u").distinct())
-    state = None
-    for _ in range(rounds):
-        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        pairs = saved(small.where("u <> v").distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()
+    with temporaries() as keep:
+        pairs = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u"))
+        pairs = saved(pairs.where("v is not null and u is not null and v <> u").distinct())
+        state = None
+        for _ in range(rounds):
+            both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+            before, pairs = pairs, saved(small.where("u <> v").distinct())
+            discard(before)
+            now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == state:
+                break
+            state = now
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))
+        return keep(saved(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()))
 
 
 def running_offsets(df: DataFrame, group: list[str], key: str, order: list[str], add: str, rows_per_bucket: int = 20_000) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, saved
+from .common import connected_components, lean, saved, temporaries
 
 #: Vectors of a block, and blocks of one side of a task.
 BLOCK, SIDE = 4096, 8
@@ -211,7 +211,12 @@ def dual(links: Links, one: Block, two: Block, least: float) -> Visits:
 
     def near(u: np.ndarray, v: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Which pairs of nodes aren't dropped; of a node with itself, or its own children, each pair counts once."""
-        open_ = distances(cosine) <= limit + a.radius[u] + b.radius[v] + SLACK
+        # the distance is at most this where the cosine is at least 1 - reach ** 2 / 2
+        reach = (a.radius[u] + (limit + SLACK)) + b.radius[v]
+        reach *= reach
+        reach *= -0.5
+        reach += 1.0
+        open_ = cosine >= reach
         visits.seen += open_.size
         visits.dropped += open_.size - int(open_.sum())
         return open_
@@ -343,7 +348,7 @@ def vectors(rows: DataFrame) -> DataFrame:
             dims = [len(found[i]) for i in keep]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(dims, pa.int32()), pa.array(blobs, pa.binary())], ["id", "dim", "v"])
 
-    return rows.where("id is not null").select("id", "embedding").mapInArrow(run, "id long, dim int, v binary")
+    return rows.where("id is not null").select("id", "embedding").mapInArrow(lean(run), "id long, dim int, v binary")
 
 
 def _double(blob: bytes) -> np.ndarray:
@@ -363,127 +368,128 @@ def near_duplicates(table: DataFrame, least: float = 0.95, block: int = BLOCK, m
     """
     spark = table.sparkSession
     rows = table.select(F.col("vec_id").cast("long").alias("id"), "embedding")
-    every = saved(vectors(rows))
-    classes = saved(every.groupBy("dim", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")))
-    total = classes.count()
-    digest = F.xxhash64("id")
-    # far more than the sample fall below this part of the hashes, so that the sort for it stays small
-    part = min(1 << 32, (4 * max_sample << 32) // max(1, total))
-    low = classes.where(F.call_function("shiftrightunsigned", digest, F.lit(32)) < F.lit(part))
-    sample = low.orderBy(digest, "id").limit(max_sample).select("dim", "v").collect()
-    cells = max(1, total // block)
-    centres: dict[int, np.ndarray] = {}
-    for dim in sorted({r[0] for r in sample}):
-        x = unit(np.stack([_double(r[1]) for r in sample if r[0] == dim]))
-        # the farthest row is the next centre, so that every prefix is a level of its own radius
-        chosen, far = [0], np.full(len(x), np.inf)
-        while len(chosen) < min(cells, len(x)):
-            far = np.minimum(far, 2 - 2 * (x @ x[chosen[-1]]))
-            if far.max() <= 1e-12:
-                break
-            chosen.append(int(far.argmax()))
-        centres[dim] = x[chosen]
-    shared = spark.sparkContext.broadcast(centres)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = shared.value
-        for batch in batches:
-            dims, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            cell, gap = np.full(len(dims), -1, np.int64), np.full(len(dims), 4.0)
-            for dim in set(dims) & set(top):
-                at = np.array([i for i, n in enumerate(dims) if n == dim])
-                x = unit(np.stack([_double(blobs[i]) for i in at]))
-                cosine = x @ top[dim].T
-                cell[at] = cosine.argmax(axis=1)
-                gap[at] = np.linalg.norm(x - top[dim][cell[at]], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], ["dim", "v", "id", "w", "cell", "gap"])
-
-    placed = saved(classes.mapInArrow(assign, "dim int, v binary, id long, w long, cell long, gap double"))
-    parts = F.ceil(F.count("*") / block).alias("parts")
-    cover = placed.groupBy("dim", "cell").agg(F.max("gap").alias("r"), parts)
-    # cells of dimensions that the sample lacks have no centre; there may be many such dimensions, each with one cell
-    known = F.col("dim").isin([int(d) for d in centres]) if centres else F.lit(False)
-    sizes: dict[int, list] = {}
-    for r in cover.where(known).orderBy("dim", "cell").collect():
-        sizes.setdefault(r["dim"], []).append((r["cell"], r["r"], r["parts"]))
-    limit = math.sqrt(max(0.0, 2 - 2 * least))
-    bases, near = [], []
-    for dim, found in sizes.items():
-        cell, radius, count = (np.array(x) for x in zip(*found))
-        before = np.cumsum(count) - count
-        bases += [(dim, *x) for x in zip(cell.tolist(), before.tolist())]
-        first, last = before // side, (before + count - 1) // side
-        for lo in range(0, len(cell), TILE):
-            gap = distances(centres[dim][cell[lo : lo + TILE]] @ centres[dim][cell].T)
-            # pairs of groups of blocks that hold cells that may be near
-            i, j = np.nonzero(gap <= radius[lo : lo + TILE, None] + radius[None, :] + limit + SLACK)
-            spans = np.unique(np.stack([first[lo + i], last[lo + i], first[j], last[j]]), axis=1)
-            near.append(pa.table({"dim": np.full(spans.shape[1], dim, np.int32), "a0": spans[0], "a1": spans[1], "b0": spans[2], "b1": spans[3]}))
-    lost = cover.where(~known).select("dim", "cell", F.lit(0).cast("long").alias("base"), "parts")
-    based = spark.createDataFrame(bases, "dim int, cell long, base long").join(cover.select("dim", "cell", "parts"), ["dim", "cell"])
-    chunks = placed.join(based.unionByName(lost), ["dim", "cell"])
-    chunks = chunks.withColumn("at", F.col("base") + F.pmod(F.xxhash64("id", "v"), F.col("parts")))
-    finest = limit / 4
-
-    def pack(group: pa.Table) -> pa.Table:
-        raw = np.stack([_double(b.as_py()) for b in group.column("v")])
-        tree = build(unit(raw), finest)
-        raw = raw[tree.order]
-        small = raw.astype(np.float32)
-        as_float = bool((small.astype(np.float64) == raw).all())
-        n = len(raw)
-        column = lambda name: group.column(name).to_numpy().astype(np.int64)[tree.order].tobytes()
-        return pa.table(
-            {
-                "dim": group.column("dim").slice(0, 1),
-                "at": group.column("at").slice(0, 1),
-                "n": pa.array([n if as_float else -n], pa.int64()),
-                "ids": pa.array([column("id")], pa.binary()),
-                "w": pa.array([column("w")], pa.binary()),
-                "raw": pa.array([(small if as_float else raw).tobytes()], pa.binary()),
-                "tree": pa.array([tree.dump()], pa.binary()),
-            }
-        )
-
-    schema = "dim int, at long, n long, ids binary, w binary, raw binary, tree binary"
-    blocks = saved(chunks.select("dim", "at", "id", "w", "v").groupBy("dim", "at").applyInArrow(pack, schema).withColumn("g", F.expr(f"at div {side}")))
-    spans = spark.createDataFrame(pa.concat_tables(near)) if near else spark.createDataFrame([], "dim int, a0 long, a1 long, b0 long, b1 long")
-    own = lost.select("dim", F.lit(0).cast("long").alias("a0"), F.expr(f"(parts - 1) div {side}").alias("a1"))
-    spans = spans.union(own.select("dim", "a0", "a1", F.col("a0").alias("b0"), F.col("a1").alias("b1")))
-    pairs = spans.select("dim", F.explode(F.sequence("a0", "a1")).alias("g1"), "b0", "b1").select("dim", "g1", F.explode(F.sequence("b0", "b1")).alias("g2"))
-    pairs = pairs.where("g1 <= g2").distinct()
-    ends = pairs.select("dim", "g1", "g2", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("g"))
-
-    def search(group: pa.Table) -> pa.Table:
-        value = lambda name: [v.as_py() for v in group.column(name)]
-        found, names, n = [], [], 0
-        one, two = group.column("g1")[0].as_py(), group.column("g2")[0].as_py()
-        for g, size, ids, w, raw, tree in sorted(zip(*map(value, ("g", "n", "ids", "w", "raw", "tree"))), key=lambda r: (r[0], r[2])):
-            found.append((g, Block(n, _matrix(raw, size), np.frombuffer(w, np.int64), Tree.load(tree))))
-            names.append(np.frombuffer(ids, np.int64))
-            n += abs(size)
-        links = Links(n)
-        for i, (g, a) in enumerate(found):
-            for h, b in found[i:]:
-                if (g, h) == (one, two):
-                    dual(links, a, b, least)
-        ids = np.concatenate(names)
-        if one == two:
-            links.count -= 1
-        some = np.flatnonzero(links.count)
-        edge = np.flatnonzero(links.label != np.arange(n))
-        blank = np.concatenate([np.ones(len(some), bool), np.zeros(len(edge), bool)])
-        y = pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[links.label[edge]]]), mask=blank)
-        return pa.table({"x": pa.array(np.concatenate([ids[some], ids[edge]])), "y": y, "k": pa.array(np.concatenate([links.count[some], np.zeros(len(edge), np.int64)]))})
-
-    dealt = ends.join(blocks, ["dim", "g"]).select("dim", "g1", "g2", "g", "n", "ids", "w", "raw", "tree")
-    found = saved(dealt.groupBy("dim", "g1", "g2").applyInArrow(search, "x long, y long, k long"))
-    counts = found.where("y is null").groupBy(F.col("x").alias("cls")).agg(F.sum("k").alias("k"))
-    members = every.join(classes.select("dim", "v", F.col("id").alias("cls"), "w"), ["dim", "v"]).select("id", "cls", "w")
-    members = saved(members.join(counts, "cls", "left").select("id", "cls", F.coalesce("k", F.col("w") - 1).alias("k")))
-    edges = found.where("y is not null").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    component = connected_components(edges.union(members.where("id <> cls").select(F.col("id").alias("a"), F.col("cls").alias("b"))))
-    links = members.groupBy("id").agg(F.max("k").alias("k"))
-    out = rows.select("id").join(links, "id", "left").join(component, F.col("id") == component["node"], "left")
-    out = out.select(F.col("id").alias("vec_id"), F.coalesce("k", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    with temporaries() as keep:
+        every = saved(vectors(rows))
+        classes = saved(every.groupBy("dim", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")))
+        total = classes.count()
+        digest = F.xxhash64("id")
+        # far more than the sample fall below this part of the hashes, so that the sort for it stays small
+        part = min(1 << 32, (4 * max_sample << 32) // max(1, total))
+        low = classes.where(F.call_function("shiftrightunsigned", digest, F.lit(32)) < F.lit(part))
+        sample = low.orderBy(digest, "id").limit(max_sample).select("dim", "v").collect()
+        cells = max(1, total // block)
+        centres: dict[int, np.ndarray] = {}
+        for dim in sorted({r[0] for r in sample}):
+            x = unit(np.stack([_double(r[1]) for r in sample if r[0] == dim]))
+            # the farthest row is the next centre, so that every prefix is a level of its own radius
+            chosen, far = [0], np.full(len(x), np.inf)
+            while len(chosen) < min(cells, len(x)):
+                far = np.minimum(far, 2 - 2 * (x @ x[chosen[-1]]))
+                if far.max() <= 1e-12:
+                    break
+                chosen.append(int(far.argmax()))
+            centres[dim] = x[chosen]
+        shared = spark.sparkContext.broadcast(centres)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = shared.value
+            for batch in batches:
+                dims, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                cell, gap = np.full(len(dims), -1, np.int64), np.full(len(dims), 4.0)
+                for dim in set(dims) & set(top):
+                    at = np.array([i for i, n in enumerate(dims) if n == dim])
+                    x = unit(np.stack([_double(blobs[i]) for i in at]))
+                    cosine = x @ top[dim].T
+                    cell[at] = cosine.argmax(axis=1)
+                    gap[at] = np.linalg.norm(x - top[dim][cell[at]], axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], ["dim", "v", "id", "w", "cell", "gap"])
+
+        placed = saved(classes.mapInArrow(lean(assign), "dim int, v binary, id long, w long, cell long, gap double"))
+        parts = F.ceil(F.count("*") / block).alias("parts")
+        cover = placed.groupBy("dim", "cell").agg(F.max("gap").alias("r"), parts)
+        # cells of dimensions that the sample lacks have no centre; there may be many such dimensions, each with one cell
+        known = F.col("dim").isin([int(d) for d in centres]) if centres else F.lit(False)
+        sizes: dict[int, list] = {}
+        for r in cover.where(known).orderBy("dim", "cell").collect():
+            sizes.setdefault(r["dim"], []).append((r["cell"], r["r"], r["parts"]))
+        limit = math.sqrt(max(0.0, 2 - 2 * least))
+        bases, near = [], []
+        for dim, found in sizes.items():
+            cell, radius, count = (np.array(x) for x in zip(*found))
+            before = np.cumsum(count) - count
+            bases += [(dim, *x) for x in zip(cell.tolist(), before.tolist())]
+            first, last = before // side, (before + count - 1) // side
+            for lo in range(0, len(cell), TILE):
+                gap = distances(centres[dim][cell[lo : lo + TILE]] @ centres[dim][cell].T)
+                # pairs of groups of blocks that hold cells that may be near
+                i, j = np.nonzero(gap <= radius[lo : lo + TILE, None] + radius[None, :] + limit + SLACK)
+                spans = np.unique(np.stack([first[lo + i], last[lo + i], first[j], last[j]]), axis=1)
+                near.append(pa.table({"dim": np.full(spans.shape[1], dim, np.int32), "a0": spans[0], "a1": spans[1], "b0": spans[2], "b1": spans[3]}))
+        lost = cover.where(~known).select("dim", "cell", F.lit(0).cast("long").alias("base"), "parts")
+        based = spark.createDataFrame(bases, "dim int, cell long, base long").join(cover.select("dim", "cell", "parts"), ["dim", "cell"])
+        chunks = placed.join(based.unionByName(lost), ["dim", "cell"])
+        chunks = chunks.withColumn("at", F.col("base") + F.pmod(F.xxhash64("id", "v"), F.col("parts")))
+        finest = limit / 4
+
+        def pack(group: pa.Table) -> pa.Table:
+            raw = np.stack([_double(b.as_py()) for b in group.column("v")])
+            tree = build(unit(raw), finest)
+            raw = raw[tree.order]
+            small = raw.astype(np.float32)
+            as_float = bool((small.astype(np.float64) == raw).all())
+            n = len(raw)
+            column = lambda name: group.column(name).to_numpy().astype(np.int64)[tree.order].tobytes()
+            return pa.table(
+                {
+                    "dim": group.column("dim").slice(0, 1),
+                    "at": group.column("at").slice(0, 1),
+                    "n": pa.array([n if as_float else -n], pa.int64()),
+                    "ids": pa.array([column("id")], pa.binary()),
+                    "w": pa.array([column("w")], pa.binary()),
+                    "raw": pa.array([(small if as_float else raw).tobytes()], pa.binary()),
+                    "tree": pa.array([tree.dump()], pa.binary()),
+                }
+            )
+
+        schema = "dim int, at long, n long, ids binary, w binary, raw binary, tree binary"
+        blocks = saved(chunks.select("dim", "at", "id", "w", "v").groupBy("dim", "at").applyInArrow(pack, schema).withColumn("g", F.expr(f"at div {side}")))
+        spans = spark.createDataFrame(pa.concat_tables(near)) if near else spark.createDataFrame([], "dim int, a0 long, a1 long, b0 long, b1 long")
+        own = lost.select("dim", F.lit(0).cast("long").alias("a0"), F.expr(f"(parts - 1) div {side}").alias("a1"))
+        spans = spans.union(own.select("dim", "a0", "a1", F.col("a0").alias("b0"), F.col("a1").alias("b1")))
+        pairs = spans.select("dim", F.explode(F.sequence("a0", "a1")).alias("g1"), "b0", "b1").select("dim", "g1", F.explode(F.sequence("b0", "b1")).alias("g2"))
+        pairs = pairs.where("g1 <= g2").distinct()
+        ends = pairs.select("dim", "g1", "g2", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("g"))
+
+        def search(group: pa.Table) -> pa.Table:
+            value = lambda name: [v.as_py() for v in group.column(name)]
+            found, names, n = [], [], 0
+            one, two = group.column("g1")[0].as_py(), group.column("g2")[0].as_py()
+            for g, size, ids, w, raw, tree in sorted(zip(*map(value, ("g", "n", "ids", "w", "raw", "tree"))), key=lambda r: (r[0], r[2])):
+                found.append((g, Block(n, _matrix(raw, size), np.frombuffer(w, np.int64), Tree.load(tree))))
+                names.append(np.frombuffer(ids, np.int64))
+                n += abs(size)
+            links = Links(n)
+            for i, (g, a) in enumerate(found):
+                for h, b in found[i:]:
+                    if (g, h) == (one, two):
+                        dual(links, a, b, least)
+            ids = np.concatenate(names)
+            if one == two:
+                links.count -= 1
+            some = np.flatnonzero(links.count)
+            edge = np.flatnonzero(links.label != np.arange(n))
+            blank = np.concatenate([np.ones(len(some), bool), np.zeros(len(edge), bool)])
+            y = pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[links.label[edge]]]), mask=blank)
+            return pa.table({"x": pa.array(np.concatenate([ids[some], ids[edge]])), "y": y, "k": pa.array(np.concatenate([links.count[some], np.zeros(len(edge), np.int64)]))})
+
+        dealt = ends.join(blocks, ["dim", "g"]).select("dim", "g1", "g2", "g", "n", "ids", "w", "raw", "tree")
+        found = saved(dealt.groupBy("dim", "g1", "g2").applyInArrow(search, "x long, y long, k long"))
+        counts = found.where("y is null").groupBy(F.col("x").alias("cls")).agg(F.sum("k").alias("k"))
+        members = every.join(classes.select("dim", "v", F.col("id").alias("cls"), "w"), ["dim", "v"]).select("id", "cls", "w")
+        members = keep(saved(members.join(counts, "cls", "left").select("id", "cls", F.coalesce("k", F.col("w") - 1).alias("k"))))
+        edges = found.where("y is not null").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        component = keep(connected_components(edges.union(members.where("id <> cls").select(F.col("id").alias("a"), F.col("cls").alias("b")))))
+        links = members.groupBy("id").agg(F.max("k").alias("k"))
+        out = rows.select("id").join(links, "id", "left").join(component, F.col("id") == component["node"], "left")
+        out = out.select(F.col("id").alias("vec_id"), F.coalesce("k", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

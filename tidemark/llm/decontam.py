@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Words, saved, word_blocks
+from .common import Words, lean, saved, word_blocks
 from .mixing import word_count
 
 SHINGLE = 5
@@ -268,7 +268,7 @@ def find(docs: DataFrame, items: DataFrame, least: float = 0.75) -> DataFrame:
                 arrays = [batch.column(0).take(pa.array(picked, pa.int64())), pa.array(columns[0], to_arrow_type(item_type)), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-        waiting = rows.mapInArrow(run, schema)
+        waiting = rows.mapInArrow(lean(run), schema)
     out = docs.sparkSession.createDataFrame([], schema) if waiting is None else waiting
     for part in parts:
         out = out.union(part)
@@ -290,5 +290,5 @@ def clean(docs: DataFrame, items: DataFrame, least: float = 0.75) -> DataFrame:
                         keep[words.rows[d]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

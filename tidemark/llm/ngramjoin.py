@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, mix64, saved, signed, stored, word_blocks
+from .common import Words, connected_components, lean, mix64, saved, signed, stored, temporaries, word_blocks
 from .covertree import Links
 
 SHINGLE = 5
@@ -112,7 +112,7 @@ def summaries(docs: DataFrame, local: int = 3, counters: int = 1 << 19) -> DataF
             columns = [blank, blank, pa.array(part), blank, pa.array(n[lo : lo + (1 << 16)]), *[blank] * (MINIMA - 1)]
             yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds)], names)
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(lean(run), schema)
 
 
 def frequent(rows: DataFrame, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], small: int, le
                 deal = np.where(often, mix64(ids[row].astype(np.int64).view(np.uint64)) & _KEY, key)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(ids[row]), pa.array(comps[row]), pa.array(size[owner].astype(np.int64)), pa.array(often), pa.array(signed(deal))], names)
 
-    return docs.select("id", "comp", "text").mapInArrow(run, "key long, id long, comp long, n long, hot boolean, deal long")
+    return docs.select("id", "comp", "text").mapInArrow(lean(run), "key long, id long, comp long, n long, hot boolean, deal long")
 
 
 def light_pairs(rows: DataFrame, least: int, longest: int = LONGEST) -> DataFrame:
@@ -246,7 +246,7 @@ def light_pairs(rows: DataFrame, least: int, longest: int = LONGEST) -> DataFram
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(x)) for x in done[:, frequent_]], pa.array(np.ones(int(frequent_.sum()), bool))], names)
             yield from paired(done[:, ~frequent_])
 
-    return rows.repartition(F.col("deal")).sortWithinPartitions("deal").drop("deal").mapInArrow(run, "a long, b long, na long, nb long, hot boolean")
+    return rows.repartition(F.col("deal")).sortWithinPartitions("deal").drop("deal").mapInArrow(lean(run), "a long, b long, na long, nb long, hot boolean")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -263,54 +263,54 @@ def heavy_links(rows: DataFrame, docs: DataFrame, least: int, block: int = 512,
     A task has two blocks with whole sets and counts their overlaps as a product of matrices, so that a family's pairs are
     compared but never written.
     """
-    spark = rows.sparkSession
-    mixed = saved(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("key", "first"))
-    # rows of a key that very many sets have stay where they are, unless there are very many such keys
-    mixed = F.broadcast(mixed) if mixed.count() <= broadcast_rows else mixed
-    ties = saved(rows.join(mixed, "key").select(F.col("first").alias("a"), F.col("id").alias("b"), "n", "comp"))
-    family = connected_components(ties.select("a", "b")).withColumnRenamed("component", "family")
-    sized = ties.groupBy(F.col("b").alias("node")).agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
-    # sizes of neighbouring classes at most differ by the ratio that similar sets may have
-    sized = saved(sized.join(family, "node").withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / least)))))
-    own_blocks = sized.groupBy("family", "class", "comp").agg(F.count("*").alias("rows")).withColumn("whole", F.col("rows") >= block)
-    pooled = own_blocks.where("not whole").groupBy("family", "class").agg(F.ceil(F.sum("rows") / block).alias("pool"))
-    counts = own_blocks.join(pooled, ["family", "class"], "left").withColumn("parts", F.when(F.col("whole"), F.ceil(F.col("rows") / block)).otherwise(F.col("pool")))
-    placed = sized.join(saved(counts.select("family", "class", "comp", "whole", "parts")), ["family", "class", "comp"])
-    # blocks of one component are told by it, those of the pool by -1; a pooled component stays together
-    only = F.when(F.col("whole"), F.col("comp")).otherwise(F.lit(-1)).alias("only")
-    part = F.pmod(F.xxhash64(F.when(F.col("whole"), F.col("node")).otherwise(F.col("comp"))), F.col("parts")).alias("part")
-    placed = placed.select("family", "class", only, part, F.col("node").alias("id"), "comp")
-    own = docs.join(placed, "id").select("family", "class", "only", "part", "id", "comp", "text")
-
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids, comps, sizes, sets = [], [], [], []
-        for batch in group.to_batches():
-            for words in word_blocks(batch.column(6), lower=True):
-                doc, key = shingle_sets(words)
-                sets.append(key)
-                sizes.append(np.bincount(doc, minlength=len(words.rows)))
-                ids.append(batch.column(4).to_numpy()[words.rows])
-                comps.append(batch.column(5).to_numpy()[words.rows])
-        blob = lambda parts: pa.array([np.concatenate(parts).tobytes()], pa.binary())
-        return pa.table({**{c: group.column(c).slice(0, 1) for c in ("family", "class", "only", "part")}, "ids": blob(ids), "comps": blob(comps), "sizes": blob(sizes), "sets": blob(sets)})
-
-    blocks = own.groupBy("family", "class", "only", "part").applyInArrow(pack, "family long, class long, only long, part long, ids binary, comps binary, sizes binary, sets binary")
-    blocks = saved(blocks)
-    fields = ["ids", "comps", "sizes", "sets"]
-    left = blocks.select("family", F.col("class").alias("at"), F.col("class").alias("c1"), F.col("only").alias("o1"), F.col("part").alias("p1"), *[F.col(f).alias(f"{f}1") for f in fields])
-    right = blocks.select("family", F.explode(F.array("class", F.col("class") - 1)).alias("at"), F.col("class").alias("c2"), F.col("only").alias("o2"), F.col("part").alias("p2"), *[F.col(f).alias(f"{f}2") for f in fields])
-    pairs = left.join(right, ["family", "at"]).where("(c1 < c2 or struct(o1, p1) <= struct(o2, p2)) and (o1 <> o2 or o1 < 0)")
-    dealt = pairs.select(*[f"{f}{s}" for s in (1, 2) for f in fields], F.xxhash64("family", "c1", "o1", "p1", "c2", "o2", "p2").alias("deal")).repartition(F.col("deal")).drop("deal")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                value = lambda f: np.frombuffer(batch.column(f)[k].as_py(), np.uint64 if f[:4] == "sets" else np.int64)
-                a, b = _linked(*[[value(f"{f}{s}") for f in fields] for s in (1, 2)], least)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
+    with temporaries() as keep:
+        mixed = saved(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("key", "first"))
+        # rows of a key that very many sets have stay where they are, unless there are very many such keys
+        mixed = F.broadcast(mixed) if mixed.count() <= broadcast_rows else mixed
+        ties = saved(rows.join(mixed, "key").select(F.col("first").alias("a"), F.col("id").alias("b"), "n", "comp"))
+        family = connected_components(ties.select("a", "b")).withColumnRenamed("component", "family")
+        sized = ties.groupBy(F.col("b").alias("node")).agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+        # sizes of neighbouring classes at most differ by the ratio that similar sets may have
+        sized = saved(sized.join(family, "node").withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / least)))))
+        own_blocks = sized.groupBy("family", "class", "comp").agg(F.count("*").alias("rows")).withColumn("whole", F.col("rows") >= block)
+        pooled = own_blocks.where("not whole").groupBy("family", "class").agg(F.ceil(F.sum("rows") / block).alias("pool"))
+        counts = own_blocks.join(pooled, ["family", "class"], "left").withColumn("parts", F.when(F.col("whole"), F.ceil(F.col("rows") / block)).otherwise(F.col("pool")))
+        placed = sized.join(saved(counts.select("family", "class", "comp", "whole", "parts")), ["family", "class", "comp"])
+        # blocks of one component are told by it, those of the pool by -1; a pooled component stays together
+        only = F.when(F.col("whole"), F.col("comp")).otherwise(F.lit(-1)).alias("only")
+        part = F.pmod(F.xxhash64(F.when(F.col("whole"), F.col("node")).otherwise(F.col("comp"))), F.col("parts")).alias("part")
+        placed = placed.select("family", "class", only, part, F.col("node").alias("id"), "comp")
+        own = docs.join(placed, "id").select("family", "class", "only", "part", "id", "comp", "text")
+
+        def pack(group: pa.Table) -> pa.Table:
+            group = group.combine_chunks()
+            ids, comps, sizes, sets = [], [], [], []
+            for batch in group.to_batches():
+                for words in word_blocks(batch.column(6), lower=True):
+                    doc, key = shingle_sets(words)
+                    sets.append(key)
+                    sizes.append(np.bincount(doc, minlength=len(words.rows)))
+                    ids.append(batch.column(4).to_numpy()[words.rows])
+                    comps.append(batch.column(5).to_numpy()[words.rows])
+            blob = lambda parts: pa.array([np.concatenate(parts).tobytes()], pa.binary())
+            return pa.table({**{c: group.column(c).slice(0, 1) for c in ("family", "class", "only", "part")}, "ids": blob(ids), "comps": blob(comps), "sizes": blob(sizes), "sets": blob(sets)})
+
+        blocks = own.groupBy("family", "class", "only", "part").applyInArrow(pack, "family long, class long, only long, part long, ids binary, comps binary, sizes binary, sets binary")
+        blocks = saved(blocks)
+        fields = ["ids", "comps", "sizes", "sets"]
+        left = blocks.select("family", F.col("class").alias("at"), F.col("class").alias("c1"), F.col("only").alias("o1"), F.col("part").alias("p1"), *[F.col(f).alias(f"{f}1") for f in fields])
+        right = blocks.select("family", F.explode(F.array("class", F.col("class") - 1)).alias("at"), F.col("class").alias("c2"), F.col("only").alias("o2"), F.col("part").alias("p2"), *[F.col(f).alias(f"{f}2") for f in fields])
+        pairs = left.join(right, ["family", "at"]).where("(c1 < c2 or struct(o1, p1) <= struct(o2, p2)) and (o1 <> o2 or o1 < 0)")
+        dealt = pairs.select(*[f"{f}{s}" for s in (1, 2) for f in fields], F.xxhash64("family", "c1", "o1", "p1", "c2", "o2", "p2").alias("deal")).repartition(F.col("deal")).drop("deal")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    value = lambda f: np.frombuffer(batch.column(f)[k].as_py(), np.uint64 if f[:4] == "sets" else np.int64)
+                    a, b = _linked(*[[value(f"{f}{s}") for f in fields] for s in (1, 2)], least)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        return keep(saved(dealt.mapInArrow(lean(run), "a long, b long")))
 
 
 def _linked(one: list[np.ndarray], two: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +357,7 @@ def verified(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
                 linked.append(100 * both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def components(docs: DataFrame, least: int = 75) -> DataFrame:
@@ -369,35 +369,35 @@ def components(docs: DataFrame, least: int = 75) -> DataFrame:
     row with a null doc_id takes no part: its component is null.  Rows of one doc_id are one
     document.  Texts of any length are read whole.  An empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    with stored(summaries(docs)) as rows:
-        hot = frequent(rows)
-        known = rows.where("n is not null")
-        sizes = [tuple(r) for r in known.where("n between 2 and 96").groupBy("n").count().collect()]
-        classes = known.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("cls"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(MINIMA)])
-        members = saved(known.where("n > 0 and id is not null").join(classes.select("d1", "d2", "cls"), ["d1", "d2"]).select("id", "cls"))
-        minima = classes.select("cls", F.posexplode(F.array(*[f"m{i}" for i in range(MINIMA)])).alias("i", "m"))
-        hubs = minima.groupBy("i", "m").agg(F.min("cls").alias("hub"), F.count("*").alias("k")).where("k > 1").select("i", "m", "hub")
-        stars = saved(minima.join(hubs, ["i", "m"]).where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
-        plain = saved(known.select("id", "n"))
-    near = saved(verified(stars, docs, least))
-    early = connected_components(near)
-    reps = members.where("id = cls").select("id").distinct()
-    labelled = reps.join(early, reps["id"] == early["node"], "left").select("id", F.coalesce("component", "id").alias("comp"))
-    small = boundary(sizes, least)
-    own = docs.join(saved(labelled), "id").select("id", "comp", "text")
-    # a pair that shares a frequent element, or a long list, is settled by heavy_links; for the others all shared elements are light
-    counted = light_pairs(prefixes(own, hot, small, least), least).groupBy("a", "b", "na", "nb", "hot").agg(F.count("*").alias("k"))
-    # elements beyond the shorter prefix can't be more than what is left of that set
-    beyond = [F.expr(f"{n} - ({n} - cast(ceil({least} * {n} / 100) as bigint) + 1)") for n in ("na", "nb")]
-    needed = F.expr(f"{least} * (na + nb)") <= (F.col("k") + F.greatest(*beyond)) * (100 + least)
-    little = F.expr(f"na <= {small} and nb <= {small}")
-    candidates = saved(counted.where(F.col("hot") | needed | little).select("a", "b", "na", "nb", "hot"))
-    late = saved(verified(candidates.where("not hot"), docs, least))
-    heavy = candidates.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("na").alias("comp"), F.col("nb").alias("n"))
-    firm = saved(heavy_links(heavy, docs, least))
-    links = near.union(late).union(firm).union(members.where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b")))
-    found = connected_components(links)
-    out = plain.join(found, plain["id"] == found["node"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    with temporaries() as keep:
+        with stored(summaries(docs)) as rows:
+            hot = frequent(rows)
+            known = rows.where("n is not null")
+            sizes = [tuple(r) for r in known.where("n between 2 and 96").groupBy("n").count().collect()]
+            classes = known.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("cls"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(MINIMA)])
+            members = saved(known.where("n > 0 and id is not null").join(classes.select("d1", "d2", "cls"), ["d1", "d2"]).select("id", "cls"))
+            minima = classes.select("cls", F.posexplode(F.array(*[f"m{i}" for i in range(MINIMA)])).alias("i", "m"))
+            hubs = minima.groupBy("i", "m").agg(F.min("cls").alias("hub"), F.count("*").alias("k")).where("k > 1").select("i", "m", "hub")
+            stars = saved(minima.join(hubs, ["i", "m"]).where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
+            plain = keep(saved(known.select("id", "n")))
+        near = saved(verified(stars, docs, least))
+        early = connected_components(near)
+        reps = members.where("id = cls").select("id").distinct()
+        labelled = reps.join(early, reps["id"] == early["node"], "left").select("id", F.coalesce("component", "id").alias("comp"))
+        small = boundary(sizes, least)
+        own = docs.join(saved(labelled), "id").select("id", "comp", "text")
+        # a pair that shares a frequent element, or a long list, is settled by heavy_links; for the others all shared elements are light
+        counted = light_pairs(prefixes(own, hot, small, least), least).groupBy("a", "b", "na", "nb", "hot").agg(F.count("*").alias("k"))
+        # elements beyond the shorter prefix can't be more than what is left of that set
+        beyond = [F.expr(f"{n} - ({n} - cast(ceil({least} * {n} / 100) as bigint) + 1)") for n in ("na", "nb")]
+        needed = F.expr(f"{least} * (na + nb)") <= (F.col("k") + F.greatest(*beyond)) * (100 + least)
+        little = F.expr(f"na <= {small} and nb <= {small}")
+        candidates = saved(counted.where(F.col("hot") | needed | little).select("a", "b", "na", "nb", "hot"))
+        late = saved(verified(candidates.where("not hot"), docs, least))
+        heavy = candidates.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("na").alias("comp"), F.col("nb").alias("n"))
+        firm = heavy_links(heavy, docs, least)
+        links = near.union(late).union(firm).union(members.where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b")))
+        found = keep(connected_components(links))
+        out = plain.join(found, plain["id"] == found["node"], "left")
+        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

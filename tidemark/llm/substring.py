@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, saved, signed, word_blocks
+from .common import Words, lean, mix64, saved, signed, temporaries, word_blocks
 
 #: Words of a window, and of the runs that its minimiser is chosen from.
 WINDOW, RUN = 13, 5
@@ -94,7 +94,7 @@ def whole(docs: DataFrame) -> DataFrame:
                 sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sha, pa.string())], ["id", "n", "cls", "sha"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, cls long, sha string")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, n long, cls long, sha string")
 
 
 def minimisers(docs: DataFrame, window: int, run_words: int) -> DataFrame:
@@ -127,7 +127,7 @@ def minimisers(docs: DataFrame, window: int, run_words: int) -> DataFrame:
             deal = np.where(n > 0, signed(key), signed(mix64(owner.view(np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal, signed(key), owner, n)], names)
 
-    return docs.where("id is not null").select("text").mapInArrow(run, "deal long, mh long, cls long, n long")
+    return docs.where("id is not null").select("text").mapInArrow(lean(run), "deal long, mh long, cls long, n long")
 
 
 def shared_minimisers(rows: DataFrame, crowd: int, hold: int = 100_000) -> DataFrame:
@@ -171,7 +171,7 @@ def shared_minimisers(rows: DataFrame, crowd: int, hold: int = 100_000) -> DataF
             found = [(mh[keep], cls[keep], np.zeros(int(keep.sum()), np.int64)), (mh[first[many]], low[many], total[many])]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
 
-    return rows.repartition(F.col("deal")).sortWithinPartitions("deal").mapInArrow(run, "mh long, cls long, times long")
+    return rows.repartition(F.col("deal")).sortWithinPartitions("deal").mapInArrow(lean(run), "mh long, cls long, times long")
 
 
 def packed(docs: DataFrame, window: int, run_words: int) -> DataFrame:
@@ -231,7 +231,7 @@ def packed(docs: DataFrame, window: int, run_words: int) -> DataFrame:
             sent = pa.array([t.decode("utf-8", "replace") if k else None for t, k in zip(strings, travels.tolist())], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(deal), sent, *map(pa.array, (own, cls_of, start, n))], names)
 
-    return docs.select("cls", "id", "wanted", "crowded", "text").mapInArrow(run, "deal long, words string, id long, cls long, start long, n long")
+    return docs.select("cls", "id", "wanted", "crowded", "text").mapInArrow(lean(run), "deal long, words string, id long, cls long, start long, n long")
 
 
 def bucket_repeats(rows: DataFrame, window: int, most: int = BUCKET) -> DataFrame:
@@ -295,7 +295,7 @@ def bucket_repeats(rows: DataFrame, window: int, most: int = BUCKET) -> DataFram
         yield batch_of(repeats(full + (bucket if len(bucket) > 1 else [])))
 
     schema = "window string, cls long, id long, start long, n long"
-    buckets = saved(rows.repartition(F.col("deal")).sortWithinPartitions("deal").mapInArrow(run, schema))
+    buckets = saved(rows.repartition(F.col("deal")).sortWithinPartitions("deal").mapInArrow(lean(run), schema))
     again = buckets.where("window is not null")
     out = buckets.where("window is null")
     if not again.isEmpty():
@@ -330,24 +330,26 @@ def remove(docs: DataFrame, window: int, digest: bool = False) -> DataFrame:
             at = pa.array(found, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["cls", "lo", "n_removed", "kept"])
 
-    return docs.select("cls", "id", "spans", "text").mapInArrow(run, "cls long, lo long, n_removed long, kept string")
+    return docs.select("cls", "id", "spans", "text").mapInArrow(lean(run), "cls long, lo long, n_removed long, kept string")
 
 
 def _wanted(docs: DataFrame, classes: DataFrame, window: int, run_words: int, crowd: int, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(cls, wanted, crowded, id): the minimisers of each class that another class has too, and those of them that very many have."""
-    found = saved(shared_minimisers(minimisers(docs, window, run_words), crowd))
-    many = found.where("times > 0").select("mh", F.lit(True).alias("many"))
-    many = F.broadcast(many) if many.count() <= broadcast_rows else many
-    crowded = F.collect_set(F.when(F.col("many"), F.col("mh"))).alias("crowded")
-    wanted = found.where("times = 0").join(many, "mh", "left").groupBy("cls").agg(F.collect_set("mh").alias("wanted"), crowded)
-    return saved(wanted.join(classes.select("cls", "id"), "cls"))
+    with temporaries() as keep:
+        found = saved(shared_minimisers(minimisers(docs, window, run_words), crowd))
+        many = found.where("times > 0").select("mh", F.lit(True).alias("many"))
+        many = F.broadcast(many) if many.count() <= broadcast_rows else many
+        crowded = F.collect_set(F.when(F.col("many"), F.col("mh"))).alias("crowded")
+        wanted = found.where("times = 0").join(many, "mh", "left").groupBy("cls").agg(F.collect_set("mh").alias("wanted"), crowded)
+        return keep(saved(wanted.join(classes.select("cls", "id"), "cls")))
 
 
 def _spans(docs: DataFrame, wanted: DataFrame, window: int, run_words: int) -> DataFrame:
-    texts = docs.join(wanted, "id").select("cls", "id", "wanted", "crowded", "text")
-    spans = bucket_repeats(packed(texts, window, run_words), window)
-    code = F.shiftleft("start", _LENGTH) + F.least("n", F.lit((1 << _LENGTH) - 1))
-    return saved(spans.groupBy("cls", "id").agg(F.collect_list(code).alias("spans")))
+    with temporaries() as keep:
+        texts = docs.join(wanted, "id").select("cls", "id", "wanted", "crowded", "text")
+        spans = bucket_repeats(packed(texts, window, run_words), window)
+        code = F.shiftleft("start", _LENGTH) + F.least("n", F.lit((1 << _LENGTH) - 1))
+        return keep(saved(spans.groupBy("cls", "id").agg(F.collect_list(code).alias("spans"))))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -355,11 +357,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run_words: int = RUN,
 
     ``id`` is the class's smallest doc_id; a span is ``start << 32 | windows``.
     """
-    rows = saved(whole(docs))
-    classes = rows.where(f"id is not null and n >= {window}").groupBy("cls", "sha").agg(F.min("id").alias("id"))
-    wanted = _wanted(docs, classes, window, run_words, crowd)
-    spans = _spans(docs, wanted, window, run_words)
-    return rows, spans
+    with temporaries() as keep:
+        rows = saved(whole(docs))
+        classes = rows.where(f"id is not null and n >= {window}").groupBy("cls", "sha").agg(F.min("id").alias("id"))
+        spans = _spans(docs, _wanted(docs, classes, window, run_words, crowd), window, run_words)
+        return keep(rows), keep(spans)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:

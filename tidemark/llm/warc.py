@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import lean, saved
 
 CRLF = "\r\n"
 #: Date of records that have none of their own.
@@ -129,7 +129,7 @@ def responses(pages: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
                 out.append((page, own, url, EPOCH, CRLF.join(fields), http, raw))
             yield from _batches(out, RESPONSE)
 
-    return once.mapInArrow(run, RESPONSE)
+    return once.mapInArrow(lean(run), RESPONSE)
 
 
 def _batches(rows: list[tuple], schema: T.StructType) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def derive(source: DataFrame) -> DataFrame:
                     rows, size = [], 0
             yield from _batches(rows, RECORD)
 
-    return source.select(*RESPONSE.names).mapInArrow(run, RECORD)
+    return source.select(*RESPONSE.names).mapInArrow(lean(run), RECORD)
 
 
 def _one_line(value: object) -> str:
@@ -211,7 +211,7 @@ def write_warc(df: DataFrame, path: str, compression: str = "gzip") -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     # the cast keeps the bytes as they are, and the text writer writes them so
-    lines = df.select(*names).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = df.select(*names).mapInArrow(lean(run), "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", "\0" if compression == "gzip" else CRLF + CRLF).text(path)
 
 
@@ -280,4 +280,4 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield from _batches(rows, RESPONSE)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lean(run), RESPONSE)

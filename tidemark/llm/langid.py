@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 _OTHER = re.compile(r"[\W\d_]+")
 #: Bytes of a segment; those of a text are parsed side by side and then joined, so that they don't change the result.
 SEGMENT = 1024
 #: Bytes of a segment within which its parse nearly always meets that of the text; else the text is parsed again, byte by byte.
 JOIN = 256
-#: Bytes that are parsed side by side.
-AT_ONCE = 4 << 20
+#: Bytes that are parsed side by side, and rows whose texts are held as such.
+AT_ONCE, ROWS = 2 << 20, 2000
 
 
 def normalised(text: str | None) -> bytes:
@@ -220,14 +222,19 @@ def fit(docs: DataFrame, max_bytes: int = 16_000, max_docs: int = 60, least_byte
     bytes: short texts whole, of long ones the start from the first letter on, up to an eighth of the bytes.
     """
     labelled = docs.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).where(fold(F.col("doc_id")) != 2)
-    langs = [r[0] for r in labelled.select("lang").distinct().collect()]
+    ids_of = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id")).collect()}
+    langs = list(ids_of)
     if not langs:
         return Model({})
     each = max(least_bytes, min(max_bytes, 8 * max_bytes // len(langs)))
     excerpt = each // 8
+    most = max(max_docs, each // 32)
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    # far more ids than are wanted have a hash below this, so that few rows of a language are sorted, however many there are
+    below = F.create_map(*[F.lit(x) for lang, n in ids_of.items() for x in (lang, float(min(1 << 32, (8 * most << 32) // max(1, n))))])
     ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("langid")).alias("_h"), F.least(F.octet_length("text"), F.lit(excerpt)).alias("_size"))
-    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(max_docs, each // 32))
+    ids = ids.where(F.call_function("shiftrightunsigned", "_h", F.lit(32)) < F.element_at(below, F.col("lang")))
+    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
     chosen, sizes = [], dict.fromkeys(langs, 0)
     for lang, _, doc, size in sorted((r[1], r[2], r[0], r[3]) for r in ids.select("doc_id", "lang", "_h", "_size").collect()):
         # twice the bytes, as texts may shrink when they are normalised
@@ -270,11 +277,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _local(model)
         for batch in batches:
-            langs, scores = own.predict(batch.column(text_at).to_pylist())
+            langs, scores = [], []
+            for lo in range(0, batch.num_rows, ROWS):
+                found = own.predict(batch.column(text_at).slice(lo, ROWS).to_pylist())
+                langs += found[0]
+                scores += found[1]
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def known(docs: DataFrame, model: Model) -> DataFrame:
@@ -287,11 +298,13 @@ def known(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _local(model)
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            kept = [x != "und" for x in own.predict(texts)[0]] if own.texts else [bool(normalised(t)) for t in texts]
+            kept = []
+            for lo in range(0, batch.num_rows, ROWS):
+                texts = batch.column(text_at).slice(lo, ROWS).to_pylist()
+                kept += [x != "und" for x in own.predict(texts)[0]] if own.texts else [bool(normalised(t)) for t in texts]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:

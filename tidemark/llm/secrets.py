@@ -13,6 +13,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Kinds in the order in which they are listed; ``token`` is the token-efficiency test's.
 KINDS = ("assign", "access", "hex", "token")
@@ -117,30 +119,38 @@ def token_spans(text: str, encoding: tiktoken.Encoding, least: float, taken: lis
     return found
 
 
-_encodings: dict[int, tiktoken.Encoding] = {}
+_encodings: dict[str, tiktoken.Encoding] = {}
+
+
+def _digest(ranks: dict[bytes, int]) -> str:
+    return hashlib.sha256(b"\n".join(b"%d %s" % (n, token.hex().encode()) for token, n in sorted(ranks.items()))).hexdigest()
 
 
-def _encoding(ranks: dict[bytes, int]) -> tiktoken.Encoding:
-    if len(ranks) not in _encodings:
-        _encodings[len(ranks)] = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[len(ranks)]
+def _encoding(ranks: dict[bytes, int], name: str | None = None) -> tiktoken.Encoding:
+    """The encoding of a vocabulary; a worker makes that of one digest once."""
+    name = name or _digest(ranks)
+    if name not in _encodings:
+        _encodings[name] = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[name]
 
 
 def scan(docs: DataFrame, vocabulary: str = VOCABULARY, least: float = 2.1) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_token of every row.
 
-    Every whole text is scanned; a null one counts as empty.  Offsets are code points.
+    Every whole text is scanned, of any length and in time that grows with it; a null or empty one has no spans.  Offsets are code points.
     The driver reads the vocabulary, a file of fixed size, and broadcasts it.  Repeated
     rows give repeated results; other columns are not read.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    vocabulary_ranks = read_ranks(vocabulary)
+    name = _digest(vocabulary_ranks)
+    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary_ranks)
     rows = docs.select(F.col("doc_id"), F.col("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_token long"
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks.value)
+        encoding = _encodings.get(name) or _encoding(ranks.value, name)
         listed = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
         for batch in batches:
             out: list[list] = [[] for _ in names[1:]]
@@ -154,4 +164,4 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, least: float = 2.1) -> D
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

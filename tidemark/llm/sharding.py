@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, running_offsets
+from .common import mix64, running_offsets, saved
 
 #: Rows that are placed at a time; bounds the temporary arrays.
 AT_ONCE = 1 << 16
@@ -141,19 +141,22 @@ def shard(docs: DataFrame, shards: int = 24, carry: bool = False) -> DataFrame:
 
     With ``carry`` all columns of docs come first, as the struct ``row``.
     A null text counts as empty: size 8 and checksum 0.  A null key has a place of
-    its own.  Repeated rows get the same shard and different slots, whatever their length.  An empty
+    its own; its rows' slots go by a hash of their texts.  Repeated rows get the same shard and different slots, whatever their length.  An empty
     table gives an empty result, other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    order = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5(F.concat(F.lit("null:"), text)))
     rows = docs.select(
         "doc_id",
         (F.octet_length(text).cast("bigint") + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_key"),
+        order.alias("_key"),
         place(F.col("doc_id"), tree(shards)).alias("shard"),
         place(F.col("doc_id"), tree(shards + 1)).alias("grown_shard"),
         F.lit(1).cast("bigint").alias("_one"),
         *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry,
     )
+    # whole rows are read again instead
+    rows = rows if carry else saved(rows)
     slots = running_offsets(rows, ["shard"], "_key", ["_key", "doc_id", "text_crc32", "size"], "_one")
     return slots.select(*["row"] * carry, "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("before").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, mixing, ngramjoin, sharding
-from tidemark.llm.common import saved, shared_dir
+from tidemark.llm.common import removed, saved, shared_dir, shuffles_removed
 
 SHARDS = 24
 
@@ -49,9 +49,9 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and their place in it."""
+    """The documents with their shard and their place in it, which replace columns of these names."""
     placed = sharding.shard(docs, SHARDS, carry=True)
-    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns], "shard", "slot")
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
 
 
 STAGES = [
@@ -67,10 +67,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, over the whole table documents."""
+    """The rows of the last stage, over the whole table documents.
+
+    Each stage's rows are in a folder of the shared one until the next stage's are written; those that the last stage reads stay.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+        rows = stage(spark, docs, sf_dir)
+        with shuffles_removed(spark):
+            rows.write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if done:
+            removed(spark, done)
+        done = f"{top}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

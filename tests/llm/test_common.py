@@ -1,11 +1,14 @@
+import glob
 import random
+import time
 
 import pyarrow as pa
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, running_offsets, word_blocks
+from tidemark.llm.common import connected_components, discard, running_offsets, saved, shared_dir, stored, temporaries, word_blocks
 
 from .helpers import LOWER, words
 
@@ -59,3 +62,45 @@ def test_offsets(spark):
         group = (r["g"], r["h"])
         assert r["before"] == sums.get(group, 0)
         sums[group] = r["before"] + r["n"]
+
+
+def test_shuffles_of_saved_rows_are_deleted(spark):
+    """Also of rows that were defined before; the setting is as it was afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    newest = lambda: max([int(f.rpartition("/")[2].split("_")[1]) for f in glob.glob(f"{folder}/*/shuffle_*.data")], default=-1)
+    rows = spark.range(5000).groupBy((F.col("id") % 50).alias("g")).count().repartition(3, "g")
+    start = spark.sparkContext._jsc.sc().newShuffleId()
+    kept = saved(rows)
+    with stored(rows):
+        pass
+    for _ in range(50):
+        if newest() <= start:
+            break
+        time.sleep(0.1)
+    assert newest() <= start < spark.sparkContext._jsc.sc().newShuffleId() - 1
+    assert kept.count() == 50 and spark.conf.get(name) == before
+
+
+def test_temporaries_are_deleted(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    files = lambda: set(glob.glob(f"{folder}/*/rdd-*") + glob.glob(f"{folder}/rdd-*"))
+    start = files()
+    with temporaries() as keep:
+        lost = saved(spark.range(10))
+        with temporaries() as inner:
+            saved(spark.range(11))
+            outer, given = inner(saved(spark.range(12))), inner(saved(spark.range(13)))
+        assert len(files() - start) == 3 and outer.count() == 12
+        given = keep(given)
+    assert len(files() - start) == 1 and given.count() == 13
+    with pytest.raises(Exception):
+        lost.count()
+    discard(given)
+    assert files() == start
+    with pytest.raises(ZeroDivisionError):
+        with temporaries():
+            saved(spark.range(5))
+            1 / 0
+    assert files() == start and saved(spark.range(6)).count() == 6

@@ -1,11 +1,14 @@
 """The pipeline's stages, each against brute force on its own input, and the registered queries' contracts."""
 
+import glob
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline as pipeline
-from tidemark.llm import mixing, queries
+from tidemark.llm import common, mixing, queries
 
 from .helpers import documents, near_components, words
 
@@ -38,6 +41,34 @@ def test_stages(spark, tmp_path):
     assert len(set((r["shard"], r["slot"]) for r in out)) == len(out)
 
 
+def test_odd_inputs_of_the_stages(spark, tmp_path):
+    """Empty tables, columns that clash with the stages' own, a very long text, and rows that are repeated."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = {"shard": 1, "slot": "x", "size": None, "row": 2.5, "component_id": "c", "similarity": 0, "lang_pred": "p", "_row": 1, "epoch": 3}
+    odd = documents(spark, [(9000, "the of and that was it " * 40_000), (9001, None), (None, "the of and that was it"), (None, "the of and that was it"), (9003, "")])
+    full = table.limit(60).unionByName(odd)
+    for name, value in clash.items():
+        full = full.withColumn(name, F.lit(value))
+    bench = spark.createDataFrame([], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    for docs, folder in ((full, SF), (full, f"{tmp_path}/empty"), (full.limit(0), SF)):
+        columns = docs.columns
+        for name, stage in pipeline.STAGES:
+            docs = stage(spark, docs, folder)
+            docs.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+            assert set(docs.columns) == set(columns), name
+        if docs.count():
+            assert {r["doc_id"] for r in docs.collect()} >= {9000, None} and docs.where("doc_id = 9000 and length(text) > 800000").count() >= 1
+
+
+def test_run_removes_what_it_has_read(spark, tmp_path):
+    before = set(glob.glob(f"{common.shared_dir(spark).removeprefix('file:')}/pipeline-*/*"))
+    rows = pipeline.run(spark, SF)
+    left = set(glob.glob(f"{common.shared_dir(spark).removeprefix('file:')}/pipeline-*/*")) - before
+    assert [p.rpartition("/")[2] for p in left] == ["mixing"] and rows.count() > 100
+
+
 def test_names():
     numbers = [int(n[2:].split("_")[0]) for n in queries.QUERIES]
     assert sorted(numbers) == list(range(1, 11)) and "pipeline" in contract.queries()

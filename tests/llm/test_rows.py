@@ -1,10 +1,14 @@
 """Operators 3, 4, 5, 7, 8 and 9: brute force, round trips, held-out accuracy, odd rows."""
 
+import base64
+import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import replace
@@ -89,6 +93,76 @@ def test_all_tokens_of_long_urls_are_mined(spark):
     assert blocked == {*range(0, 400, 4), 1000}
 
 
+def slow_rules(pages, labels, tokens, mining):
+    """{tokens: (confidence, lift)} by counting every set of tokens of every labelled page."""
+    bad = defaultdict(int)
+    for i, quality, toxic in labels:
+        bad[i] = max(bad[i], int(quality == 0 or toxic == 1))
+    rows = [(frozenset(tokens[u]), bad[i]) for i, u in pages if i in bad and i is not None]
+    base = sum(b for _, b in rows) / len(rows)
+    least = max(mining.min_pages, mining.min_support * len(rows))
+    holders = defaultdict(set)
+    for n, (own, _) in enumerate(rows):
+        for t in own:
+            holders[t].add(n)
+    alike = defaultdict(list)
+    for t, held in holders.items():
+        if len(held) >= least:
+            alike[frozenset(held)].append(t)
+    counted = {frozenset([min(ts)]): held for held, ts in alike.items()}
+    level = dict(counted)
+    while level:
+        level = {a | b: held & more for a, held in level.items() for b, more in counted.items() if len(b) == 1 and not b <= a and len(held & more) >= least}
+        counted |= level
+    found = {}
+    for own, held in counted.items():
+        c = sum(rows[n][1] for n in held) / len(held)
+        if c * len(held) < least or c < mining.min_confidence or c / base < mining.min_lift:
+            continue
+        apart = c * math.log(c / base) + ((1 - c) * math.log((1 - c) / (1 - base)) if c < 1 else 0)
+        if len(held) * apart >= math.log(len(counted) / mining.max_chance):
+            members = [next(ts for ts in alike.values() if min(ts) == t) for t in own]
+            for picked in itertools.product(*members):
+                found[tuple(sorted(picked))] = (pytest.approx(c), pytest.approx(c / base))
+    return found
+
+
+def test_mining_against_counting_every_set(spark):
+    rng = random.Random(21)
+    pages, labels = [], []
+    for i in range(900):
+        words = [rng.choice("abcdef") for _ in range(4)]
+        bad = ("a" in words and "b" in words and rng.random() < 0.9) or ("c" in words and "d" in words and rng.random() < 0.5) or rng.random() < 0.1
+        pages.append((i, f"http://{words[0]}.{rng.choice(['org', 'net'])}/{words[1]}/{words[2]}?{words[3]}=1&twin=2"))
+        labels.append((i, int(not bad), 0))
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    tokens = {r["url"]: r["t"] for r in frame.select("url", urlrules.url_tokens(F.col("url")).alias("t")).collect()}
+    for mining in (urlrules.Mining(), urlrules.Mining(min_pages=5, max_chance=1e-6), urlrules.Mining(min_confidence=0.8, min_support=0.05)):
+        rows = urlrules.mine(frame, known, mining).collect()
+        got = {tuple(r["tokens"]): (r["confidence"], r["lift"]) for r in rows}
+        assert got == slow_rules(pages, labels, tokens, mining) and len(rows) == len(got) > 3
+        of = Counter(t for i, u in pages for t in set(tokens[u]))
+        assert all(r["post"] == min(r["tokens"], key=lambda t: (of[t], t)) for r in rows)
+
+
+def test_labels_that_say_nothing_of_urls_make_no_rules(spark):
+    """Also the test tables' labels: no page is blocked but by a fixed rule."""
+    rng = random.Random(22)
+    pages = [(i, f"http://{rng.choice('abcdefgh')}.org/{rng.choice('abcdefgh')}/{rng.choice('abcdefgh')}?{rng.choice('abc')}=1") for i in range(3000)]
+    labels = [(i, rng.randrange(2), 0) for i in range(3000)]
+    assert urlrules.mine(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+    rows = queries.op3_url_rules(spark, "/root/testdata/sf0.1").where("rule is null")
+    assert rows.count() > 100 and rows.where("verdict = 'block'").count() == 0
+
+
+def test_rows_without_urls(spark):
+    pages = spark.createDataFrame([(i, None if i % 3 else "http://bad.org/") for i in range(300)] + [(None, None), (None, "\x001")], "page_id long, url string")
+    known = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {(r["page_id"], r["verdict"]) for r in urlrules.judge(pages, known).collect()}
+    assert got == {(i, "allow" if i % 3 else "block") for i in range(300)} | {(None, "allow")}
+
+
 # 4
 
 
@@ -137,18 +211,61 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 == mixing.mixed(docs.limit(0)).count()
 
 
+def brute_mix(rows):
+    """(doc_id, text, source) of each row that is taken, by sorting each source's rows and counting through them."""
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    want = brute_targets(sizes)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    out = []
+    for source in sizes:
+        own = sorted((md5(str(i)) if i is not None else md5("null:" + (t or "")), i is not None, i or 0, len(words(t)), md5(t or ""), t, i) for i, t, s in rows if s == source and words(t))
+        left = int(want[source] + 1e-9)
+        while left and own:
+            for *_, t, i in own:
+                w = words(t)
+                if left >= len(w):
+                    out.append((i, t, source))
+                elif left:
+                    out.append((i, " ".join(w[:left]), source))
+                left -= min(left, len(w))
+    return Counter(out)
+
+
+def test_mixed_rows_against_counting(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(60) if rng.random() < 0.9 else None, "\n".join(rng.choice("ab") for _ in range(rng.randrange(6))) or rng.choice(["", None]), rng.choice(["x"] * 5 + ["y", None, "z"])) for _ in range(300)]
+    rows += [(500, "same words in all", "copies")] * 40 + [(None, "no id at all", "nameless")] * 30 + [(7, "x y", "one")]
+    docs = documents(spark, [(i, t, "en", s) for i, t, s in rows]).withColumn("size", F.lit("clash")).withColumn("epoch", F.lit(1))
+    for frame in (docs, docs.repartition(7)):
+        out = mixing.mixed(frame)
+        assert Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect()) == brute_mix(rows) and out.columns == docs.columns
+
+
 # 5
 
 
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    odd = spark.createDataFrame([(900, None, None), (901, "http://x/", ""), (902, "http://y/", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"), (900, None, None)], pages.schema)
+    long = "é<p>" * 200_000
+    odd = spark.createDataFrame([(900, None, None), (901, "http://x/", ""), (902, "http://y/", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\0"), (900, None, None), (903, "http://z/", long)], pages.schema)
     source = warc.responses(pages.union(odd).withColumn("record_id", F.lit("clash")))
+    ids = [r["record_id"] for r in source.collect()]
+    assert len(set(ids)) == len(ids) == pages.count() + 5, "a page that is repeated has records of its own"
+    shuffled = warc.responses(pages.union(odd), broadcast_rows=0)
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, source.collect()))
+    raw = source.where("page_id = 902").withColumn("body", F.unhex(F.lit("FF00FE0D0A0D0A80"))).withColumn("record_id", F.lit("<urn:raw>"))
+    source = source.union(raw)
     for compression in ("gzip", "none"):
         path = str(tmp_path / compression)
         warc.write_warc(source, path, compression)
         back = warc.read_responses(spark, path)
         assert sorted(map(str, back.collect())) == sorted(map(str, source.collect()))
+    for f in (tmp_path / "gzip").glob("part-*"):
+        # each member is a record, and any gzip reader takes the whole
+        members = list(warc._members(f.read_bytes()))
+        assert all(m.startswith(b"WARC/1.1") and m.endswith(b"\r\n\r\n") for m in members) and b"".join(members) == gzip.decompress(f.read_bytes())
     derived = warc.derive(source)
     warc.write_warc(derived, str(tmp_path / "derived"), "none")
     stored = [h for f in (tmp_path / "derived").glob("part-*") for h, _ in warc.parse(f.read_bytes())]
@@ -156,14 +273,36 @@ def test_warc_round_trip(spark, tmp_path):
     originals = {r["record_id"]: r for r in source.collect()}
     for r in derived.collect():
         own = originals[r["refers_to"]]
-        assert r["source_digest"] == warc.digest(own["body"].encode()) and r["target_uri"] == own["target_uri"] and r["warc_date"] == own["warc_date"]
-        assert r["block_digest"] == warc.digest(r["content"].encode()) and r["content_length"] == len(r["content"].encode())
-        assert own["http_headers"] in r["source_headers"] and own["warc_headers"] in r["source_headers"]
-    ids = [r["record_id"] for r in derived.where("page_id < 900").collect()]
+        body = bytes(own["body"])
+        assert r["source_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode() and r["target_uri"] == own["target_uri"] and r["warc_date"] == own["warc_date"]
+        block = r["content"].encode()
+        assert r["block_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode() and r["content_length"] == len(block)
+        assert r["source_headers"] == own["warc_headers"] + "\r\n" + own["http_headers"]
+    ids = [r["record_id"] for r in derived.collect()]
     assert len(set(ids)) == len(ids)
     assert warc.derive(source.limit(0)).count() == 0
 
 
+def test_large_members_and_split_files():
+    record = warc.as_bytes("response", "<urn:x>", [], b"x" * ((1 << 24) + 5))
+    small = warc.as_bytes("response", "<urn:y>", [], b"y")
+    data = warc._member(record) + b"\0" + warc._member(small) + b"\0"
+    assert [h["WARC-Record-ID"] for h, _ in warc.parse(data)] == ["<urn:x>", "<urn:y>"]
+    cut = gzip.compress(small[:30]) + gzip.compress(small[30:] + small)
+    assert [b for _, b in warc.parse(cut)] == [b"y", b"y"] == [b for _, b in warc.parse(small * 2)]
+    for bad in (small[:20], small[:-6], data[:-9]):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.parse(bad))
+
+
+def test_bodies_are_decoded_by_their_headers():
+    page = "<title>é</title>"
+    for charset, coding, body in (("utf-8", "", page.encode()), ("ISO-8859-1", "", page.encode("latin-1")), ("utf-8", "gzip", gzip.compress(page.encode())), ("utf-8", "deflate", zlib.compress(page.encode())), ("no-such", "gzip", page.encode())):
+        http = f"HTTP/1.1 200 OK\r\ncontent-type: text/html; charset={charset}\r\nContent-Encoding: {coding}"
+        assert warc.decoded(body, http) == page
+    assert warc.decoded(b"\xff", None) == "\ufffd" and warc.decoded(b"", None) == ""
+
+
 def test_warc_query_returns_the_contents(spark):
     rows = queries.op5_warc_derivatives(spark, SF).collect()
     assert rows and all(r["block_digest"] == warc.digest(r["content"].encode()) and r["source_headers"] for r in rows)
@@ -180,7 +319,7 @@ def test_plain_text():
 
 
 def longest_match_phrases(text, train):
-    """Phrases of the greedy parse of one segment, the slow way."""
+    """Phrases of the greedy parse of a whole text, the slow way; a byte that is nowhere in train is one of its own."""
     n = at = 0
     while at < len(text):
         k = 1
@@ -193,16 +332,22 @@ def longest_match_phrases(text, train):
 
 def test_cross_parsing_against_substring_search():
     rng = random.Random(3)
-    model = langid.Model({k: bytes(rng.choice(b"abc ") for _ in range(300)) for k in ("x", "y")} | {"z": b"abcabc"})
-    texts = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (1, 2, 50, 900, langid.SEGMENT, langid.SEGMENT + 1, 3000)]
+    model = langid.Model({k: bytes(rng.choice(b"abc ") for _ in range(300)) for k in ("x", "y")} | {"z": b"abcabc", "w": b"aab"})
+    texts = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (1, 2, 50, 900, langid.SEGMENT, langid.SEGMENT + 1, 3000, 20_000)]
+    texts += [b"", b"d", b"dd", b"abdab", b"a" * 5000, b"ab" * 4000, b"aab" * 3000 + b"c", (b"a" * 1023 + b"b") * 5, b"d" * 2500, model.texts["x"] * 30]
     got = model.phrases(texts)
-    for t, row in zip(texts, got.tolist()):
-        parts = [t[i : i + langid.SEGMENT] for i in range(0, len(t), langid.SEGMENT)]
-        want = [sum(longest_match_phrases(p, model.texts[lang]) for p in parts) for lang in model.langs]
-        # a byte that a language lacks ends a phrase and is one of its own only where nothing is matched before it
-        assert all(abs(a - b) <= sum(p.count(b"d") for p in parts) * 2 for a, b in zip(row, want))
-        if b"d" not in t:
-            assert row[:2] == want[:2]
+    assert got.tolist() == [[longest_match_phrases(t, model.texts[lang]) for lang in model.langs] for t in texts]
+    # parses that never meet are done byte by byte
+    assert longest_match_phrases(b"a" * 5000, b"aab") == 2500 and model.phrases([b"a" * 5000])[0, 0] == 2500
+
+
+def test_ties_and_long_texts(spark):
+    model = langid.Model({"b": b"abc", "a": b"abc", "c": b"xyz"})
+    assert model.predict(["abc abc", "xyz"])[0] == ["a", "c"] and model.predict(["abc"])[1] == [0.0]
+    text = "the of and that was it " * 60_000
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(documents(spark, [(9000, text), (9001, "a" * 2_000_000)]))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict_documents(docs).where("doc_id >= 9000").collect()}
+    assert got[9000] == "en" and got[9001] != "und"
 
 
 def test_language_held_out_accuracy(spark):
@@ -406,6 +551,62 @@ def test_random_runs_of_any_alphabet_are_found():
     assert tokens_found("1" * 60 + "a " + " ".join(NAMES)) == []  # in linear time
 
 
+@pytest.mark.parametrize("unit", ["1", "A", "a", "-", "_", "=", "/", "+", "1a", "A1", "A-", "AKIA", "0f", "\"", " ", "token=", "password", "api_", "é", "9-9A"])
+def test_long_runs_are_scanned_in_linear_time(unit):
+    seconds = []
+    for size in (1 << 18, 1 << 20):
+        text = unit * (size // len(unit)) + "Z"
+        start = time.perf_counter()
+        base = secrets.base_spans(text)
+        secrets.token_spans(text, ENCODING, 2.1, base)
+        seconds.append(time.perf_counter() - start)
+        assert base == brute_spans(text)
+    assert seconds[1] < 12 * seconds[0] + 1 and seconds[1] < 20
+
+
+def test_vocabularies_of_one_size_are_told_apart():
+    ranks = secrets.read_ranks()
+    a, b = sorted(ranks, key=ranks.get)[-2:]
+    other = {**ranks, a: ranks[b], b: ranks[a]}
+    assert secrets._encoding(other) is not ENCODING and secrets._encoding(dict(ranks)) is ENCODING
+
+
+def slow_dense(run, tokens, least):
+    """Dense stretches by looking at every start of every end."""
+    if sum(e - s for s, e in tokens) < least * len(tokens):
+        return [(0, len(run))]
+    found = []
+    for j in range(len(tokens)):
+        best = None
+        for i in range(j + 1):
+            part = tokens[i : j + 1]
+            size = sum(e - s for s, e in part) + sum(b[0] > a[1] for a, b in zip(part, part[1:]))
+            before = sum(e - s - least for s, e in tokens[:i])
+            if size >= 16 and (best is None or before >= best[0] - 1e-12):
+                best = before, part
+        if best and sum(e - s - least for s, e in best[1]) < -1e-9 and any(run[s].isalpha() for s, _ in best[1]):
+            start, end = best[1][0][0], best[1][-1][1]
+            if found and start <= found[-1][1]:
+                found[-1] = (min(found[-1][0], start), end)
+            else:
+                found.append((start, end))
+    return found
+
+
+def test_dense_stretches_against_every_window():
+    rng = random.Random(27)
+    words_ = ["configuration", "internal", "billing", "key", "a", "production", "service"]
+    dense = 0
+    for _ in range(400):
+        parts = [rng.choice(words_) if rng.random() < 0.6 else "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randrange(1, 24))) for _ in range(rng.randrange(1, 7))]
+        run = rng.choice(["/", "_", "-", "", "=="]).join(parts)
+        tokens = secrets.word_tokens(run, ENCODING)
+        got = secrets.dense_windows(run, ENCODING, 2.1)
+        assert got == slow_dense(run, tokens, 2.1), run
+        dense += bool(got)
+    assert 50 < dense < 390
+
+
 def test_keys_within_longer_runs_are_found():
     rng = random.Random(11)
     key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))

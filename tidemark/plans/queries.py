@@ -533,7 +533,7 @@ def varint_decode(spark, sf_dir):
     )
 
 
-@_query(f"with {LOG}, {_visible()} select base64(k::blob) k, base64(v::blob) v, seqno from vis where k >= '{LOW}' and k < '{HIGH}' order by k limit 10")
+@_query(f"with {LOG}, {_visible()}, page as (select * from vis where k >= '{LOW}' and k < '{HIGH}' order by k limit 10) select base64(k::blob) k, base64(v::blob) v, seqno from page")
 def b64_bounded_page(spark, sf_dir):
     """The response to a scan whose bounds come in base64, a row for each record."""
     import base64

@@ -46,10 +46,13 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[i
     return s.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _key() -> Column:
+    return F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5(F.concat(F.lit("null:"), F.coalesce("text", F.lit("")))))
+
+
 def _rows(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, source, size, _key and ``more``: a hash of doc_id, or of the text where that is null, that orders the rows of a source."""
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5(F.concat(F.lit("null:"), F.coalesce("text", F.lit("")))))
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *more)
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key().alias("_key"), *more)
 
 
 def _goals(rows: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int) -> DataFrame:
@@ -84,14 +87,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, i
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, broadcast_rows: int = 100_000) -> DataFrame:
     """The rows of the mix, with the columns of docs: a row for each epoch that takes it.
 
     The one row of a source at the cut has the text's first words, as many as are taken, with one space between them, and
     their number of characters in ``n_chars`` if there is such a column.  Rows without words are left out.  Of rows of one
     doc_id and size a digest of the text tells which comes first, of repeated ones the other columns.
 
-    The cut of each source is found on ids, sizes and digests alone; whole rows are only compared with it, and never shuffled.
+    The cut of each source is found on ids, sizes and digests alone; whole rows are only compared with it, and not shuffled unless there are more than
+    ``broadcast_rows`` sources.
     """
     text_digest = F.md5(F.coalesce("text", F.lit(""))).alias("_digest")
     order = ["_key", "doc_id", "size", "_digest"]
@@ -105,16 +109,23 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int,
     # what the rows at the cut, which are several where a row is repeated, give of the partial epoch
     given = placed.join(edges, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("_at") == F.col("_edge"))
     given = given.groupBy("_source", "_edge", "_epochs").agg(F.sum("partial").alias("_given"))
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    every = _rows(docs, text_digest, own).where("size > 0").join(saved(given), F.col("source").eqNullSafe(F.col("_source")))
-    every = every.withColumn("_at", F.struct(*order))
-    plain = every.where(~F.col("_at").eqNullSafe(F.col("_edge"))).withColumn("partial", F.when(F.col("_at") < F.col("_edge"), F.col("size")).otherwise(F.lit(0)).cast("bigint"))
-    nth = F.row_number().over(Window.partitionBy("_source").orderBy(F.to_json("_row")))
-    cut = every.where(F.col("_at").eqNullSafe(F.col("_edge"))).withColumn("_nth", nth)
-    cut = cut.withColumn("partial", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_given") - (F.col("_nth") - 1) * F.col("size"))).cast("bigint"))
-    columns = ["_row", "size", "partial", F.col("_epochs").alias("epochs")]
-    taken = plain.select(*columns).union(cut.select(*columns))
-    times = (F.col("epochs") + (F.col("partial") > 0).cast("bigint")).cast("int")
+    given = saved(given)
+    # one row for each source
+    given = F.broadcast(given) if given.count() <= broadcast_rows else given
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "text", _key().alias("_key"))
+    every = own.join(given, F.col("source").eqNullSafe(F.col("_source")))
+    edge = F.col("_edge._key")
+    # a row of another key than the one at the cut is taken whole or not at all, so that its words need no count
+    plain = every.where((F.col("_key") != edge) & F.col("text").rlike(WORD_PATTERN))
+    plain = plain.select("_row", "_epochs", F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("partial"), (F.col("_key") < edge).alias("_more"))
+    near = every.where(F.col("_key") == edge).select("_row", "doc_id", "_key", "_source", word_count(F.col("text")).alias("size"), text_digest, "_edge", "_epochs", "_given")
+    near = near.where("size > 0").withColumn("_at", F.struct(*order))
+    nth = F.row_number().over(Window.partitionBy("_source", "_at").orderBy(F.to_json("_row")))
+    left = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_given") - (nth - 1) * F.col("size")))
+    partial = F.when(F.col("_at") == F.col("_edge"), left).when(F.col("_at") < F.col("_edge"), F.col("size")).otherwise(F.lit(0)).cast("bigint")
+    near = near.withColumn("partial", partial).select("_row", "_epochs", "size", "partial", (F.col("partial") > 0).alias("_more"))
+    taken = plain.union(near).withColumnRenamed("_epochs", "epochs")
+    times = (F.col("epochs") + F.col("_more").cast("bigint")).cast("int")
     copies = taken.where(times > 0).select("_row", "epochs", "size", "partial", F.explode(F.sequence(F.lit(1), times)).alias("epoch"))
     short = (F.col("epoch") > F.col("epochs")) & (F.col("partial") < F.col("size"))
     copies = copies.withColumn("_cut", F.when(short, F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.col("partial").cast("int")), " ")))

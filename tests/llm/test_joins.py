@@ -469,3 +469,26 @@ def test_fingerprints_of_windows_of_any_size():
         for at in {0, 50, 101, len(got) // 2, len(got) - 1} & set(range(len(got))):
             want = np.packbits(bits[at : at + size].sum(axis=0) > 0, bitorder="little").view(np.uint64)[0]
             assert got[at] == want
+
+
+def test_short_lists_of_frequent_elements_are_paired(spark, monkeypatch):
+    """Elements that a task has often, but that few sets have among their rarest, need no blocks of whole sets."""
+    rng = random.Random(17)
+    halves = [[prose(rng, 60) for _ in range(4)] for _ in range(2)]
+    texts = [(4 * i + j, f"{a} {b}") for i, a in enumerate(halves[0]) for j, b in enumerate(halves[1])]
+    texts += [(100 + i, edited(rng, texts[i][1], 6)) for i in range(0, 16, 3)] + [(1000 + i, prose(rng, 60)) for i in range(200)]
+    settled = []
+    whole = ngramjoin.heavy_links
+    monkeypatch.setattr(ngramjoin, "heavy_links", lambda rows, own, least: settled.append(rows.count()) or whole(rows, own, least))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.components(documents(spark, texts).coalesce(1)).collect()}
+    assert got == near_components(texts) and settled == [0]
+
+
+def test_lists_are_paired_as_far_as_pairs_go(spark):
+    lists = {1: 3, 2: 4, 3: 5, 4: 60, 5: 4, 6: 100}
+    rows = [(k, 100 * k + i, 0 if k == 5 else i, 10 if k == 3 and not i else 20) for k, n in lists.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "key long, id long, comp long, n long")
+    for most, cap, short, bound in ((8, 4096, set(), 1), (9, 4096, {1, 2}, 4), (2000, 4096, {1, 2, 4}, 64), (10**6, 64, {1, 2, 4}, 64), (10**6, 4096, {1, 2, 4, 6}, 128)):
+        shorter, longer, longest = ngramjoin.by_length(frame, 12, most, cap)
+        got = [Counter(r["key"] for r in x.collect()) for x in (shorter, longer)]
+        assert got == [{k: lists[k] for k in short}, {k: lists[k] for k in {1, 2, 3, 4, 6} - short}] and longest == bound

@@ -6,7 +6,9 @@ one order, two sets of a Jaccard similarity of t or more share one of the first
 ``n - ceil(t * n) + 2``.  Small sets enumerate the 2-subsets of the latter, which are
 rare; large sets scan the inverted lists of the former; the boundary is the cheapest for
 the sizes at hand.  Frequent elements stand last in the order, the less frequent ones
-first, so that a passage that many documents share seldom makes a candidate.
+first, so that a passage that many documents share seldom makes a candidate.  Lists of
+frequent elements are paired too, from the shortest on, as long as their pairs are not
+many more than signatures; blocks of whole sets settle the longer ones.
 
 Equal sets are one class from the start.  Sets that share a minimum of one of a few hash
 functions are linked to the first of them, where an exact test agrees; pairs within a
@@ -209,8 +211,12 @@ def light_pairs(rows: DataFrame, least: int, longest: int = LONGEST) -> DataFram
 
     def paired(done: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, doc, comp, n = done
+        first = _runs(key)
+        size = np.diff(np.append(first, len(key)))
+        end = np.repeat(first + size, size)
+        left = np.arange(len(key))
         for gap in range(1, longest):
-            i = np.flatnonzero(key[gap:] == key[:-gap]) if gap < len(key) else np.zeros(0, np.int64)
+            left = i = left[left + gap < end[left]]
             if not len(i):
                 break
             j = i + gap
@@ -249,6 +255,28 @@ def light_pairs(rows: DataFrame, least: int, longest: int = LONGEST) -> DataFram
     return rows.repartition(F.col("deal")).sortWithinPartitions("deal").drop("deal").mapInArrow(lean(run), "a long, b long, na long, nb long, hot boolean")
 
 
+def by_length(rows: DataFrame, small: int, most: int, cap: int = 4096, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame, int]:
+    """The (key, id, comp, n) of shorter and of longer lists, and the bound between them: lists up to it have no more than ``most`` pairs in all, and ``cap`` rows each.
+
+    A list of one component has no pairs and is in neither.  A list that has a set of at most ``small`` elements counts as a longer one, as pairs of small
+    sets are all verified, whatever else they share.
+    """
+    lists = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    lists = saved(lists.where("lo <> hi").select("key", "rows", "least"))
+    level = F.ceil(F.log2("rows")).cast("int").alias("level")
+    sums = lists.where(F.col("least") > small).groupBy(level).agg(F.sum(F.expr("rows * (rows - 1) div 2")).alias("pairs")).collect()
+    longest = 1
+    for r in sorted(sums):
+        most -= r["pairs"]
+        if most < 0 or 1 << r["level"] > cap:
+            break
+        longest = 1 << r["level"]
+    lists = F.broadcast(lists) if lists.count() <= broadcast_rows else lists
+    rows = saved(rows.join(lists, "key"))
+    shorter = (F.col("rows") <= longest) & (F.col("least") > small)
+    return *(rows.where(x).select("key", "id", "comp", "n") for x in (shorter, ~shorter)), longest
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -387,15 +415,22 @@ def components(docs: DataFrame, least: int = 75) -> DataFrame:
         labelled = reps.join(early, reps["id"] == early["node"], "left").select("id", F.coalesce("component", "id").alias("comp"))
         small = boundary(sizes, least)
         own = docs.join(saved(labelled), "id").select("id", "comp", "text")
-        # a pair that shares a frequent element, or a long list, is settled by heavy_links; for the others all shared elements are light
+        # what the shorter ones of the frequent elements' and of the long lists have is paired as well, as far as pairs aren't many more than signatures
+        most = plain.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (100 - least) // 200
         counted = light_pairs(prefixes(own, hot, small, least), least).groupBy("a", "b", "na", "nb", "hot").agg(F.count("*").alias("k"))
-        # elements beyond the shorter prefix can't be more than what is left of that set
-        beyond = [F.expr(f"{n} - ({n} - cast(ceil({least} * {n} / 100) as bigint) + 1)") for n in ("na", "nb")]
-        needed = F.expr(f"{least} * (na + nb)") <= (F.col("k") + F.greatest(*beyond)) * (100 + least)
-        little = F.expr(f"na <= {small} and nb <= {small}")
-        candidates = saved(counted.where(F.col("hot") | needed | little).select("a", "b", "na", "nb", "hot"))
-        late = saved(verified(candidates.where("not hot"), docs, least))
-        heavy = candidates.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("na").alias("comp"), F.col("nb").alias("n"))
+        with stored(counted) as counted:
+            listed = counted.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("na").alias("comp"), F.col("nb").alias("n"))
+            shorter, heavy, longest = by_length(listed, small, most)
+            more = light_pairs(shorter.withColumn("hot", F.lit(False)).withColumn("deal", F.col("key")), least, max(longest, 2))
+            counted = counted.where("not hot").drop("hot").union(more.select("a", "b", "na", "nb", F.lit(1).cast("long").alias("k")))
+            counted = counted.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+            # a pair that shares an element of the rest is settled by heavy_links; for the others all shared elements are counted,
+            # and elements beyond the shorter prefix can't be more than what is left of that set
+            beyond = [F.expr(f"{n} - ({n} - cast(ceil({least} * {n} / 100) as bigint) + 1)") for n in ("na", "nb")]
+            needed = F.expr(f"{least} * (na + nb)") <= (F.col("k") + F.greatest(*beyond)) * (100 + least)
+            little = F.expr(f"na <= {small} and nb <= {small}")
+            candidates = saved(counted.where(needed | little).select("a", "b"))
+        late = saved(verified(candidates, docs, least))
         firm = heavy_links(heavy, docs, least)
         links = near.union(late).union(firm).union(members.where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b")))
         found = keep(connected_components(links))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import covertree, decontam, ngramjoin, queries, substring
 from tidemark.llm.common import word_blocks
 
-from .helpers import documents, edited, near_components, prose, words
+from .helpers import documents, edited, near_components, prose, shingle_set, words
 
 
 def test_ngram_components(spark):
@@ -471,6 +471,29 @@ def test_fingerprints_of_windows_of_any_size():
             assert got[at] == want
 
 
+def test_blocks_meet_in_waves(spark, monkeypatch):
+    """Blocks that meet many others travel a bounded number of bytes at a time, and every two still meet."""
+    rng = random.Random(16)
+    passage = prose(rng, 40)
+    texts = [(i, edited(rng, f"{passage} {prose(random.Random(i // 2), 12)}", i % 2)) for i in range(240)]
+    own = documents(spark, texts).selectExpr("doc_id id", "text")
+    heavy = spark.createDataFrame([(1, i, i, len(shingle_set(t))) for i, t in texts], "key long, id long, comp long, n long")
+    written = []
+    whole = ngramjoin.saved
+    monkeypatch.setattr(ngramjoin, "saved", lambda df: written.append(df.columns) or whole(df))
+    found = {}
+    for limit in (1 << 30, 1):
+        del written[:]
+        links = [(r["a"], r["b"]) for r in ngramjoin.heavy_links(heavy, own, 75, block=16, wave_bytes=limit).collect()]
+        found[limit] = written.count(["a", "b"])
+        least = {i: i for i, _ in texts}
+        for _ in texts:
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        assert least == {i: c for i, (_, c) in near_components(texts).items()}
+    assert found[1 << 30] == 1 and found[1] > 3
+
+
 def test_short_lists_of_frequent_elements_are_paired(spark, monkeypatch):
     """Elements that a task has often, but that few sets have among their rarest, need no blocks of whole sets."""
     rng = random.Random(17)

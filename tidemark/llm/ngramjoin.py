@@ -282,14 +282,15 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def heavy_links(rows: DataFrame, docs: DataFrame, least: int, block: int = 512, broadcast_rows: int = 500_000) -> DataFrame:
+def heavy_links(rows: DataFrame, docs: DataFrame, least: int, block: int = 512, broadcast_rows: int = 500_000, wave_bytes: int = 1 << 28) -> DataFrame:
     """(a, b): a spanning forest of the links between sets that share a frequent element and are of different components.
 
     Sets that such elements connect are a family, cut by size into classes of which only neighbours can be similar, and into blocks.
     A component that fills a block has blocks of its own, which are not compared with each other: what a family costs grows with its copies
     times what differs from them, and with the square of the rest only.
     A task has two blocks with whole sets and counts their overlaps as a product of matrices, so that a family's pairs are
-    compared but never written.
+    compared but never written.  Pairs of blocks come in waves of at most ``wave_bytes``, or twice the bytes of all blocks, as a block
+    travels once for each block that it meets; a wave's files are deleted before the next one's are written.
     """
     with temporaries() as keep:
         mixed = saved(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("key", "first"))
@@ -324,12 +325,17 @@ def heavy_links(rows: DataFrame, docs: DataFrame, least: int, block: int = 512,
             return pa.table({**{c: group.column(c).slice(0, 1) for c in ("family", "class", "only", "part")}, "ids": blob(ids), "comps": blob(comps), "sizes": blob(sizes), "sets": blob(sets)})
 
         blocks = own.groupBy("family", "class", "only", "part").applyInArrow(pack, "family long, class long, only long, part long, ids binary, comps binary, sizes binary, sets binary")
-        blocks = saved(blocks)
+        blocks = saved(blocks.withColumn("block", F.xxhash64("family", "class", "only", "part")))
         fields = ["ids", "comps", "sizes", "sets"]
-        left = blocks.select("family", F.col("class").alias("at"), F.col("class").alias("c1"), F.col("only").alias("o1"), F.col("part").alias("p1"), *[F.col(f).alias(f"{f}1") for f in fields])
-        right = blocks.select("family", F.explode(F.array("class", F.col("class") - 1)).alias("at"), F.col("class").alias("c2"), F.col("only").alias("o2"), F.col("part").alias("p2"), *[F.col(f).alias(f"{f}2") for f in fields])
+        size = sum((F.length(f) for f in fields), F.lit(0).cast("long")).alias("bytes")
+        places = saved(blocks.select("family", "class", "only", "part", "block", size))
+        left = places.select("family", F.col("class").alias("at"), F.col("class").alias("c1"), F.col("only").alias("o1"), F.col("part").alias("p1"), F.col("block").alias("b1"), F.col("bytes").alias("y1"))
+        right = places.select("family", F.explode(F.array("class", F.col("class") - 1)).alias("at"), F.col("class").alias("c2"), F.col("only").alias("o2"), F.col("part").alias("p2"), F.col("block").alias("b2"), F.col("bytes").alias("y2"))
         pairs = left.join(right, ["family", "at"]).where("(c1 < c2 or struct(o1, p1) <= struct(o2, p2)) and (o1 <> o2 or o1 < 0)")
-        dealt = pairs.select(*[f"{f}{s}" for s in (1, 2) for f in fields], F.xxhash64("family", "c1", "o1", "p1", "c2", "o2", "p2").alias("deal")).repartition(F.col("deal")).drop("deal")
+        pairs = saved(pairs.select("b1", "b2", (F.col("y1") + F.col("y2")).alias("bytes")))
+        total, met = pairs.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+        once = places.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        waves = max(1, -(-total // max(wave_bytes, 2 * once)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -338,7 +344,18 @@ def heavy_links(rows: DataFrame, docs: DataFrame, least: int, block: int = 512,
                     a, b = _linked(*[[value(f"{f}{s}") for f in fields] for s in (1, 2)], least)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        return keep(saved(dealt.mapInArrow(lean(run), "a long, b long")))
+        found = []
+        for wave in range(waves):
+            chosen = pairs.where(F.pmod(F.xxhash64("b1", "b2"), F.lit(waves)) == wave).select("b1", "b2")
+            chosen = F.broadcast(chosen) if met <= broadcast_rows * waves else chosen
+            one = blocks.select(F.col("block").alias("b1"), *[F.col(f).alias(f"{f}1") for f in fields]).join(chosen, "b1")
+            two = blocks.select(F.col("block").alias("b2"), *[F.col(f).alias(f"{f}2") for f in fields])
+            both = one.join(two.hint("merge"), "b2").select(*[f"{f}{s}" for s in (1, 2) for f in fields])
+            found.append(saved(both.mapInArrow(lean(run), "a long, b long")))
+        links = found[0]
+        for more in found[1:]:
+            links = links.union(more)
+        return keep(links if waves == 1 else saved(links))
 
 
 def _linked(one: list[np.ndarray], two: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:

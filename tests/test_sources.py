@@ -5,11 +5,12 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.functions.batches import FormatError, WriteBatch, decoded
 from tidemark.functions.crypto import AuthenticationError, SecretKey
 from tidemark.operators import read
-from tidemark.sources import sstable, wal
+from tidemark.sources import sstable, store, wal
 from tidemark.sources.fs import Files
 from tidemark.sources.store import Config, Store, parse_log_name, parse_run_name
 from tidemark.sources.wal import CorruptionError
@@ -72,6 +73,23 @@ def test_bulk_append_and_prune(spark, tmp_path):
     assert len(out(db.scan_all())) == 300 and db.get(b"k-0007") == b"v2"
 
 
+def test_runs_are_written_by_many_tasks(spark, tmp_path):
+    """A frequent key is in several ranges, rows bound a range as bytes do, and a run of one range is made in as many tasks as its rows come in."""
+
+    def sizes(db):
+        rows = spark.read.parquet(f"{db.files.root}/runs/*")
+        return [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+
+    ops = spark.range(0, 2000, 1, 4).select(F.lit(b"hot").alias("key"), F.lit(0).alias("op"), F.spark_partition_id().cast("string").cast("binary").alias("value"), F.col("id").cast("int").alias("batch_pos"))
+    one, by_bytes, by_rows = (Store(spark, str(tmp_path / n), c) for n, c in (("one", Config()), ("bytes", Config(partition_bytes=8192)), ("rows", Config(partition_rows=500))))
+    for db in (one, by_bytes, by_rows):
+        db.append(ops)
+        assert out(db.scan_all()) == [(b"hot", b"3")] and db.log().count() == sum(sizes(db)) == 2000
+    assert len(sizes(one)) == 1 and one.log().select("value").distinct().count() == 4
+    assert len(sizes(by_bytes)) >= 5 and max(sizes(by_bytes)) < 800
+    assert len(sizes(by_rows)) == 4 and max(sizes(by_rows)) < 1000
+
+
 def test_rotation(spark, tmp_path):
     db = Store(spark, str(tmp_path / "db"), Config(memtable_bytes=100))
     db.put(b"k", b"x" * 200)
@@ -132,6 +150,42 @@ def test_sealed_values_are_bound_to_their_records(spark, tmp_path):
     assert not list((tmp_path / "db").glob("drafts/*"))
 
 
+def test_compaction_opens_each_value_once(spark, tmp_path, monkeypatch):
+    """Rows are counted, sampled and moved sealed."""
+    db = Store(spark, str(tmp_path / "db"), Config(encryption=SecretKey(b"k" * 32), partition_bytes=4096))
+    for n in range(3):
+        db.append(spark.createDataFrame([(b"k-%04d" % i, 0, b"v%d" % n) for i in range(300)], "key binary, op int, value binary"))
+    opened, unseal = spark.sparkContext.accumulator(0), store.unseal_records
+
+    @F.udf("binary")
+    def counted(value):
+        opened.add(1)
+        return value
+
+    monkeypatch.setattr(store, "unseal_records", lambda *args: unseal(*args).withColumn("value", counted.asNondeterministic()("value")))
+    assert db.compact() == 900 and opened.value == 900
+    monkeypatch.undo()
+    rows = {(bytes(r["key"]), r["seqno"], bytes(r["value"])) for r in db.log().collect()}
+    assert rows == {(b"k-%04d" % i, n + 1, b"v%d" % n) for i in range(300) for n in range(3)}
+
+
+def test_pruning_drops_no_value_that_is_not_authentic(spark, tmp_path):
+    path, key = str(tmp_path / "db"), Config(encryption=SecretKey(b"k" * 32))
+    db = Store(spark, path, key)
+    for value in (b"1", b"2"):
+        db.put(b"a", value)
+        db.flush()
+    folder = f"{path}/runs/{db.manifest.runs[0]['folder']}"
+    rows = [tuple(r) for r in spark.read.parquet(folder).collect()]
+    # the newest version is made a tombstone, which pruning would drop
+    spark.createDataFrame([(k, n, 1, v, p) for k, n, _, v, p in rows], "key binary, seqno long, op tinyint, value binary, batch_pos int").write.mode("overwrite").parquet(folder)
+    with pytest.raises(Exception, match="authentication"):
+        Store(spark, path, key).compact(floor=2)
+    spark.createDataFrame(rows, "key binary, seqno long, op tinyint, value binary, batch_pos int").write.mode("overwrite").parquet(folder)
+    db = Store(spark, path, key)
+    assert db.compact(floor=2) == 1 and out(db.scan_all()) == [(b"a", b"2")]
+
+
 def test_damaged_log_is_never_dropped(spark, tmp_path):
     path = tmp_path / "db"
     db = Store(spark, str(path))

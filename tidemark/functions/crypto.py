@@ -97,15 +97,19 @@ def unseal(df: DataFrame, column: str, key: SecretKey, run_id: int, position: st
     return _with_key(df, key, run_id, position).withColumn(column, plain).drop("_key", "_nonce", "_bound")
 
 
-def _key_column(df: DataFrame, key: SecretKey, any_column: str) -> DataFrame:
-    """df with the key in ``_key``, from a broadcast variable by way of a UDF, so that no plan or log shows it."""
-    shared = df.sparkSession.sparkContext.broadcast(key.material)
+def _key_column(df: DataFrame, key: SecretKey | dict[int, SecretKey], column: str) -> DataFrame:
+    """df with the key in ``_key``, from a broadcast variable by way of a UDF, so that no plan or log shows it.
+
+    Of several keys it is the one that ``column`` names; one key is that of every row.
+    """
+    many = isinstance(key, dict)
+    shared = df.sparkSession.sparkContext.broadcast({n: k.material for n, k in key.items()} if many else key.material)
 
     @F.pandas_udf(T.BinaryType())
     def material(rows: pd.Series) -> pd.Series:
-        return pd.Series([shared.value] * len(rows))
+        return pd.Series([shared.value[n] for n in rows] if many else [shared.value] * len(rows))
 
-    return df.withColumn("_key", material(F.col(any_column)))
+    return df.withColumn("_key", material(F.col(column)))
 
 
 def _with_key(df: DataFrame, key: SecretKey, run_id: int, position: str) -> DataFrame:
@@ -113,20 +117,20 @@ def _with_key(df: DataFrame, key: SecretKey, run_id: int, position: str) -> Data
     return df.withColumn("_nonce", nonce(F.col(position))).withColumn("_bound", bound(F.lit(run_id), F.col(position)))
 
 
-def _record_bound(run_id: int) -> str:
-    """SQL for the bytes that bind a value to its run, its number, its place in the batch, its operation and its key."""
-    return f"encode(concat_ws(':', '{run_id}', seqno, op, batch_pos, hex(key)), 'UTF-8')"
+def _record_bound(run_id: str) -> str:
+    """SQL for the bytes that bind a value to its run (SQL too), its number, its place in the batch, its operation and its key."""
+    return f"encode(concat_ws(':', {run_id}, seqno, op, batch_pos, hex(key)), 'UTF-8')"
 
 
 def seal_records(rows: DataFrame, key: SecretKey, run_id: int) -> DataFrame:
     """``value`` of a log's records encrypted, each under a random nonce, and bound to all else that the record holds."""
-    sealed = F.expr(f"aes_encrypt(value, _key, 'GCM', 'DEFAULT', unhex(''), {_record_bound(run_id)})")
+    sealed = F.expr(f"aes_encrypt(value, _key, 'GCM', 'DEFAULT', unhex(''), {_record_bound(str(run_id))})")
     return _key_column(rows, key, "seqno").withColumn("value", sealed).drop("_key")
 
 
-def unseal_records(rows: DataFrame, key: SecretKey, run_id: int) -> DataFrame:
-    """``value`` decrypted; a value that another key sealed, or that was changed or moved, fails the job."""
-    plain = F.expr(f"try_aes_decrypt(value, _key, 'GCM', 'DEFAULT', {_record_bound(run_id)})")
+def unseal_records(rows: DataFrame, keys: dict[int, SecretKey]) -> DataFrame:
+    """``value`` decrypted by the key of the row's ``run_id``; a value that another key sealed, or that was changed or moved, fails the job."""
+    plain = F.expr(f"try_aes_decrypt(value, _key, 'GCM', 'DEFAULT', {_record_bound('run_id')})")
     wrong = F.raise_error(F.lit("a value fails its authentication")).cast("binary")
-    opened = _key_column(rows, key, "seqno").withColumn("value", F.when(F.col("value").isNotNull(), F.coalesce(plain, wrong)))
+    opened = _key_column(rows, keys, "run_id").withColumn("value", F.when(F.col("value").isNotNull(), F.coalesce(plain, wrong)))
     return opened.drop("_key")

@@ -41,7 +41,10 @@ def parse_run_name(name: str) -> int | None:
 
 @dataclass(frozen=True)
 class Config:
-    """``bits_per_key`` sizes the Bloom filters of the runs; 0 leaves them out."""
+    """``bits_per_key`` sizes the Bloom filters of the runs; 0 leaves them out.
+
+    ``partition_bytes`` and ``partition_rows`` bound what one task of a run's writing sorts, seals and writes, but for the skew of the ranges.
+    """
 
     memtable_bytes: int = 4 << 20
     bits_per_key: int = 10
@@ -49,6 +52,7 @@ class Config:
     encryption: SecretKey | None = None
     max_key_bytes: int = 1 << 30
     max_value_bytes: int = 1 << 30
+    partition_rows: int = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -231,19 +235,25 @@ class Store:
 
     # runs
 
-    def _write_run(self, rows: DataFrame, number: int) -> dict:
+    def _write_run(self, rows: DataFrame, number: int, sealed: tuple[dict, ...] = ()) -> dict:
         """Writes rows sorted by key, newest first, in key ranges; what the manifest says of them.
 
+        Values of ``sealed`` runs come as they are stored, with their run_id: rows are counted, sampled, moved and sorted sealed, and each is
+        opened once, where it is sealed again.  Ranges are those of the whole order, so that a frequent key is in several.
         Each attempt has a folder and a key of its own, so that what a crash leaves behind is in nobody's way; ``vacuum`` deletes it.
         """
         folder = f"{number:08d}-{uuid.uuid4().hex[:12]}"
         path = self.files.path(f"runs/{folder}")
         bits = self.config.bits_per_key
         size = rows.agg(F.count("*"), F.sum(F.octet_length("key") + F.octet_length("value") + 24)).first()
-        parts = max(1, -(-(size[1] or 0) // self.config.partition_bytes))
+        parts = max(1, -(-(size[1] or 0) // self.config.partition_bytes), -(-size[0] // self.config.partition_rows))
         sort = ["key", F.desc("seqno"), F.desc("batch_pos")]
-        ranged = rows.repartitionByRange(parts, "key") if parts > 1 else rows.coalesce(1)
+        # one range is a shuffle too: what the rows come from stays in many tasks
+        ranged = rows.repartitionByRange(parts, *sort) if parts > 1 else rows.repartition(1)
         ranged = ranged.sortWithinPartitions(*sort)
+        if sealed:
+            ranged = self._opened(ranged, *sealed)
+        ranged = ranged.drop("run_id")
         if self.config.encryption:
             ranged = seal_records(ranged, self._run_key(folder), number)
         # a filter of so many bits a key has this share of false positives
@@ -287,10 +297,15 @@ class Store:
             return 0
         self._claim()
         old = self.manifest.runs
-        rows = maintain.compacted([self._run(r) for r in old])
-        rows = rows if floor is None else maintain.pruned(rows, floor)
+        sealed = tuple(r for r in old if r["encrypted"])
+        rows = maintain.compacted([self._stored(r) for r in old])
+        if floor is not None:
+            if sealed:
+                # what pruning drops has to be authentic too
+                self._opened(rows, *sealed).agg(F.sum(F.octet_length("value"))).first()
+            rows = maintain.pruned(rows, floor)
         number = self.manifest.next_run
-        run = self._write_run(rows.drop("run_id"), number)
+        run = self._write_run(rows, number, sealed)
         self._publish(replace(self.manifest, version=self.manifest.version + 1, next_run=number + 1, runs=(run,)))
         return run["records"]
 
@@ -307,11 +322,17 @@ class Store:
 
     # reads
 
+    def _stored(self, run: dict) -> DataFrame:
+        """A run as it is stored: values of an encrypted one are sealed."""
+        return self.spark.read.parquet(self.files.path(f"runs/{run['folder']}")).withColumn("run_id", F.lit(run["run_id"]).cast("long"))
+
+    def _opened(self, rows: DataFrame, *runs: dict) -> DataFrame:
+        """Stored rows of encrypted runs with their values decrypted."""
+        return unseal_records(rows, {r["run_id"]: self._run_key(r["folder"]) for r in runs})
+
     def _run(self, run: dict) -> DataFrame:
-        rows = self.spark.read.parquet(self.files.path(f"runs/{run['folder']}"))
-        if run["encrypted"]:
-            rows = unseal_records(rows, self._run_key(run["folder"]), run["run_id"])
-        return rows.withColumn("run_id", F.lit(run["run_id"]).cast("long"))
+        rows = self._stored(run)
+        return self._opened(rows, run) if run["encrypted"] else rows
 
     def log(self, keys: tuple[bytes | None, bytes | None] = (None, None), seqno: int | None = None) -> DataFrame:
         """The change log; runs that can't hold a key of the range, or a version at the snapshot, are left out."""
